@@ -20,12 +20,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions import trees
 from rankloom.runtime import stash
 
 #: Pages that the trees and the lexicon are learned from, and entries of the lexicon, at most.
@@ -159,32 +157,36 @@ def lexicon_of(sample: DataFrame) -> list[str]:
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, host, n_words, raw, probability): of every page, before and after smoothing by host."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    n = d.count()
+    n = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < min(1.0, SAMPLE_PAGES / max(1, n)) * (1 << 30)
-    sample = d.where(draw & (F.length("text") > 0))
+    sample = d.where(draw & (F.length("text") > 0)).repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
     lexicon = lexicon_of(sample)
 
-    def features(batches):
+    def labelled(batches):
         goods = Goods(lexicon)
         for pdf in batches:
             rows = []
-            for doc, host, text in zip(pdf["doc_id"], pdf["host"], pdf["text"]):
+            for text in pdf["text"]:
                 f, w = measures(text, goods)
                 label = second_label(f, len(w))
-                rows.append((doc, host, len(w), -1 if label is None else label, *f))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "n_words", "label", *FEATURES])
-
-    schema = "doc_id bigint, host string, n_words int, label int, " + ", ".join(f"{f} float" for f in FEATURES)
-    data = stash(d.mapInPandas(features, schema), "pages")
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = stash(vectors.transform(data.where(draw & (F.col("label") >= 0))).select("features", F.col("label").cast("double").alias("label")), "page-sample")
-    kinds = {int(r.label) for r in train.select("label").distinct().collect()}
-    if len(kinds) < 2:
-        return data.select("doc_id", "host", "n_words", F.lit(0.0).alias("raw"), F.lit(0.0).alias("probability"))
+                if label is not None:
+                    rows.append((label, *f))
+            yield pd.DataFrame(rows, columns=["label", *FEATURES])
+
+    rows = sample.mapInPandas(labelled, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    y = rows["label"].to_numpy(dtype=int)
     # bagged trees: every tree sees a bootstrap of the sample and, at each split, all features
-    trees = RandomForestClassifier(numTrees=30, maxDepth=7, minInstancesPerNode=4, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True, seed=5).fit(train)
-    raw = F.least(F.lit(0.995), F.greatest(F.lit(0.005), F.get(vector_to_array("probability"), F.lit(1))))
-    judged = stash(trees.transform(vectors.transform(data)).select("doc_id", "host", "n_words", raw.alias("raw")), "judged")
+    forest = trees.train(rows[list(FEATURES)].to_numpy(dtype=float), y, 2, trees=30, depth=7, seed=5) if 0 < y.sum() < len(y) else None
+
+    def judge(batches):
+        goods = Goods(lexicon)
+        for pdf in batches:
+            found = [measures(text, goods) for text in pdf["text"]]
+            x = np.array([f for f, _ in found], dtype=float).reshape(-1, len(FEATURES))
+            p = forest.probabilities(x)[:, 1] if forest is not None else np.zeros(len(x))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "n_words": [len(w) for _, w in found], "raw": np.clip(p, 0.005, 0.995)})
+
+    judged = stash(d.mapInPandas(judge, "doc_id bigint, host string, n_words int, raw double"), "judged")
     by = judged.groupBy("host").agg(F.count("*").alias("_n"), F.sum((F.col("raw") >= 0.5).cast("double")).alias("_k"))
     whole = by.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
     rate = ((whole.k or 0.0) + 0.5) / ((whole.n or 0) + 1)
