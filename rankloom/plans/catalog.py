@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import preparation
+from rankloom.plans import alignment, boards, preparation
 
-_MODULES = (preparation,)
+_MODULES = (alignment, boards, preparation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preparation.p6_found(spark, sf_dir)
+    return alignment.ag8_point_metrics(spark, sf_dir)
