@@ -1,0 +1,78 @@
+"""Names, configs, levels, answers and graphs: the operators on texts and small structures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rankloom.runtime import stash
+
+
+def slug(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9.+']+", "-"), r"^-+|-+$", "")
+
+
+def split_name(c: Column) -> tuple[Column, Column]:
+    """(base, tag) of a model name: what stands in trailing brackets or is an effort tag is peeled off."""
+    bracket = F.regexp_extract(c, r"\(([^()]*)\)\s*$", 1)
+    bare = F.trim(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""))
+    effort = F.lower(F.regexp_extract(bare, r"(?i)[\s_-](low|medium|high|max|thinking|preview)$", 1))
+    return F.regexp_replace(bare, r"(?i)[\s_-](low|medium|high|max|thinking|preview)$", ""), F.concat_ws(", ", F.nullif(effort, F.lit("")), F.nullif(F.trim(bracket), F.lit("")))
+
+
+def config_tokens(c: Column) -> Column:
+    """Tokens of a config in order, each once whatever its case."""
+    parts = F.filter(F.transform(F.split(c, r"[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(parts, lambda x: F.lower(x))
+    return F.array_join(F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), ", ")
+
+
+def family(c: Column) -> Column:
+    return F.regexp_extract(F.lower(c), r"^([a-z]+)", 1)
+
+
+def category_of(c: Column) -> Column:
+    """Category of a benchmark by its name."""
+    s = F.lower(c)
+    return F.when(s.rlike("math|gsm|aime"), "math").when(s.rlike("code|swe|human-?eval"), "code").when(s.rlike("vqa|video|vision"), "vision").when(s.rlike("chat|arena"), "preference").when(s.rlike(r"\bqa\b|-qa"), "knowledge").otherwise("other")
+
+
+def item_profiles(items: DataFrame) -> DataFrame:
+    """(benchmark, tag, weight): mean level weight over the valid items; items (benchmark, tag, weight, valid)."""
+    return items.groupBy("benchmark", "tag").agg(F.coalesce(F.avg(F.when(F.col("valid"), F.col("weight"))), F.lit(0.0)).alias("weight"))
+
+
+def token_f1(answer: Column, gold: Column) -> Column:
+    """Multiset F1 of the words of two texts; 1 if both are empty, 0 if one is."""
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9 ]+", " "), r"\s+"), lambda x: x != "")
+    a, b = words(answer), words(gold)
+    each = F.array_distinct(a)
+    count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
+    same = F.aggregate(each, F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(2 * same / total)
+
+
+def choice_letter(c: Column) -> Column:
+    """The letter that an answer settles on: the last one after 'answer', else the last stand-alone one."""
+    stated = F.regexp_extract(c, r"(?is).*answer\s*(?:is|:)?\s*\(?([A-E])\b", 1)
+    return F.upper(F.coalesce(F.nullif(stated, F.lit("")), F.nullif(F.regexp_extract(c, r"(?s).*\b([A-E])\b", 1), F.lit(""))))
+
+
+def last_number(c: Column) -> Column:
+    return F.replace(F.regexp_extract(c, r"(?s).*?(-?\d[\d,]*(?:\.\d+)?)(?!.*\d)", 1), F.lit(",")).try_cast("double")
+
+
+def min_label(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(name, component) of a catalog-sized graph (p, q): smallest label wins, with pointer jumping; every round is written."""
+    both = stash(pairs.select("p", "q").unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "graph")
+    label = stash(both.groupBy(F.col("p").alias("name")).agg(F.least(F.min("q"), F.first("p")).alias("component")), "label")
+    for _ in range(rounds):
+        near = both.join(label.select(F.col("name").alias("q"), "component"), "q").groupBy(F.col("p").alias("name")).agg(F.min("component").alias("c"))
+        step = label.join(near, "name").select("name", F.least("component", "c").alias("c"), "component")
+        after = step.join(step.select(F.col("name").alias("c"), F.col("c").alias("up")), "c", "left").select("name", F.least(F.coalesce("up", "c"), "c").alias("component"), F.col("component").alias("_old"))
+        after = stash(after, "label")
+        label = after.drop("_old")
+        if after.where("component <> _old").isEmpty():
+            break
+    return label

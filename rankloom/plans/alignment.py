@@ -54,7 +54,7 @@ def wn3_percentile(s, d):
 
 
 def jn1_common_scores(s, d):
-    return A.common_scores(matrix(s, d)).groupBy("p", "q").agg(F.count(F.lit(1)).alias("common_count"), F.round(F.sum(F.col("x") * F.col("y")), 5).alias("dot"))
+    return A.common_scores(matrix(s, d)).groupBy("p", "q").agg(F.count(F.lit(1)).alias("common_count"), F.round(F.sum(F.col("x") * F.col("y")), 8).alias("dot"))
 
 
 def jn2_all_pairs(s, d):
@@ -276,7 +276,7 @@ _SELECTS = {
     "wn1_average_rank": "SELECT benchmark, model, round(rk, 6) AS rank0 FROM ns",
     "wn2_normalised": "SELECT benchmark, model, round(score_rank, 6) AS score_rank, round(score_z, 5) AS score_z FROM ns",
     "wn3_percentile": "SELECT benchmark, model, round(score_pct, 6) AS score_pct FROM ns",
-    "jn1_common_scores": "SELECT p, q, count(*) AS common_count, round(sum(x * y), 5) AS dot FROM cs GROUP BY 1, 2",
+    "jn1_common_scores": "SELECT p, q, count(*) AS common_count, round(sum(x * y), 8) AS dot FROM cs GROUP BY 1, 2",
     "jn2_all_pairs": "SELECT a.benchmark AS p, b.benchmark AS q, coalesce(common_count, 0) AS common_count, CASE WHEN common_count >= 6 THEN round(r, 6) + 0.0 END AS r FROM (SELECT DISTINCT benchmark FROM y) a JOIN (SELECT DISTINCT benchmark FROM y) b ON a.benchmark < b.benchmark LEFT JOIN rs ON rs.p = a.benchmark AND rs.q = b.benchmark",
     "jn3_aligned": "SELECT p, q, s, r FROM pt",
     "jn4_pair_diagnostics": "SELECT p, q, s, r, common_count, round(abs(s - r), 6) AS residual FROM pt",

@@ -311,7 +311,7 @@ def pj32_source_host(s, d):
 
 def pj34_display(s, d):
     c = F.col("score")
-    return t(s, d, "score_records").where(usable_score(c) & (c < 1e6)).select("record_id", F.when(c == F.floor(c), c.cast("bigint").cast("string")).when(c >= 100, F.format_string("%.1f", F.round(c, 1))).otherwise(F.format_string("%.2f", F.round(c, 2))).alias("shown"))
+    return t(s, d, "score_records").where(usable_score(c) & (c < 1e6)).select("record_id", F.when(c == F.floor(c), c.cast("bigint").cast("string")).when(c >= 100, F.format_string("%.1f", F.floor(c * 10 + 0.5 + 1e-9) / 10)).otherwise(F.format_string("%.2f", F.floor(c * 100 + 0.5 + 1e-9) / 100)).alias("shown"))
 
 
 def fl1_filtered(s, d):
@@ -399,7 +399,7 @@ _SELECTS = {
     "pj22_buckets": "SELECT CASE WHEN abs(s - r01) < 0.1 THEN 'small' WHEN abs(s - r01) < 0.3 THEN 'medium' ELSE 'large' END AS loss_bucket, CASE WHEN s > r01 THEN 'over' ELSE 'under' END AS sign, count(*) AS n FROM pt GROUP BY 1, 2",
     "pj26_content_hash": "SELECT id, sha256(concat_ws('|', id, name, vendor))[:16] AS key FROM models",
     "pj32_source_host": "SELECT coalesce(nullif(regexp_replace(lower(regexp_extract(source.url, '^[a-z]+://([^/]+)', 1)), '^www\\.', ''), ''), nullif(regexp_replace(lower(trim(source.kind)), '[ _-]+', '_', 'g'), ''), 'none') AS label, count(*) AS n FROM score_records GROUP BY 1",
-    "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', round(score, 1)) ELSE printf('%.2f', round(score, 2)) END AS shown FROM score_records WHERE {_OK} AND score < 1e6",
+    "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', floor(score * 10 + 0.5 + 1e-9) / 10) ELSE printf('%.2f', floor(score * 100 + 0.5 + 1e-9) / 100) END AS shown FROM score_records WHERE {_OK} AND score < 1e6",
     "fl1_filtered": "SELECT b.id AS benchmark, coalesce(n, 0) AS n, concat_ws(',', CASE WHEN coalesce(n, 0) < 10 THEN 'few_models' END, CASE WHEN contains(note, 'deprecated') THEN 'deprecated' END) AS reasons FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS n FROM y GROUP BY 1) c ON c.benchmark = b.id",
     "fl9_phrases": "SELECT doc_id, len(regexp_extract_all(w, ' on  the ')) AS n, len(regexp_extract_all(w, ' (?:no|not|nobody|nothing) (?: [a-z0-9]+ ){0,3} on  the ')) AS negated FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ' AS w FROM documents) WHERE contains(w, ' on  the ')",
     "fl6_core_columns": "SELECT benchmark FROM scores GROUP BY 1 HAVING count(DISTINCT model) >= 6",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import alignment, boards, preparation
+from rankloom.plans import alignment, boards, extras, preparation
 
-_MODULES = (alignment, boards, preparation)
+_MODULES = (alignment, boards, extras, preparation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
