@@ -13,7 +13,7 @@ from rankloom.functions.cleaning import kind_key
 from rankloom.functions.semantics import vector_cosine
 from rankloom.operators import align as A
 from rankloom.operators.hotdeck import usable_matrix_score
-from rankloom.runtime import small
+from rankloom.runtime import small, stash
 from rankloom.runtime import table as t
 
 
@@ -31,8 +31,11 @@ def tag_weights(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_table(s: SparkSession, d: str) -> DataFrame:
-    """Pairs with six decimals, so that thresholds and ties don't hang on the order of a sum."""
-    return A.rounded(A.aligned(A.tag_similarity(tag_weights(s, d)), A.rank_similarity(matrix(s, d), 4)), s=6, r=6, r01=7)
+    """Pairs with six decimals, so that thresholds and ties don't hang on the order of a sum.
+
+    Written once, as most queries use the table several times; it is bounded by the benchmark catalog.
+    """
+    return stash(A.rounded(A.aligned(A.tag_similarity(tag_weights(s, d)), A.rank_similarity(matrix(s, d), 4)), s=6, r=6, r01=7), "pairs")
 
 
 def buckets(s: SparkSession, d: str) -> DataFrame:
@@ -54,7 +57,7 @@ def wn3_percentile(s, d):
 
 
 def jn1_common_scores(s, d):
-    return A.common_scores(matrix(s, d)).groupBy("p", "q").agg(F.count(F.lit(1)).alias("common_count"), F.round(F.sum(F.col("x") * F.col("y")), 8).alias("dot"))
+    return A.common_scores(matrix(s, d)).groupBy("p", "q").agg(F.count(F.lit(1)).alias("common_count"), F.sum(F.floor(F.col("x") * 10000 + 0.000001) * F.floor(F.col("y") * 10000 + 0.000001)).cast("bigint").alias("dot"))
 
 
 def jn2_all_pairs(s, d):
@@ -218,7 +221,7 @@ def wn4_top_neighbours(s, d):
     return A.top_neighbours(pair_table(s, d), "s", 3).select("a", "b", "place")
 
 
-_NOT = {"DataFrame", "matrix", "tag_weights", "pair_table", "buckets", "small", "t", "kind_key", "vector_cosine", "usable_matrix_score", "SparkSession"}
+_NOT = {"DataFrame", "matrix", "tag_weights", "pair_table", "buckets", "small", "stash", "t", "kind_key", "vector_cosine", "usable_matrix_score", "SparkSession"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] != "_" and k not in _NOT}
 
 BASE = """
@@ -276,7 +279,7 @@ _SELECTS = {
     "wn1_average_rank": "SELECT benchmark, model, round(rk, 6) AS rank0 FROM ns",
     "wn2_normalised": "SELECT benchmark, model, round(score_rank, 6) AS score_rank, round(score_z, 5) AS score_z FROM ns",
     "wn3_percentile": "SELECT benchmark, model, round(score_pct, 6) AS score_pct FROM ns",
-    "jn1_common_scores": "SELECT p, q, count(*) AS common_count, round(sum(x * y), 8) AS dot FROM cs GROUP BY 1, 2",
+    "jn1_common_scores": "SELECT p, q, count(*) AS common_count, sum(floor(x * 10000 + 0.000001)::BIGINT * floor(y * 10000 + 0.000001)::BIGINT)::BIGINT AS dot FROM cs GROUP BY 1, 2",
     "jn2_all_pairs": "SELECT a.benchmark AS p, b.benchmark AS q, coalesce(common_count, 0) AS common_count, CASE WHEN common_count >= 6 THEN round(r, 6) + 0.0 END AS r FROM (SELECT DISTINCT benchmark FROM y) a JOIN (SELECT DISTINCT benchmark FROM y) b ON a.benchmark < b.benchmark LEFT JOIN rs ON rs.p = a.benchmark AND rs.q = b.benchmark",
     "jn3_aligned": "SELECT p, q, s, r FROM pt",
     "jn4_pair_diagnostics": "SELECT p, q, s, r, common_count, round(abs(s - r), 6) AS residual FROM pt",
