@@ -51,6 +51,20 @@ def test_votes_and_copying(spark):
     assert sum(float(x.value) == float(x.model_id[1:]) for x in out) > 0.9 * len(out)
 
 
+def test_votes_count_rows_of_the_group(spark):
+    """A field that one record of a group of two claims survives; groups of one row, with variants or not, give nothing."""
+    rows = [
+        record(1, 1.0, source=source("manual", "u")),
+        record(2, None, source=source("manual", ref="t")),
+        record(3, 1.0, model="solo", variants=[(2.0, "c", source("manual", "u"))]),
+        record(4, 2.0, model="twice"),
+        record(4, 2.0, model="twice"),
+    ]
+    r = spark.createDataFrame(rows, RECORDS)
+    got = {(x.model_id, x.field_name): (x.value, x.n_values) for x in fusion.representatives(r, kinds(spark), "votes").collect()}
+    assert got == {("m", "score"): ("1.0", 1), ("m", "url"): ("u", 1), ("m", "ref"): ("t", 1), ("twice", "score"): ("2.0", 1)}
+
+
 def entries(spark, bench, model=()):
     b = spark.createDataFrame([(*x, "c") for x in bench], "entry_id long, run_id string, benchmark string, maintainer string, source_url string, derived_from string, key string")
     m = spark.createDataFrame([(*x, "c") for x in model], "entry_id long, run_id string, model string, team string, report_url string, base_model string, node string")
