@@ -26,8 +26,6 @@ from rankloom.runtime import small, stash
 
 #: Rows of each class that the forest is trained on, and rows that its calibration is measured on.
 TRAIN_ROWS, CALIBRATION_ROWS = 4_000, 2_000
-#: Untold rows from which the shares of the scales among them are estimated.
-PRIOR_ROWS = 20_000
 #: Calibrated probability from which a prediction is converted.
 CONFIDENT = 0.9
 #: Scales that a row without any telling text may be on: percent, fraction, per mille, ten points, basis points, five points.
@@ -156,19 +154,27 @@ def _predict(labelled: DataFrame, rest: DataFrame, counts: dict[int, int]) -> Da
         p = np.where(score[:, None] <= scales, forest.probabilities(x) + 1e-4, 0.0)
         return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
 
-    many = rest.count()
-    draws = rest.where(F.pmod(F.xxhash64(F.col("record_id"), F.lit(3)), F.lit(1 << 30)) < min(1.0, PRIOR_ROWS / max(1, many)) * (1 << 30)).select("score", *FEATURES).toPandas()
-    weights = _shift(fitting(draws[list(FEATURES)].to_numpy(dtype=float), draws["score"].to_numpy(dtype=float)), np.bincount(y[early], minlength=classes).astype(float))
+    ps = [f"p{i}" for i in range(classes)]
 
-    def decided(x: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(batches):
+        for pdf in batches:
+            score = pdf["score"].to_numpy(dtype=float)
+            p = fitting(pdf[list(FEATURES)].to_numpy(dtype=float), score)
+            yield pd.DataFrame({"record_id": pdf["record_id"], "score": score, "_known": pdf["_known"], **{c: p[:, i] for i, c in enumerate(ps)}})
+
+    # every untold row goes through the forest once; the shares and the decisions both read what it said
+    fitted = stash(rest.select("record_id", "score", "_known", *FEATURES).mapInPandas(fit, "record_id bigint, score double, _known boolean, " + ", ".join(f"{c} double" for c in ps)), "fitted")
+    weights = _shift(fitted.select(*ps), np.bincount(y[early], minlength=classes).astype(float))
+
+    def decided(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The likeliest scale given the shares, and its probability."""
-        p = fitting(x, score) * weights
+        p = p * weights
         p = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
         k = p.argmax(axis=1)
         return k, p[np.arange(len(p)), k]
 
     # calibration on held-out rows, weighted like the untold ones: how often it is right at such a probability, in twentieths
-    k, p = decided(x[~early], score[~early])
+    k, p = decided(fitting(x[~early], score[~early]))
     w, bins = weights[y[~early]], np.minimum(20, np.floor(p * 20).astype(int))
     n_bin, right = np.bincount(bins, weights=w, minlength=21), np.bincount(bins, weights=w * (k == y[~early]), minlength=21)
     sure = np.minimum(1.0, np.maximum.accumulate((right + np.arange(21) / 20) / (n_bin + 1)))
@@ -176,22 +182,29 @@ def _predict(labelled: DataFrame, rest: DataFrame, counts: dict[int, int]) -> Da
     def run(batches):
         for pdf in batches:
             s = pdf["score"].to_numpy(dtype=float)
-            k, p = decided(pdf[list(FEATURES)].to_numpy(dtype=float), s)
+            k, p = decided(pdf[ps].to_numpy(dtype=float))
             p = sure[np.minimum(20, np.floor(p * 20).astype(int))]
             p = np.where((s > 1000) & ~pdf["_known"].to_numpy(), 0.0, p)  # may be a rating whose name means nothing
             yield pd.DataFrame({"record_id": pdf["record_id"], "score": s, "full_scale": scales[k].astype(np.int64), "probability": p})
 
-    return rest.select("record_id", "score", "_known", *FEATURES).mapInPandas(run, "record_id bigint, score double, full_scale bigint, probability double")
+    return fitted.mapInPandas(run, "record_id bigint, score double, full_scale bigint, probability double")
 
 
-def _shift(probabilities: np.ndarray, trained: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weight of each class: its share among the untold rows, by expectation maximisation, over its share in training."""
+def _shift(probabilities: DataFrame, trained: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weight of each class: its share among the untold rows, by expectation maximisation, over its share in training.
+
+    ``probabilities`` has a column for each class and all untold rows. A round sums over them where they lie; only the
+    sums reach the driver.
+    """
     prior = trained / trained.sum()
     share = prior.copy()
-    if len(probabilities):
-        for _ in range(rounds):
-            q = probabilities * (share / np.maximum(prior, 1e-9))
-            share = np.maximum((q / np.maximum(q.sum(axis=1, keepdims=True), 1e-12)).mean(axis=0), 1e-6)
+    for _ in range(rounds):
+        q = [F.col(c) * float(w) for c, w in zip(probabilities.columns, share / np.maximum(prior, 1e-9))]
+        parts = probabilities.select(F.greatest(sum(q[1:], q[0]), F.lit(1e-12)).alias("_all"), *[e.alias(f"q{i}") for i, e in enumerate(q)])
+        n, *sums = parts.agg(F.count("*"), *[F.sum(F.col(f"q{i}") / F.col("_all")) for i in range(len(q))]).first()
+        if not n:
+            break
+        share = np.maximum(np.array(sums, dtype=float) / n, 1e-6)
     return share / np.maximum(prior, 1e-9)
 
 

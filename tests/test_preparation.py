@@ -54,6 +54,24 @@ def test_units(spark):
     assert units.not_percent(spark.createDataFrame([record(1, 5.0, config="default")], RECORDS), b).count() == 0
 
 
+def test_shares_of_scales_come_from_all_untold_rows(spark, monkeypatch):
+    seen, shift = [], units._shift
+    monkeypatch.setattr(units, "_shift", lambda p, *a: (seen.append(len(p) if isinstance(p, np.ndarray) else p.count()), shift(p, *a))[1])
+    told = [record(i, float(i % 90 + 1), config="percent") if i % 2 else record(i, i % 90 / 100, config="fraction") for i in range(200)]
+    rows = spark.createDataFrame(told, RECORDS).unionByName(spark.range(1000, 26_000).select(F.col("id").alias("record_id"), (F.col("id") % 90 + 1).cast("double").alias("score"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], RECORDS).schema if f.name not in ("record_id", "score")]))
+    units.not_percent(rows, spark.createDataFrame([("b", "B", "math", "percent")], BENCHMARKS)).count()
+    assert seen == [25_000]
+
+    p = np.random.default_rng(6).dirichlet([1, 2, 5], size=500)
+    prior = np.array([0.5, 0.25, 0.25])
+    share = prior
+    for _ in range(30):
+        q = p * share / prior
+        share = np.maximum((q / q.sum(axis=1, keepdims=True)).mean(axis=0), 1e-6)
+    got = shift(spark.createDataFrame(p.tolist(), "a double, b double, c double"), prior * 8)
+    assert np.allclose(got, share / prior) and np.allclose(shift(spark.createDataFrame([], "a double, b double, c double"), prior), 1)
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
