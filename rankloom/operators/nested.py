@@ -165,8 +165,8 @@ def entries(drops: DataFrame) -> DataFrame:
 def record_nodes(records: DataFrame) -> DataFrame:
     """The same labels for score_records: (record_id, type, path, parent_path, pre, post, score, config, kind, url, ref, ...).
 
-    Built from the arrays with built-in functions: the record, its source, each variant and the variant's source, and one
-    row for each key of ``extra`` that is a JSON object. Null variants keep their position and give no row.
+    Built from the arrays with built-in functions: the record, its source, each variant and the variant's source. Null
+    variants keep their position and give no row. ``record_tree`` adds ``extra``.
     """
     node = lambda t, path, parent, pre, post, score, config, s: F.struct(F.lit(t).alias("type"), path.alias("path"), parent.alias("parent_path"), pre.cast("bigint").alias("pre"), post.cast("bigint").alias("post"), score.cast("double").alias("score"), config.alias("config"), s["kind"].alias("kind"), s["url"].alias("url"), s["ref"].alias("ref"), s["reported_by"].alias("reported_by"), s["published"].alias("published"), s["fetched_at"].alias("fetched_at"))
     empty = F.lit(None).cast("string")
@@ -182,6 +182,53 @@ def record_nodes(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.explode(F.filter(F.concat(own, variants, sources), lambda x: x.isNotNull())).alias("x")).select("record_id", "x.*")
 
 
+_EXTRA = "array<struct<type:string,path:string,parent_path:string,pre:bigint,post:bigint,name:string,value:string>>"
+
+
+def walk_extra(extra: str | None, clock: int) -> list[tuple]:
+    """Tuples of _EXTRA for ``extra`` itself and all that it holds, in document order, with numbers after ``clock``.
+
+    The type is that of the JSON value; numbers, texts and truth values come with their text. '~' and '/' in keys are
+    written '~0' and '~1' in paths. Null and broken JSON give none.
+    """
+    try:
+        top = json.loads(extra) if extra is not None else None
+    except (ValueError, RecursionError):
+        return []
+    if extra is None:
+        return []
+    out, open_, stack = [], [], [("extra", "r/x", "r", top)]
+    while stack:
+        at = stack.pop()
+        if at is None:
+            out[open_.pop()][4] = clock = clock + 1
+            continue
+        name, path, parent, v = at
+        clock += 1
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "null" if v is None else "number"
+        out.append([kind, path, parent, clock, 0, name, None if v is None or isinstance(v, (dict, list)) else v if isinstance(v, str) else json.dumps(v)])
+        open_.append(len(out) - 1)
+        inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+        stack.append(None)
+        stack.extend(reversed([(str(k), path + "/" + str(k).replace("~", "~0").replace("/", "~1"), path, x) for k, x in inner]))
+    return [tuple(x) for x in out]
+
+
+def record_tree(records: DataFrame) -> DataFrame:
+    """record_nodes with ``extra``: its object, and every key, nested object and array element at any depth, as typed nodes.
+
+    They come after the variants, under 'r/x', with ``name`` (the key or position) and ``value``; the record's ``post``
+    moves behind them, so that containment holds for all types. No shuffle.
+    """
+    n = F.coalesce(F.size(F.coalesce("variants", F.array().cast(records.schema["variants"].dataType))), F.lit(0))
+    extras = F.udf(walk_extra, _EXTRA, useArrow=True)(F.col("extra"), (3 + 4 * n).cast("bigint"))
+    own = record_nodes(records.select("record_id", "score", "config", "source", "variants")).withColumns({"name": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
+    nodes = records.select("record_id", "score", "config", n.alias("_n"), extras.alias("_x"))
+    top = nodes.select("record_id", F.lit("record").alias("type"), F.lit("r").alias("path"), F.lit("").alias("parent_path"), F.lit(1).cast("bigint").alias("pre"), (5 + 4 * F.col("_n") + 2 * F.size("_x")).cast("bigint").alias("post"), F.col("score").cast("double").alias("score"), "config")
+    below = nodes.select("record_id", F.inline("_x"))
+    return own.where("type <> 'record'").unionByName(top, allowMissingColumns=True).unionByName(below, allowMissingColumns=True)
+
+
 def record_extras(records: DataFrame) -> DataFrame:
     """(record_id, parent_path, key, value): the keys of ``extra``. Null and broken JSON give no rows."""
     parsed = F.from_json("extra", "map<string,string>", {"mode": "PERMISSIVE"})

@@ -33,12 +33,17 @@ def p6_records(s: SparkSession, d: str) -> DataFrame:
     return nested.record_nodes(t(s, d, "score_records"))
 
 
+def p6_record_tree(s: SparkSession, d: str) -> DataFrame:
+    """The nodes of p6_records and those of ``extra``."""
+    return nested.record_tree(t(s, d, "score_records"))
+
+
 def p6_trials_in_records(s: SparkSession, d: str) -> DataFrame:
     tables = nested.tables(t(s, d, "raw_drops"))
     return nested.contained(tables["record"], tables["trial"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p4_found, p4_filled, p6_found, p6_records, p6_trials_in_records)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p4_found, p4_filled, p6_found, p6_records, p6_record_tree, p6_trials_in_records)}
 
 _BLANK = "('', '-', '--', '?', '.', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'tbd', 'unknown', 'undefined')"
 

@@ -161,3 +161,21 @@ def test_record_nodes(spark):
     got = {(x.record_id, x.path) for x in nested.record_nodes(r).collect()}
     assert got == {(1, "r"), (1, "r/o"), (1, "r/v0"), (1, "r/v0/o"), (1, "r/v2"), (2, "r"), (3, "r"), (4, "r")}
     assert {(x.key, x.value) for x in nested.record_extras(r).collect()} == {("a", "1"), ("b", '{"c":2}')}
+
+
+def test_record_tree_holds_extra(spark):
+    r = spark.createDataFrame([record(1, 1.0, source=source("k"), variants=[(2.0, "c", source("x")), None], extra='{"price": {"in": 1.5, "a/b": null}, "tags": ["x", {"y": true}], "rank": 3}'), record(2, None), record(3, 1.0, extra="{broken"), record(4, 1.0, extra="{}")], RECORDS)
+    rows = nested.record_tree(r).collect()
+    got = {x.path: (x.type, x.parent_path, x.name, x.value) for x in rows if x.record_id == 1 and x.path.startswith("r/x")}
+    assert got == {
+        "r/x": ("object", "r", "extra", None), "r/x/price": ("object", "r/x", "price", None), "r/x/price/in": ("number", "r/x/price", "in", "1.5"),
+        "r/x/price/a~1b": ("null", "r/x/price", "a/b", None), "r/x/tags": ("array", "r/x", "tags", None), "r/x/tags/0": ("string", "r/x/tags", "0", "x"),
+        "r/x/tags/1": ("object", "r/x/tags", "1", None), "r/x/tags/1/y": ("boolean", "r/x/tags/1", "y", "true"), "r/x/rank": ("number", "r/x", "rank", "3"),
+    }
+    assert {(x.record_id, x.path) for x in rows if x.record_id > 1} == {(2, "r"), (3, "r"), (4, "r"), (4, "r/x")}
+    one = [x for x in rows if x.record_id == 1]
+    assert {x.path for x in one} - got.keys() == {"r", "r/o", "r/v0", "r/v0/o"}
+    assert len({x.pre for x in one} | {x.post for x in one}) == 2 * len(one)
+    for a in one:
+        for b in one:
+            assert (a.pre < b.pre and b.post < a.post) == b.path.startswith(a.path + "/")
