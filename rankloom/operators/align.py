@@ -125,13 +125,18 @@ def retrieval_report(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("a").agg(F.avg(F.when(F.col("place") <= k, F.col("r"))).alias("top_mean"), F.avg("r").alias("all_mean"))
 
 
-def error_report(pairs: DataFrame, k: int, q_low: float = 0.2, q_high: float = 0.8) -> DataFrame:
-    """The k worst pairs that tags call similar and ranks don't (false_sim), or the other way round (false_dis)."""
+def flagged_pairs(pairs: DataFrame, q_low: float = 0.2, q_high: float = 0.8) -> DataFrame:
+    """All pairs that tags call similar and ranks don't (false_sim), or the other way round (false_dis)."""
     q = lambda c: F.percentile(c, F.array(F.lit(q_low), F.lit(q_high)))
     t = pairs.join(F.broadcast(pairs.agg(q("s").alias("qs"), q("r01").alias("qr"))))
     lo, hi = F.lit(0), F.lit(1)
     kind = F.when((F.col("s") >= F.get("qs", hi)) & (F.col("r01") <= F.get("qr", lo)), "false_sim").when((F.col("s") <= F.get("qs", lo)) & (F.col("r01") >= F.get("qr", hi)), "false_dis")
-    return t.select("p", "q", kind.alias("kind"), F.abs(F.col("s") - F.col("r01")).alias("gap")).where("kind IS NOT NULL").orderBy(F.desc("gap"), "p", "q").limit(k)
+    return t.select("p", "q", kind.alias("kind"), F.abs(F.col("s") - F.col("r01")).alias("gap")).where("kind IS NOT NULL")
+
+
+def error_report(pairs: DataFrame, k: int, q_low: float = 0.2, q_high: float = 0.8) -> DataFrame:
+    """The k worst of the flagged pairs."""
+    return flagged_pairs(pairs, q_low, q_high).orderBy(F.desc("gap"), "p", "q").limit(k)
 
 
 def residual_report(pairs: DataFrame, k: int) -> DataFrame:

@@ -190,7 +190,7 @@ def ag34_split_counts(s, d):
 
 
 def ag41_error_modes(s, d):
-    return A.error_report(pair_table(s, d), 10_000).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return A.flagged_pairs(pair_table(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tk1_error_report(s, d):

@@ -126,3 +126,12 @@ def test_stream_keeps_latest(spark, tmp_path):
         q = log.keep_latest(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["k"], "at", str(tmp_path / "state"), str(tmp_path / "check"))
         q.awaitTermination(60)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state/batch=1")).select("k", "v").collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_error_modes_count_every_flagged_pair(spark, monkeypatch):
+    from rankloom.plans import alignment
+
+    s = F.col("id") / 59_999
+    pairs = spark.range(60_000).select(F.col("id").cast("string").alias("p"), F.lit("z").alias("q"), s.alias("s"), (1 - 2 * s).alias("r"), (1 - s).alias("r01"))
+    monkeypatch.setattr(alignment, "pair_table", lambda *_: pairs)
+    assert {r.kind: r.n for r in alignment.ag41_error_modes(spark, "").collect()} == {"false_sim": 12_000, "false_dis": 12_000}
