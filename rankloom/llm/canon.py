@@ -7,6 +7,9 @@ tags, dates, marks, organisation prefixes), and what remains is searched with al
 depends on its length: 0 below 5 letters, 1 below 6, else 2 edits (insertion, deletion, substitution, transposition).
 Digits and dots can't be edited, nor what follows the first word of a name: another version, size or role is another entry.
 
+Alternatives of a word are branches of the trie that meet again where the word ends, so a name with many versions in it
+takes as much room as its letters and their alternatives, not their product.
+
 The automaton is the universal one: its state is the set of (offset, edits) pairs relative to the depth in the trie, its
 input the bits that say where the next letter stands in a window of the typed value; transitions are computed once and
 kept. The nearest entry wins; if two entries are equally near the value is ambiguous and reported as unmatched. Values
@@ -19,8 +22,9 @@ of entries leaves every value unmatched. Extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import re
+import sys
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import usable_text
-from rankloom.runtime import catalog_rows
+from rankloom.runtime import catalog_rows, small
 
 # Cyrillic and Greek letters that look like Latin ones, and what they look like.
 LOOK_ALIKES = str.maketrans(
@@ -54,8 +58,8 @@ def squeeze(text: str) -> str:
     return re.sub(r"(?<!\d)\.|\.(?!\d)", "", s)
 
 
-def written_forms(text: str) -> dict[str, tuple[int, int]]:
-    """All squeezed ways of writing a name: its tokens with their alternatives, and the size put first.
+def written_forms(text: str) -> list[tuple[list[tuple[str, ...]], int]]:
+    """Ways of writing a name: its words, each with its alternatives, as they stand and with the size put first.
 
     Each with the place of its first word, the only one in which letters may be wrong.
     """
@@ -69,17 +73,11 @@ def written_forms(text: str) -> dict[str, tuple[int, int]]:
         elif t in ("bench", "benchmark"):
             ways.append(("bench", "benchmark"))
         else:
-            ways.append((t,))
-    out = {}
+            ways.append((squeeze(t),))
+    if not any(any(w) for w in ways):
+        return []
     size = next((i for i, t in enumerate(tokens) if i and re.fullmatch(r"\d+(?:\.\d+)?[bm]", t)), None)
-    for way in itertools.product(*ways):
-        n = len(squeeze(way[0]))
-        out.setdefault(squeeze("".join(way)), (0, n))
-        if size is not None:
-            at = len(squeeze(way[size]))
-            out.setdefault(squeeze("".join((way[size], *way[:size], *way[size + 1 :]))), (at, at + n))
-    out.pop("", None)
-    return out
+    return [(ways, 0)] + ([([ways[size], *ways[:size], *ways[size + 1 :]], 1)] if size is not None else [])
 
 
 class Automaton:
@@ -142,27 +140,44 @@ class Trie:
     root: dict = field(default_factory=dict)
     automata: dict = field(default_factory=lambda: {k: Automaton(k) for k in (1, 2)})
 
-    def add(self, form: str, entry: str, soft: tuple[int, int] | None = None) -> None:
-        """``soft``: from where to where letters of the form may be wrong (all of it if not given)."""
-        a, b = soft or (0, len(form))
-        node = self.root
-        for i, c in enumerate(form):
-            if a <= i <= b:
-                node[" skips"] = True
-            node = node.setdefault(c, {})
-            if a <= i < b:
-                node[" soft"] = True
-        if b == len(form):
-            node[" skips"] = True
-        node.setdefault("", set()).add(entry)
+    def add(self, words: list[tuple[str, ...]], entry: str, soft: int = 0) -> None:
+        """``soft``: the word whose letters may be wrong. A node's letters lead on; ' next' leads on without one."""
+        at = self.root
+        for i, ways in enumerate(words):
+            end = at.setdefault(" words", {}).setdefault((ways, i == soft), {})
+            for way in ways:
+                node = at
+                for c in way:
+                    if i == soft:
+                        node[" skips"] = True
+                    node = node.setdefault(c, {})
+                    if i == soft:
+                        node[" soft"] = True
+                if i == soft:
+                    node[" skips"] = end[" skips"] = True
+                if not any(x is end for x in node.setdefault(" next", [])):
+                    node[" next"].append(end)
+            at = end
+        at.setdefault("", set()).add(entry)
+
+    @staticmethod
+    def _spread(nodes: list[dict]) -> list[dict]:
+        """The nodes and all that follow without a letter."""
+        out, seen = list(nodes), {id(x) for x in nodes}
+        for x in out:
+            for y in x.get(" next", ()):
+                if id(y) not in seen:
+                    seen.add(id(y))
+                    out.append(y)
+        return out
 
     def exact(self, text: str) -> set:
-        node = self.root
+        nodes = self._spread([self.root])
         for c in text:
-            node = node.get(c)
-            if node is None:
+            nodes = self._spread([x[c] for x in nodes if c in x])
+            if not nodes:
                 return set()
-        return node.get("", set())
+        return set().union(*(x.get("", ()) for x in nodes))
 
     def within(self, text: str, k: int) -> dict[str, int]:
         """Entries within ``k`` edits of ``text`` and their distances."""
@@ -179,6 +194,7 @@ class Trie:
         stack = [(self.root, 0, a.start)]
         while stack:
             node, depth, state = stack.pop()
+            stack.extend((x, depth, state) for x in node.get(" next", ()))
             left = min(width, n - depth + k)
             skips = " skips" in node
             if "" in node:
@@ -213,8 +229,8 @@ class Matcher:
         for entry, names in entries:
             for name in {entry, *names}:
                 if name:
-                    for form, soft in written_forms(name).items():
-                        self.trie.add(form, entry, soft)
+                    for words, soft in written_forms(name):
+                        self.trie.add(words, entry, soft)
 
     def _starts(self, s: str) -> list[str]:
         """The text itself, and without what may be the name of an organisation before it."""
@@ -234,15 +250,14 @@ class Matcher:
             out = self.seen[typed] = self._answer(typed)
         return out
 
-    def _answer(self, typed: str) -> str:
+    def near(self, typed: str) -> dict[str, int]:
+        """All entries within the distance that the length allows, with their distances; those written exactly so have 0."""
         bare = fold(typed)
-        tried = []
         while True:
             for s in self._starts(bare):
                 q = squeeze(s)
                 if q and (hit := self.trie.exact(q)):
-                    return next(iter(hit)) if len(hit) == 1 else ""
-                tried.append(q)
+                    return dict.fromkeys(hit, 0)
             cut = _TAIL.sub("", bare)
             if cut == bare or not cut:
                 break
@@ -252,22 +267,38 @@ class Matcher:
             if k := edits_for(q):
                 for entry, d in self.trie.within(q, k).items():
                     near[entry] = min(d, near.get(entry, d))
-        if not near:
-            return ""
-        least = min(near.values())
+        return near
+
+    def _answer(self, typed: str) -> str:
+        near = self.near(typed)
+        least = min(near.values(), default=0)
         best = [x for x, d in near.items() if d == least]
         return best[0] if len(best) == 1 else ""
 
 
-def canonical_ids(values: DataFrame, entries: list[tuple[str, list[str]]], prefixes: list[str] = ()) -> DataFrame:
-    """Adds ``canonical_id`` to rows with a text column ``typed``. Each task answers its own rows, so nothing is shuffled
-    and a value that a third of the rows hold costs one search per task."""
+Lists = dict[str, tuple[list[tuple[str, list[str]]], list[str]]]
+
+
+def matchers(lists: Lists, key: str) -> dict[str, Matcher]:
+    """The matchers of the lists; built once in each Python worker, which keeps those of the last few calls."""
+    kept = sys.__dict__.setdefault("_rankloom_matchers", {})
+    if key not in kept:
+        if len(kept) >= 4:
+            kept.clear()
+        kept[key] = {name: Matcher(*x) for name, x in lists.items()}
+    return kept[key]
+
+
+def canonical_ids(values: DataFrame, lists: Lists) -> DataFrame:
+    """Adds ``canonical_id`` to rows with text columns ``typed`` and ``list``. Each task answers its own rows, so nothing is
+    shuffled and a value that a third of the rows hold costs one search for each worker."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in values.schema)}, canonical_id string"
+    key = hashlib.md5(repr(lists).encode()).hexdigest()
 
     def run(batches):
-        m = Matcher(entries, prefixes)
+        m = matchers(lists, key)
         for pdf in batches:
-            pdf["canonical_id"] = [m.answer(x) for x in pdf["typed"]]
+            pdf["canonical_id"] = [m[of].answer(x) for of, x in zip(pdf["list"], pdf["typed"])]
             yield pdf
 
     return values.mapInPandas(run, schema)
@@ -282,17 +313,31 @@ def benchmark_entries(benchmarks: DataFrame) -> list[tuple[str, list[str]]]:
     return [(r.id, [r.name]) for r in catalog_rows(benchmarks.where("id is not null").select("id", "name"))]
 
 
-def mapped(records: DataFrame, models: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """(record_id, field_name, typed, canonical_id) of every typed value that is no id as written; '' if it fits no entry."""
+def typed_values(records: DataFrame, models: DataFrame, benchmarks: DataFrame) -> tuple[DataFrame, Lists]:
+    """(record_id, field_name, list, typed) of every value that says something and is no id as written, and the lists."""
     entries, vendors = model_entries(models)
-    known = {"model": [e for e, _ in entries], "benchmark": [e for e, _ in benchmark_entries(benchmarks)]}
-    parts = []
+    lists = {"model": (entries, vendors), "benchmark": (benchmark_entries(benchmarks), [])}
     name = F.get_json_object("extra", "$.leaderboard_model_name")
-    for field_name, value, of in (("model_id", F.col("model_id"), "model"), ("benchmark_id", F.col("benchmark_id"), "benchmark"), ("leaderboard_model_name", name, "model")):
-        typed = records.select(F.col("record_id").cast("bigint").alias("record_id"), F.lit(field_name).alias("field_name"), value.alias("typed"))
-        typed = typed.where(usable_text(F.col("typed")) & (~F.col("typed").isin(*known[of]) if known[of] else F.lit(True)))
-        parts.append(canonical_ids(typed, entries if of == "model" else benchmark_entries(benchmarks), vendors if of == "model" else []))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(of).alias("list"), v.alias("typed")) for f, of, v in (("model_id", "model", F.col("model_id")), ("benchmark_id", "benchmark", F.col("benchmark_id")), ("leaderboard_model_name", "model", name))])
+    typed = records.select(F.col("record_id").cast("bigint").alias("record_id"), F.explode(each).alias("x")).select("record_id", "x.*").where(usable_text(F.col("typed")))
+    ids = models.select(F.lit("model").alias("list"), F.col("id").alias("typed")).unionByName(benchmarks.select(F.lit("benchmark").alias("list"), F.col("id").alias("typed")))
+    return typed.join(small(ids), ["list", "typed"], "left_anti").select("record_id", "field_name", "list", "typed"), lists
+
+
+def mapped(records: DataFrame, models: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """(record_id, field_name, typed, canonical_id) of every typed value that is no id as written; '' if it fits no entry."""
+    return canonical_ids(*typed_values(records, models, benchmarks)).select("record_id", "field_name", "typed", "canonical_id")
+
+
+def candidates(records: DataFrame, models: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """(list, typed, n, entry, distance): for every distinct typed value all entries within the distance its length allows."""
+    values, lists = typed_values(records, models, benchmarks)
+    key = hashlib.md5(repr(lists).encode()).hexdigest()
+
+    def run(batches):
+        m = matchers(lists, key)
+        for pdf in batches:
+            rows = [(of, x, n, e, d) for of, x, n in zip(pdf["list"], pdf["typed"], pdf["n"]) for e, d in sorted(m[of].near(x).items())]
+            yield pd.DataFrame(rows, columns=["list", "typed", "n", "entry", "distance"])
+
+    return values.groupBy("list", "typed").agg(F.count("*").alias("n")).mapInPandas(run, "list string, typed string, n bigint, entry string, distance int")

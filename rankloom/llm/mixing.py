@@ -1,29 +1,32 @@
 """Mixing sources to target weights by soft membership.
 
 1. A categorical naive Bayes classifier over the table's columns (language, page, resolution, length, week day and the
-   mark that breaks words) learns from all labelled rows and gives each document a posterior over the wanted sources and
-   'other'. A recorded source is believed to LABEL_TRUST; the rest of the membership follows the posterior.
-2. The total of the mix is the largest at which every wanted source that has documents can reach its share within its
-   cap of repeats (or a given number). Shares of sources without any document can't be met and are shared out.
-3. Projected-gradient least squares fits a rate from 0 to the cap for every document, so that the expected tokens of
-   each domain (rates times tokens times membership) meet the targets. A step needs only the totals of the domains, and a
-   document's rate is a function of the totals of the steps so far, so an iteration is one pass without a shuffle.
-4. Rates become whole numbers of copies: everybody gets the whole part, and the next copies go round in an exponential
-   race by the fractions until the recorded source has its share, by prefix sums in two steps (a source may hold any
-   share of the rows). This makes actual shares exact to about one document.
-
-Documents whose source is null, blank or not listed stay out of the mix (their rate is 0). Targets that are null, zero or
-negative, and caps below 1, count as not listed; a source listed twice counts with the sum of its shares and its largest
-cap. Documents without tokens are not used. Repeated rows are documents of their own. Empty tables give no rows.
+   mark that breaks words) learns from all documents with a recorded source and gives each document without one a posterior
+   over the wanted sources and 'other'. A recorded source is the document's domain with certainty.
+2. The total (``total``, or else the largest of which the sources that run out at their cap leave at most
+   ``most_missing`` unfilled) gives each domain its goal in tokens. Scarce sources stop at their cap, and
+   ``shares`` reports what they fall short by. Shares of sources without any document can't be met and are shared out.
+3. Projected-gradient least squares fits a rate from 0 to its cap for every document, so that the expected tokens of each
+   domain (rates times tokens times membership) come as near to the goals as the caps allow; 'other' has the goal 0.
+   With domain d weighted by 1 / (its soft tokens D_d) and steps taken per token, the Hessian's largest eigenvalue is 1, so
+   steps of length 1 descend. Documents with a recorded source share their membership, so their part of a step is one
+   number; those without one are summed up by their traits and their part is one pass over that table, without a shuffle.
+   Where a source is scarce, the gradient draws on unlabelled documents that probably belong to it.
+4. Rates become whole numbers of copies by systematic rounding: in hash order within source and size class, a document
+   gets a copy wherever the running sum of rates passes a whole number. The sums are whole numbers (2^-20 of a copy) and
+   run over hash ranges in two steps, so a source may hold any share of the rows.
+
+Documents of a recorded source that is not listed stay out of the mix, as do unlabelled ones that more probably belong to
+'other' than to any listed source. Targets that are null, zero or negative, and caps below 1, count as not listed; a source
+listed twice counts with the sum of its shares and its largest cap. Documents without tokens are not used. Repeated rows
+are documents of their own. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import usable_text
@@ -31,11 +34,16 @@ from rankloom.llm.components import prefix_sums
 from rankloom.llm.tokens import with_tokens
 from rankloom.runtime import catalog_rows, stash
 
-LABEL_TRUST = 0.98
-STEPS = 25
+#: Share of the total that scarce sources may leave unfilled.
+MOST_MISSING = 0.05
+#: A step that lowers the objective by less than this share of it is the last; more steps than MOST_STEPS are an error.
+TOLERANCE, MOST_STEPS = 1e-5, 1_000
 #: Sources that a mix may name at most.
 MOST_SOURCES = 500
+#: Units of a copy in the running sums.
+UNIT = 1 << 20
 FEATURES = ("lang", "page", "dpi", "size", "day", "hyphen")
+_X = [f"x_{f}" for f in FEATURES]
 
 
 def _traits(docs: DataFrame) -> list[Column]:
@@ -60,11 +68,8 @@ def targets_of(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
     return [(r.source, float(r.w), int(r.cap)) for r in sorted(catalog_rows(t, MOST_SOURCES), key=lambda r: r.source)]
 
 
-def _memberships(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``m`` ARRAY<DOUBLE>: membership in each wanted source and, last, in 'other'."""
-    k = len(names)
-    at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("source")), F.lit(k))
-    labelled = rows.where(usable_text(F.col("source"))).select(at.alias("c"), *[f"x_{f}" for f in FEATURES])
+def _classifier(labelled: DataFrame, k: int):
+    """Function from a frame of traits to posteriors over the k wanted sources and, last, 'other'; from (c, x_...) rows."""
     each = F.explode(F.array(F.struct(F.lit("").alias("f"), F.lit("").alias("v")), *[F.struct(F.lit(f).alias("f"), F.col(f"x_{f}").alias("v")) for f in FEATURES])).alias("x")
     counts = labelled.select("c", each).groupBy("c", "x.f", "x.v").agg(F.count("*").alias("n"))
     n = np.zeros(k + 1)
@@ -74,117 +79,155 @@ def _memberships(rows: DataFrame, names: list[str]) -> DataFrame:
             seen[r.f].setdefault(r.v, np.zeros(k + 1))[r.c] = r.n
         else:
             n[r.c] = r.n
-    prior = np.log((n + 1) / (n.sum() + k + 1))
+    prior = np.where(n > 0, np.log((n + 1) / (n.sum() + k + 1)), -np.inf)
+    prior = prior if n.any() else np.append(np.full(k, -np.inf), 0.0)
     tables = {f: {v: np.log((x + 0.5) / (n + 0.5 * (len(vs) + 1))) for v, x in vs.items()} for f, vs in seen.items()}
     fresh = {f: np.log(0.5 / (n + 0.5 * (len(vs) + 1))) for f, vs in seen.items()}
 
-    def run(batches):
-        for pdf in batches:
-            score = np.tile(prior, (len(pdf), 1))
-            for f in FEATURES:
-                codes, values = pd.factorize(pdf[f"x_{f}"])
-                score += np.array([tables[f].get(v, fresh[f]) for v in values]).reshape(-1, k + 1)[codes]
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            c = pdf["c"].to_numpy()
-            given = c >= 0
-            m = np.where(given[:, None], LABEL_TRUST * np.eye(k + 1)[np.where(given, c, k)] + (1 - LABEL_TRUST) * p, p)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": pdf["n_tokens"], "c": c, "m": list(m)})
-
-    coded = rows.withColumn("c", F.when(usable_text(F.col("source")), at).otherwise(-1))
-    return coded.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, c int, m array<double>")
-
-
-def _rates(m: np.ndarray, cap: np.ndarray, start: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps: each moves by the membership-weighted relative error and is clipped to 0..cap."""
-    r = start.copy()
+    def posterior(pdf: pd.DataFrame) -> np.ndarray:
+        score = np.tile(prior, (len(pdf), 1))
+        for f in FEATURES:
+            codes, values = pd.factorize(pdf[f"x_{f}"])
+            score += np.array([tables[f].get(v, fresh[f]) for v in values]).reshape(-1, k + 1)[codes]
+        p = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
+        return p / p.sum(axis=1, keepdims=True)
+
+    return posterior
+
+
+def _caps(m: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Caps of documents by membership: that of the most probable domain; 'other' has 0."""
+    return np.append(cap, 0.0)[m.argmax(axis=1)] if len(m) else np.zeros(0)
+
+
+def _rates(m: np.ndarray, caps: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates after the given steps; each moves by the membership-weighted error and is clipped to 0..cap."""
+    r = np.minimum(start, caps)
     for g in steps:
-        r = np.clip(r - m @ g, 0.0, cap)
+        r = np.clip(r - m @ g, 0.0, caps)
     return r
 
 
-def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None) -> tuple[DataFrame, dict]:
-    """(doc_id, source, n_tokens, c, rate) with the fitted rates, and the plan: names, caps, budgets in tokens."""
+def total_of(share: np.ndarray, reach: np.ndarray, most_missing: float) -> float:
+    """The largest total at which sources that reach at most ``reach`` tokens miss ``most_missing`` of it; shares sum to 1."""
+    ends = np.sort(reach / share)
+    missing = lambda t: np.maximum(0.0, share - reach / t).sum()
+    lo, hi = float(ends[0]), float(ends[-1])
+    if missing(hi) <= most_missing:
+        return hi
+    for _ in range(80):  # missing grows with the total
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if missing(mid) <= most_missing else (lo, mid)
+    return lo
+
+
+def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None, most_missing: float = MOST_MISSING) -> tuple[DataFrame, dict]:
+    """(doc_id, source, domain, n_tokens, c, rate) of the documents that may enter, and the plan.
+
+    ``c`` is the number of the recorded source, -1 for unlabelled documents; ``domain`` is the recorded or most probable
+    source. The plan has names, caps, goals and expected tokens by domain ('other' last), steps and the objective.
+    """
     targets = targets_of(mix_targets)
     names = [t[0] for t in targets]
+    out = "doc_id bigint, source string, domain string, n_tokens bigint, c int, rate double"
     if not names:
-        return docs.limit(0).select("doc_id", "source", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).alias("c"), F.lit(0.0).alias("rate")), {"names": [], "caps": [], "budgets": []}
-    sized = stash(with_tokens(docs.select("*", *_traits(docs)), ["doc_id", "source", *[f"x_{f}" for f in FEATURES]], tokenizer), "sized")
-    data = stash(_memberships(sized.withColumn("doc_id", F.col("doc_id").cast("bigint")), names), "members")
+        return docs.sparkSession.createDataFrame([], out), {"names": []}
     k = len(names)
-    have = np.zeros(k)
-    for r in data.where("c >= 0").groupBy("c").agg(F.sum("n_tokens").alias("n")).collect():
-        if r.c < k:
-            have[r.c] = r.n
+    at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("source")), F.lit(k))
+    c = F.when(usable_text(F.col("source")), at).otherwise(-1).alias("c")
+    traits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", c, *_traits(docs))
+    sized = stash(with_tokens(traits, ["doc_id", "source", "c", *_X], tokenizer), "sized")
+    posterior = _classifier(sized.where("c >= 0"), k)
+    free = sized.where("c < 0 and n_tokens > 0").groupBy(*_X).agg(F.sum("n_tokens").alias("n_tokens"))
+
+    def memberships(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n_tokens": pdf["n_tokens"], "m": list(posterior(pdf))})
+
+    cells = stash(free.mapInPandas(memberships, "n_tokens bigint, m array<double>"), "cells")
     share, cap = np.array([t[1] for t in targets]), np.array([float(t[2]) for t in targets])
-    there = have > 0
-    wanted = np.where(there, share, 0.0)
-    wanted = wanted / wanted.sum() if there.any() else wanted
+    have = np.zeros(k + 1)
+    for r in sized.where("c >= 0").groupBy("c").agg(F.sum("n_tokens").alias("n")).collect():
+        have[r.c] = r.n
+    there = have[:k] > 0
+    if not there.any():
+        return docs.sparkSession.createDataFrame([], out), {"names": []}
+    wanted = np.where(there, share, 0.0) / share[there].sum()
     if total is None:
-        total = float(np.min((cap * have)[there] / wanted[there])) if there.any() else 0.0
-    goal = np.minimum(wanted * total, cap * have)
-    caps = np.append(cap, 0.0)
-    # 'other' has no goal; the start is the rate of the recorded source
-    begin = np.append(np.divide(goal, have, out=np.zeros(k), where=there), 0.0)
+        total = total_of(wanted[there], (cap * have[:k])[there], most_missing)
+    goal = np.append(wanted * total, 0.0)
+    own = np.where(there, have[:k], 0.0)
+
+    def summed(weigh) -> np.ndarray:
+        """Sums of weigh(m, n_tokens) over the unlabelled documents."""
+
+        def run(batches):
+            x = np.zeros(k + 1)
+            for pdf in batches:
+                if len(pdf):
+                    m = np.stack(pdf["m"].to_numpy())
+                    x += (weigh(m) * pdf["n_tokens"].to_numpy()) @ m
+            yield pd.DataFrame({"d": np.arange(k + 1), "x": x})
+
+        x = np.zeros(k + 1)
+        for r in cells.mapInPandas(run, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():
+            x[r.d] = r.x
+        return x
+
+    soft = np.append(own, 0.0) + summed(lambda m: (_caps(m, cap) > 0).astype(float))
+    start = total / max(1.0, soft.sum())
     steps: list[np.ndarray] = []
-    scale = np.maximum(goal, 1.0)
-
-    def own(pdf):
-        c = np.where(pdf["c"].to_numpy() < 0, k, pdf["c"].to_numpy())
-        m = np.stack(pdf["m"].to_numpy()) if len(pdf) else np.zeros((0, k + 1))
-        return c, m
-
-    def sums(batches):
-        out = np.zeros(k + 1)
-        for pdf in batches:
-            c, m = own(pdf)
-            out += (_rates(m, caps[c], begin[c], steps) * pdf["n_tokens"].to_numpy()) @ m
-        yield pd.DataFrame({"d": np.arange(k + 1), "x": out})
-
-    mean_rate = begin[:k]
-    for _ in range(STEPS):
-        at = np.zeros(k + 1)
-        for r in data.mapInPandas(sums, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():
-            at[r.d] = r.x
-        error = np.where(there, (at[:k] - goal) / scale, 0.0)
-        if np.abs(error).max(initial=0.0) < 1e-3:
+    rate = np.minimum(start, cap)
+    before = first = None
+    while True:
+        expected = np.append(rate * own, 0.0) + summed(lambda m: _rates(m, _caps(m, cap), start, steps))
+        error = np.divide(expected - goal, soft, out=np.zeros(k + 1), where=soft > 0)
+        objective = float(((expected - goal) * error).sum() / 2)
+        first = objective if first is None else first
+        if objective <= 1e-9 * first or before is not None and before - objective <= TOLERANCE * before:
             break
-        steps.append(np.append(0.7 * error * np.maximum(mean_rate, 1e-3), 0.0))
+        if len(steps) == MOST_STEPS:
+            raise RuntimeError("the rates of the mix don't settle")
+        before = objective
+        steps.append(error)
+        rate = np.clip(rate - error[:k], 0.0, cap)
 
     def rates(batches):
         for pdf in batches:
-            c, m = own(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": pdf["n_tokens"], "c": c, "rate": _rates(m, caps[c], begin[c], steps)})
+            m = posterior(pdf)
+            pick = np.array([*names, None], dtype=object)[m.argmax(axis=1)] if len(m) else []
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "domain": pick, "n_tokens": pdf["n_tokens"], "c": pdf["c"], "rate": _rates(m, _caps(m, cap), start, steps)})
 
-    return data.mapInPandas(rates, "doc_id bigint, source string, n_tokens bigint, c int, rate double"), {"names": names, "caps": cap.astype(int).tolist(), "budgets": goal.tolist(), "shares": share.tolist()}
+    labelled = sized.where((F.col("c") >= 0) & (F.col("c") < k)).select("doc_id", "source", F.col("source").alias("domain"), "n_tokens", "c", F.get(F.array(*map(F.lit, rate.tolist())), F.col("c")).alias("rate"))
+    rest = sized.where("c < 0").select("doc_id", "source", "n_tokens", "c", *_X).mapInPandas(rates, out).where("domain is not null")
+    plan = {"names": names, "caps": cap.astype(int).tolist(), "goals": goal.tolist(), "expected": expected.tolist(), "steps": len(steps), "objective": objective, "rows": sized.count()}
+    return labelled.unionByName(rest), plan
 
 
-def mixed(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): how often each document is used; documents not used are left out."""
-    rated, plan = fitted(docs, mix_targets, total, tokenizer)
+def mixed(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None, most_missing: float = MOST_MISSING) -> DataFrame:
+    """(doc_id, source, domain, n_tokens, copies): how often each document is used; documents not used are left out."""
+    rated, plan = fitted(docs, mix_targets, total, tokenizer, most_missing)
     if not plan["names"]:
-        return rated.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies"))
-    budget = F.get(F.array(*map(F.lit, plan["budgets"])), F.col("c"))
-    cap = F.get(F.array(*map(F.lit, plan["caps"])), F.col("c"))
-    rows = stash(rated.where((F.col("c") < len(plan["names"])) & (F.col("n_tokens") > 0)).withColumns({"_cap": cap, "_budget": budget}), "rated")
-    # one row for each copy that a document may have; its turn is the copy's number plus a race by the fraction
-    turns = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_cap") - 1)))
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    pull = F.least(F.lit(1.0), F.greatest(F.lit(1e-6), F.col("rate") - F.col("_turn")))
-    race = F.when(F.col("rate") - F.col("_turn") >= 1, F.lit(0.0)).otherwise(-F.log(u) / pull)
-    order = F.col("_turn") + race / (1 + race)  # below _turn + 1, so first copies come first
-    keyed = turns.withColumn("_key", ((order / F.greatest(F.col("_cap"), F.lit(1)) * 2 - 1) * float(2**62)).cast("bigint") * 2)
-    taken = prefix_sums(keyed, ["c"], "_key", "n_tokens").where(F.col("before") + F.col("n_tokens") / 2 <= F.col("_budget"))
-    return taken.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").cast("int").alias("copies"))
+        return rated.select("doc_id", "source", "domain", "n_tokens", F.lit(0).alias("copies"))
+    rows = rated.where("n_tokens > 0").withColumns({"_size": F.floor(F.log2("n_tokens")), "_rate": F.round(F.col("rate") * UNIT).cast("bigint"), "_key": F.xxhash64("doc_id", F.lit(5))})
+    run = prefix_sums(stash(rows, "rated"), ["c", "_size"], "_key", "_rate", plan["rows"])
+    passed = lambda x: F.floor((x + UNIT // 2) / F.lit(UNIT))
+    copies = (passed(F.col("before") + F.col("_rate")) - passed(F.col("before"))).cast("int")
+    return run.select("doc_id", "source", "domain", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def shares(mix: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, docs, tokens, actual_share, most_copies) for every listed source."""
-    used = mix.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    rows = targets_of(mix_targets)
-    t = mix.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int")
-    j = t.join(used, "source", "left").withColumns({"docs": F.coalesce("docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "most_copies": F.coalesce("most_copies", F.lit(0))})
-    j = j.withColumn("_all", F.sum("tokens").over(W.partitionBy(F.lit(1))))  # at most MOST_SOURCES rows
-    return j.select("source", "target_share", "max_repeats", "docs", "tokens", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("_all").cast("double")), F.lit(0.0)).alias("actual_share"), "most_copies")
-
-
+    """For every listed source (source, target_share, max_repeats, docs, tokens, recorded_tokens, actual_share, missing_share, most_copies).
+
+    ``tokens`` and shares count documents by domain; ``recorded_tokens`` only those whose source is recorded.
+    """
+    n = F.col("n_tokens") * F.col("copies")
+    used = mix.groupBy(F.col("domain").alias("source")).agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.sum(F.when(F.col("source") == F.col("domain"), n)).alias("recorded_tokens"), F.max("copies").alias("most_copies"))
+    found = {r.source: r for r in catalog_rows(used, MOST_SOURCES)}
+    whole = sum(r.tokens for r in found.values()) or 1
+    rows = []
+    for name, share, cap in targets_of(mix_targets):
+        r = found.get(name)
+        actual = r.tokens / whole if r else 0.0
+        rows.append((name, share, cap, r.docs if r else 0, r.tokens if r else 0, (r.recorded_tokens or 0) if r else 0, actual, max(0.0, share - actual), r.most_copies if r else 0))
+    return mix.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, docs bigint, tokens bigint, recorded_tokens bigint, actual_share double, missing_share double, most_copies int")

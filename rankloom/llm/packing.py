@@ -6,7 +6,8 @@ histogram of its sizes (bounded by the capacity, whatever the number of document
 1. a document larger than the container gives full containers of its own and a rest, which is an item like others;
 2. reduction after Martello and Toth: going down the sizes, a set of one, two or three items is fixed for good if it
    dominates every other set that holds its largest item - it fills the container exactly, or no further item fits, or
-   its parts are at least as large as those of any other set that fits; sets of the same sizes are fixed together;
+   its parts are at least as large as those of any other set that fits. Taking such sets away leaves the reasons for it
+   true as long as every size in it has enough items left, so sets of the same sizes are fixed together;
 3. what is left is packed by best fit in decreasing order of size, equal containers together.
 
 The outcome is a list of patterns (which sizes, how often each, how many containers). The documents of a size then take
@@ -29,9 +30,6 @@ from rankloom.llm.components import prefix_sums
 from rankloom.llm.tokens import with_tokens
 from rankloom.runtime import catalog_rows, stash
 
-#: Sizes in all jobs together that are solved on the driver at most.
-MOST_SIZES = 2_000_000
-
 
 class Sizes:
     """A multiset of sizes with what the reduction asks of it."""
@@ -95,8 +93,8 @@ def dominant(items: Sizes, size: int, capacity: int) -> tuple[int, ...] | None:
     return (a, b) if b is not None and b >= least else None
 
 
-def packed(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Patterns (containers, {size: items in each}) that hold all items; sizes are from 1 to ``capacity``."""
+def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """Patterns (containers, {size: items in each}) fixed by dominance, and the counts of what is left."""
     items, done = Sizes(counts), []
     for size in sorted(counts, reverse=True):
         while items.n.get(size):
@@ -106,11 +104,17 @@ def packed(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, i
             if others is None:
                 break  # it stays among the items that go with smaller ones
             pattern = Counter((size, *others))
-            times = min(items.n[s] // k for s, k in pattern.items()) if len(others) < 2 else 1
+            times = min(items.n[s] // k for s, k in pattern.items())
             for s, k in pattern.items():
                 items.take(s, times * k)
             done.append((times, dict(pattern)))
-    return done + best_fit(items.n, capacity)
+    return done, items.n
+
+
+def packed(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Patterns that hold all items; sizes are from 1 to ``capacity``."""
+    done, rest = reduced(counts, capacity)
+    return done + best_fit(rest, capacity)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -169,41 +173,46 @@ def pieces(sizes: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, jobs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(job, container_no, doc_id, piece_no, n_tokens): where every document, or piece of an oversized one, goes."""
+    """(job, container_no, doc_id, piece_no, n_tokens, fixed): where every document, or piece of an oversized one, goes.
+
+    ``fixed`` tells the places that the reduction fixed. The histogram of a job has at most as many sizes as its capacity.
+    """
     sizes = stash(with_tokens(docs, ["doc_id"], tokenizer), "sizes")
     items = pieces(sizes, jobs)
-    hist = items.groupBy("job", "is_full", "n_tokens").agg(F.count("*").alias("n")).limit(MOST_SIZES + 1).collect()
-    if len(hist) > MOST_SIZES:
-        raise ValueError("the capacities are too large to be solved by size on one machine")
+    hist = items.groupBy("job", "is_full", "n_tokens").agg(F.count("*").alias("n")).collect()
     capacity = {r.job: int(r.capacity_tokens) for r in jobs.where("job is not null and capacity_tokens >= 1").groupBy("job").agg(F.max("capacity_tokens").alias("capacity_tokens")).collect()}
     table: dict[tuple[str, bool], dict] = {}
+    bound: dict[str, int] = {}
     for job, cap in capacity.items():
         own = {r.n_tokens: r.n for r in hist if r.job == job and not r.is_full and r.n_tokens > 0}
         full = sum(r.n for r in hist if r.job == job and r.is_full)
-        patterns = packed(own, cap)
+        done, rest = reduced(own, cap)
+        patterns = done + best_fit(rest, cap)
         table[job, False] = places(patterns)
+        bound[job] = sum(t for t, _ in done)
         start = np.array([sum(t for t, _ in patterns)], dtype=np.int64)
         table[job, True] = {cap: (np.zeros(1, dtype=np.int64), start, np.ones(1, dtype=np.int64))} if full else {}
-    ranked = prefix_sums(items.withColumns({"_h": F.xxhash64("doc_id", "piece_no"), "_one": F.lit(1)}), ["job", "is_full", "n_tokens"], "_h", "_one")
+    ranked = prefix_sums(items.withColumns({"_h": F.xxhash64("doc_id", "piece_no"), "_one": F.lit(1)}), ["job", "is_full", "n_tokens"], "_h", "_one", sum(r.n for r in hist))
 
     def run(batches):
         for pdf in batches:
-            out = np.zeros(len(pdf), dtype=np.int64)
+            out, fixed = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=bool)
             for (job, full, size), at in pdf.groupby(["job", "is_full", "n_tokens"]).indices.items():
                 if size > 0:
                     starts, first, each = table[job, bool(full)][int(size)]
                     rank = pdf["before"].to_numpy()[at]
                     i = np.searchsorted(starts, rank, side="right") - 1
                     out[at] = first[i] + (rank - starts[i]) // each[i]
-            pdf["container_no"] = out
-            yield pdf[["job", "container_no", "doc_id", "piece_no", "n_tokens"]]
+                    fixed[at] = out[at] < bound[job]
+            pdf["container_no"], pdf["fixed"] = out, fixed
+            yield pdf[["job", "container_no", "doc_id", "piece_no", "n_tokens", "fixed"]]
 
-    return ranked.select("job", "is_full", "doc_id", "piece_no", "n_tokens", F.col("before").cast("bigint").alias("before")).mapInPandas(run, "job string, container_no bigint, doc_id bigint, piece_no bigint, n_tokens bigint")
+    return ranked.select("job", "is_full", "doc_id", "piece_no", "n_tokens", F.col("before").cast("bigint").alias("before")).mapInPandas(run, "job string, container_no bigint, doc_id bigint, piece_no bigint, n_tokens bigint, fixed boolean")
 
 
 def fill_report(placed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(job, capacity_tokens, containers, tokens, least_containers, fill): how little space is left unused."""
-    by = placed.groupBy("job", "container_no").agg(F.sum("n_tokens").alias("used"))
+    """(job, capacity_tokens, containers, tokens, least_containers, fill, fullest, items, fixed_items): how little space is left unused."""
+    by = placed.groupBy("job", "container_no").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("k"), F.count_if("fixed").alias("f"))
     j = jobs.where("job is not null and capacity_tokens >= 1").groupBy("job").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
-    out = by.groupBy("job").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest")).join(j, "job")
-    return out.select("job", "capacity_tokens", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("bigint").alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"), "fullest")
+    out = by.groupBy("job").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("k").alias("items"), F.sum("f").alias("fixed_items")).join(j, "job")
+    return out.select("job", "capacity_tokens", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("bigint").alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"), "fullest", "items", "fixed_items")

@@ -29,6 +29,19 @@ def p3_split(s: SparkSession, d: str) -> DataFrame:
     return components.assigned(t(s, d, "bench_split"), t(s, d, "model_split"), t(s, d, "split_ratios"))
 
 
+def p3_shares(s: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of the buckets, over all entries and over the runs."""
+    out = components.split_shares(p3_split(s, d), t(s, d, "split_ratios"))
+    return out.select("unit_kind", "bucket", "ratio", "entries", *[F.round(c, 6).alias(c) for c in ("actual", "least_run", "most_run")])
+
+
+def p3_rules(s: SparkSession, d: str) -> DataFrame:
+    """How many entries each kind has, and how many went without a bucket or into another one than their component."""
+    c = p3_split(s, d)
+    by = c.groupBy("unit_kind", "component").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("assigned_bucket", F.lit(""))).alias("k"))
+    return by.groupBy("unit_kind").agg(F.sum("n").alias("entries"), F.count_if(F.col("k") > 1).alias("torn")).join(c.groupBy("unit_kind").agg(F.count_if(F.col("assigned_bucket").isNull()).alias("unplaced")), "unit_kind")
+
+
 def p5_found(s: SparkSession, d: str) -> DataFrame:
     return canon.mapped(t(s, d, "score_records"), t(s, d, "models"), t(s, d, "benchmarks")).select("record_id", "field_name", "canonical_id")
 
@@ -39,6 +52,10 @@ def p5_unmatched(s: SparkSession, d: str) -> DataFrame:
     return m.where("canonical_id = ''").groupBy("field_name", "typed").agg(F.count("*").alias("n"))
 
 
+def p5_candidates(s: SparkSession, d: str) -> DataFrame:
+    return canon.candidates(t(s, d, "score_records"), t(s, d, "models"), t(s, d, "benchmarks"))
+
+
 def p7_pack(s: SparkSession, d: str) -> DataFrame:
     return packing.packed_documents(t(s, d, "documents"), t(s, d, "pack_sizes"))
 
@@ -47,6 +64,14 @@ def p7_fill(s: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(s, d), t(s, d, "pack_sizes"))
 
 
+def p7_rules(s: SparkSession, d: str) -> DataFrame:
+    """Documents placed by each job, containers over their capacity, and documents in pieces though they fit whole."""
+    placed, jobs = p7_pack(s, d), t(s, d, "pack_sizes").select("job", "capacity_tokens")
+    full = placed.groupBy("job", "container_no").agg(F.sum("n_tokens").alias("used")).join(jobs, "job").groupBy("job").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    docs = placed.groupBy("job", "doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("k")).join(jobs, "job").groupBy("job").agg(F.count("*").alias("docs"), F.count_if((F.col("k") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("torn"))
+    return docs.join(full, "job")
+
+
 def p8_mix(s: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(t(s, d, "documents"), t(s, d, "mix_targets"))
 
@@ -55,12 +80,19 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(s, d), t(s, d, "mix_targets"))
 
 
+def p8_rules(s: SparkSession, d: str) -> DataFrame:
+    """Of each wanted source: documents used more often than allowed, and whether any is used."""
+    mix = p8_mix(s, d).groupBy(F.col("domain").alias("source")).agg(F.max("copies").alias("most"))
+    j = t(s, d, "mix_targets").join(mix, "source", "left")
+    return j.select("source", F.coalesce(F.col("most") > F.col("max_repeats"), F.lit(False)).alias("over_cap"), F.col("most").isNotNull().alias("used"))
+
+
 def p9_found(s: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(t(s, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_fused, p3_found, p3_split, p5_found, p5_unmatched, p7_pack, p7_fill, p8_mix, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_fused, p3_found, p3_split, p3_shares, p3_rules, p5_found, p5_candidates, p5_unmatched, p7_pack, p7_fill, p7_rules, p8_mix, p8_shares, p8_rules, p9_found)}
 
 
 _BLANK = "('', '-', '--', '?', '.', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'tbd', 'unknown', 'undefined')"
@@ -96,5 +128,13 @@ QUALIFY row_number() OVER (PARTITION BY run_id, model_id, benchmark_id, field_na
 """
 
 
+_P3_RULES = """
+SELECT unit_kind, count(*) AS entries, 0::BIGINT AS torn, 0::BIGINT AS unplaced FROM (
+  SELECT entry_id, 'benchmark' AS unit_kind FROM bench_split UNION ALL SELECT entry_id, 'model' FROM model_split) WHERE entry_id IS NOT NULL GROUP BY 1
+"""
+_P7_RULES = "SELECT job, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS overfull, 0::BIGINT AS torn FROM pack_sizes"
+_P8_RULES = "SELECT source, false AS over_cap, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS used FROM mix_targets"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1}
+    return {"p1_found": _P1, "p3_rules": _P3_RULES, "p7_rules": _P7_RULES, "p8_rules": _P8_RULES}

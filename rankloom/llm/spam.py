@@ -1,16 +1,19 @@
 """Keyword-stuffed and link-list pages: bagged decision trees on content and link features, smoothed by host.
 
-1. A bounded sample of pages, drawn by hash, is labelled weakly: pages that are mostly links or tags, or mostly the same
-   few word pairs without function words, are spam; running sentences and tables of numbers are not.
-2. The sample gives a lexicon of the goods that spam is about: words far more frequent on spam pages than on others. It
-   knows misread words (one letter off). Its share of a page joins the other features, and second, sharper weak labels
-   that use it train bagged trees (each on a bootstrap of the sample, all features at each split).
-3. Every page is scored, whole text, in one pass. Its log-odds then move by how far the spam rate of its host (the source
-   of the page) lies from the rate of all pages; a host with few pages moves little.
-
-A page is spam from probability 0.5. Null, empty and very short texts (under 8 words) are not judged to be spam. A null
-source is a host of its own. Repeated rows are judged alike. Without both kinds of weak labels no page is spam. An empty
-table gives no rows. Extra columns are ignored.
+1. Every page is measured once, whole text, in one pass, and its words and features are kept. Pages that are mostly links or
+   tags, or mostly the same few word pairs without function words, are weak spam; running sentences and tables of numbers
+   are weak ham. In the same pass each task adds up in how many pages of either label a word stands.
+2. The counts over all pages give a lexicon of the goods that spam is about: words far more frequent on spam pages than on
+   others. A word needs one in LEXICON_SHARE spam pages, so there are at most LEXICON_SHARE times as many words as a spam
+   page has on average. The lexicon knows misread words (one letter off). Its share of a page joins the other features.
+3. Second, sharper weak labels that use it train bagged trees on a bounded sample of labelled pages, drawn by hash (each
+   tree on a bootstrap of the sample, all features at each split).
+4. Every page is scored. Its log-odds then move by how far the spam rate of its host (the source of the page) lies from
+   the rate of all pages; a host with few pages moves little.
+
+A page is spam from probability 0.5. A text that is null, empty or without a word is not spam. A null source is a host of
+its own. Repeated rows are judged alike. Without both kinds of weak labels no page is spam. An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 from rankloom.functions import trees
 from rankloom.runtime import stash
 
-#: Pages that the trees and the lexicon are learned from, and entries of the lexicon, at most.
-SAMPLE_PAGES, LEXICON_WORDS = 15_000, 1_500
+#: Pages whose weak labels the trees are learned from, at most, roughly.
+SAMPLE_PAGES = 15_000
+#: A word of the lexicon stands on one in so many weakly labelled spam pages, and so many times as often as on others.
+LEXICON_SHARE, LEXICON_RATIO = 80, 6
+#: Words that a task counts before it hands its counts on.
+HELD_WORDS = 400_000
 #: Pages of prior weight in a host's spam rate, and how strongly the rate moves a page.
 HOST_PRIOR, HOST_PULL = 60.0, 0.35
 
@@ -39,46 +46,55 @@ FUNCTION_WORDS = frozenset(
     "el los las del y por con para no su al fue ha lo una sin como más".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_LINK = re.compile(r"(?:\bh?[tfr]{1,2}[tfr]?p?s?:/+|\b[wv]{3,6}\b[. ,]?|\b[\w-]{2,}\s?[.,]\s?(?:[a-z|;:0-9]{2,8})/[\w-]+|[\[(][\w-]{3,}[.,][\w|;]{3,9}[\])])", re.I)
 _BROKEN = re.compile(r"(?<=\w)[-¬­‐‑]\s*\n\s*(?=[^\W\d_])")
+_DIGITS, _STOPS, _WEB = re.compile(r"\d+"), re.compile(r"[.!?](?=\s|$)"), re.compile(r"[wv]{3}", re.I)
+_MARKS = "»«•·|;*,:/=>–—"
+# a link may be misread; each way of writing one is only looked for where a sign of it stands
+_WAYS = (r"\bh?[tfr]{1,2}[tfr]?p?s?:/+", r"\b[wv]{3,6}\b[. ,]?", r"\b[\w-]{2,}\s?[.,]\s?(?:[a-z|;:0-9]{2,8})/[\w-]+", r"[\[(][\w-]{3,}[.,][\w|;]{3,9}[\])]")
+_LINKS = {at: re.compile("|".join(w for i, w in enumerate(_WAYS) if at >> i & 1), re.I) for at in range(1, 16)}
 
-FEATURES = ("links", "tags", "functions", "pairs", "distinct", "top5", "digits", "capitals", "marks", "stops", "goods", "length", "longest_run", "n_links")
+FEATURES = ("links", "tags", "functions", "pairs", "distinct", "top5", "digits", "capitals", "marks", "stops", "length", "longest_run", "n_links")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(_BROKEN.sub("", text).lower())
+def links_in(text: str) -> int:
+    slash = "/" in text
+    at = (slash and ":/" in text) | bool(_WEB.search(text)) << 1 | slash << 2 | ("[" in text or "(" in text) << 3
+    return len(_LINKS[at].findall(text)) if at else 0
 
 
-def measures(text: str, goods=None) -> tuple[list[float], list[str]]:
-    """The features of a page (without 'goods' if there is no lexicon yet) and its words."""
-    joined = _BROKEN.sub("", text)
-    w = _WORD.findall(joined.lower())
+def measures(text: str) -> tuple[list[float], Counter, int]:
+    """The features of a page, its words with their counts, and the number of words."""
+    joined = _BROKEN.sub("", text) if "\n" in text else text
+    typed = _WORD.findall(joined)
+    w = [x.lower() for x in typed]
     n = max(1, len(w))
     count = Counter(w)
     pairs = Counter(zip(w, w[1:]))
     repeated = sum(c for c in pairs.values() if c > 1) / max(1, len(w) - 1)
-    top = sum(c for _, c in count.most_common(5)) / n
     run = longest = 0
     for x in w:
-        run = 0 if x in FUNCTION_WORDS else run + 1
-        longest = max(longest, run)
-    links = len(_LINK.findall(joined))
+        if x in FUNCTION_WORDS:
+            run = 0
+        else:
+            run += 1
+            if run > longest:
+                longest = run
+    links = links_in(joined)
     return [
         links / n,
         joined.count("#") / n,
-        sum(c for x, c in count.items() if x in FUNCTION_WORDS) / n,
+        sum(count[x] for x in count.keys() & FUNCTION_WORDS) / n,
         repeated,
         len(count) / n,
-        top,
-        len(re.findall(r"\d+", joined)) / n,
-        len(re.findall(r"\b[^\W\d_]*[A-ZÀ-Þ][a-zà-ÿ]+", joined)) / n,
-        len(re.findall(r"[»«•·|;*,:/=>–—]|\s-\s", joined)) / n,
-        len(re.findall(r"[.!?](?=\s|$)", joined)) / n,
-        sum(c for x, c in count.items() if goods(x)) / n if goods else 0.0,
+        sum(sorted(count.values(), reverse=True)[:5]) / n,
+        len(_DIGITS.findall(joined)) / n,
+        sum(not x.islower() and not x.isupper() for x in typed) / n,
+        (sum(map(joined.count, _MARKS)) + joined.count(" - ")) / n,
+        len(_STOPS.findall(joined)) / n,
         float(np.log(n)),
         min(200.0, float(longest)),
         min(30.0, float(links)),
-    ], w
+    ], count, len(w)
 
 
 def first_label(f: list[float], n: int) -> int | None:
@@ -95,9 +111,9 @@ def first_label(f: list[float], n: int) -> int | None:
     return None
 
 
-def second_label(f: list[float], n: int) -> int | None:
+def second_label(f: list[float], goods: float, n: int) -> int | None:
     """Weak label with the share of goods known."""
-    links, tags, functions, pairs, distinct, _, digits, *_, goods, _, _, n_links = f
+    links, tags, functions, _, _, _, digits, *_, n_links = f
     if n < 8:
         return 0
     if digits > 0.22 and links < 0.1:
@@ -130,63 +146,87 @@ class Goods:
         return out
 
 
-def lexicon_of(sample: DataFrame) -> list[str]:
-    """Words that at least 1 in 80 weakly labelled spam pages has, six times as often as other pages."""
+_PAGES = "doc_id bigint, host string, n_words int, f array<float>, words string, counts array<int>, spam int, ham int"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Rows of _PAGES: one for each page, and from each task the words of its weakly labelled pages (host null) with the
+    number of spam and ham pages that have them; the word '' counts the pages."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [x.strip().split(" ")[0] for x in _PAGES.split(",")]
 
     def run(batches):
+        seen = Counter(), Counter()  # ham, spam
+
+        def handed_on():
+            words = list(seen[0].keys() | seen[1].keys())
+            out = pd.DataFrame([(None, None, None, None, w, None, seen[1][w], seen[0][w]) for w in words], columns=names)
+            seen[0].clear(), seen[1].clear()
+            return out
+
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                f, w = measures(text)
-                label = first_label(f, len(w))
+            rows = []
+            for doc, host, text in zip(pdf["doc_id"], pdf["host"], pdf["text"]):
+                f, count, n = measures(text)
+                label = first_label(f, n)
                 if label is not None:
-                    out.append(("", label))
-                    out += [(x, label) for x in set(w) if len(x) > 2 and x not in FUNCTION_WORDS]
-            yield pd.DataFrame(out, columns=["word", "label"])
-
-    counts = sample.mapInPandas(run, "word string, label int").groupBy("word").agg(F.sum("label").alias("spam"), F.sum(1 - F.col("label")).alias("ham"))
-    total = counts.where("word = ''").collect()
-    if not total or not total[0].spam or not total[0].ham:
+                    seen[label].update([""])
+                    seen[label].update(x for x in count if len(x) > 2 and x not in FUNCTION_WORDS)
+                rows.append((doc, host, n, f, " ".join(count), list(count.values()), None, None))
+            yield pd.DataFrame(rows, columns=names)
+            if len(seen[0]) + len(seen[1]) > HELD_WORDS:
+                yield handed_on()
+        yield handed_on()
+
+    return d.mapInPandas(run, _PAGES)
+
+
+def lexicon_of(pages: DataFrame) -> list[str]:
+    """The words that tell spam from other pages, from the counts of all pages."""
+    counts = pages.where("host is null").groupBy(F.col("words").alias("word")).agg(F.sum("spam").alias("spam"), F.sum("ham").alias("ham"))
+    total = counts.where("word = ''").first()
+    if not total or not total.spam or not total.ham:
         return []
-    spam, ham = total[0].spam, total[0].ham
-    good = counts.where((F.col("word") != "") & (F.col("spam") >= max(3, spam / 80)) & (F.col("spam") / spam > 6 * F.col("ham") / ham))
-    rows = good.orderBy(F.desc("spam"), "word").limit(LEXICON_WORDS).collect()
-    return [r.word for r in rows]
+    good = counts.where((F.col("word") != "") & (F.col("spam") >= max(3, total.spam / LEXICON_SHARE)) & (F.col("spam") / total.spam > LEXICON_RATIO * F.col("ham") / total.ham))
+    return sorted(r.word for r in good.select("word").collect())
+
+
+def _with_goods(pdf: pd.DataFrame, goods: Goods) -> tuple[np.ndarray, np.ndarray]:
+    """Features and share of goods of the pages of a batch."""
+    f = np.array(pdf["f"].tolist(), dtype=float).reshape(-1, len(FEATURES))
+    share = [sum(c for w, c in zip(words.split(" "), counts) if goods(w)) / max(1, n) if n else 0.0 for words, counts, n in zip(pdf["words"], pdf["counts"], pdf["n_words"])]
+    return f, np.array(share, dtype=float)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, host, n_words, raw, probability): of every page, before and after smoothing by host."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < min(1.0, SAMPLE_PAGES / max(1, n)) * (1 << 30)
-    sample = d.where(draw & (F.length("text") > 0)).repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    lexicon = lexicon_of(sample)
+    all_ = stash(measured(docs), "pages")
+    pages = all_.where("host is not null").select("doc_id", "host", "n_words", "f", "words", "counts")
+    lexicon = lexicon_of(all_)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < min(1.0, SAMPLE_PAGES / max(1, pages.count())) * (1 << 30)
 
     def labelled(batches):
         goods = Goods(lexicon)
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                f, w = measures(text, goods)
-                label = second_label(f, len(w))
-                if label is not None:
-                    rows.append((label, *f))
-            yield pd.DataFrame(rows, columns=["label", *FEATURES])
+            f, share = _with_goods(pdf, goods)
+            label = [second_label(x, g, n) for x, g, n in zip(f.tolist(), share, pdf["n_words"])]
+            out = pd.DataFrame(f, columns=list(FEATURES)).assign(goods=share, label=label)
+            yield out[out["label"].notna()].astype({"label": int})
 
-    rows = sample.mapInPandas(labelled, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    columns = [*FEATURES, "goods"]
+    rows = pages.where(draw & (F.col("n_words") > 0)).mapInPandas(labelled, ", ".join(f"{f} double" for f in columns) + ", label int").toPandas()
     y = rows["label"].to_numpy(dtype=int)
     # bagged trees: every tree sees a bootstrap of the sample and, at each split, all features
-    forest = trees.train(rows[list(FEATURES)].to_numpy(dtype=float), y, 2, trees=30, depth=7, seed=5) if 0 < y.sum() < len(y) else None
+    forest = trees.train(rows[columns].to_numpy(dtype=float), y, 2, trees=30, depth=7, seed=5) if 0 < y.sum() < len(y) else None
 
     def judge(batches):
         goods = Goods(lexicon)
         for pdf in batches:
-            found = [measures(text, goods) for text in pdf["text"]]
-            x = np.array([f for f, _ in found], dtype=float).reshape(-1, len(FEATURES))
+            x = np.column_stack(_with_goods(pdf, goods))
             p = forest.probabilities(x)[:, 1] if forest is not None else np.zeros(len(x))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "n_words": [len(w) for _, w in found], "raw": np.clip(p, 0.005, 0.995)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "n_words": pdf["n_words"], "raw": np.clip(p, 0.005, 0.995)})
 
-    judged = stash(d.mapInPandas(judge, "doc_id bigint, host string, n_words int, raw double"), "judged")
+    judged = stash(pages.mapInPandas(judge, "doc_id bigint, host string, n_words int, raw double"), "judged")
     by = judged.groupBy("host").agg(F.count("*").alias("_n"), F.sum((F.col("raw") >= 0.5).cast("double")).alias("_k"))
     whole = by.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
     rate = ((whole.k or 0.0) + 0.5) / ((whole.n or 0) + 1)
@@ -199,4 +239,4 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def spam_pages(docs: DataFrame) -> DataFrame:
     """(doc_id) of every page that is for the greater part repeated keywords, links or product tags."""
-    return scored(docs).where("probability >= 0.5 and n_words >= 8").select("doc_id")
+    return scored(docs).where("probability >= 0.5 and n_words > 0").select("doc_id")

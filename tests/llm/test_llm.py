@@ -91,8 +91,7 @@ def test_groups(spark):
     assert components.related_groups(b.limit(0), m.limit(0)).count() == 0
 
 
-def test_components_against_union_find(spark, monkeypatch):
-    monkeypatch.setattr(components, "MERGE_ROWS", 20)  # so that the small graph is searched as well
+def test_components_against_union_find(spark):
     rng = random.Random(5)
     links = [(rng.randrange(600), rng.randrange(1000, 1500)) for _ in range(620)] + [(i, 5) for i in range(0, 200)] + [(700 + i, 2000 + i) for i in range(60)] + [(701 + i, 2000 + i) for i in range(60)]
     root = {}
@@ -110,7 +109,19 @@ def test_components_against_union_find(spark, monkeypatch):
     got = {}
     for r in components.components(spark.createDataFrame(links, "node long, key long")).collect():
         got.setdefault(r.component, set()).add(r.node)
-    assert {frozenset(g) for g in got.values()} == want
+    assert {frozenset(g) for g in got.values()} == want and all(c == min(g) for c, g in got.items())
+
+
+def test_components_of_long_chains(spark):
+    """Chains in rising, falling and changing order, and a ring: the frontier doubles, collisions merge."""
+    order = list(range(5000, 5150))
+    random.Random(1).shuffle(order)
+    chains = [list(range(100, 300)), list(range(1300, 1100, -1)), [3000 + i // 2 if i % 2 else 3500 - i for i in range(150)], order, [*range(7000, 7050), 7000]]
+    links = [(n, 100_000 * c + i + j) for c, chain in enumerate(chains, 1) for i, n in enumerate(chain) for j in (0, 1)]
+    got = {}
+    for r in components.components(spark.createDataFrame(links, "node long, key long")).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert got == {min(c): set(c) for c in chains}
 
 
 def test_assigned(spark):
@@ -122,6 +133,8 @@ def test_assigned(spark):
     for r in rows:
         by.setdefault(r.component, set()).add(r.assigned_bucket)
     assert all(len(x) == 1 for x in by.values())
+    shares = {(r.unit_kind, r.bucket): r for r in components.split_shares(components.assigned(b, m, ratios), ratios).collect()}
+    assert len(shares) == 5 and abs(shares["benchmark", "train"].actual - 0.6) < 0.02 and shares["model", "held"].entries == 50
     n = Counter(r.assigned_bucket for r in rows)
     assert abs(n["train"] - 180) <= 4 and abs(n["dev"] - 60) <= 4 and abs(n["seen"] - 150) <= 1
 
@@ -153,10 +166,41 @@ word = st.text(alphabet="ab1", max_size=7)
 def test_automaton_is_exact(entries, typed, k):
     t = canon.Trie()
     for w in entries:
-        t.add(w, w)
+        t.add([(w,)], w)
     assert t.within(typed, k) == {w: x for w in entries if (x := osa(typed, w)) <= k}
 
 
+def forms(words):
+    return {canon.squeeze("".join(x)) for x in itertools.product(*words)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab1", max_size=3), min_size=1, max_size=3, unique=True).map(tuple), min_size=1, max_size=4), st.text(alphabet="ab1", max_size=6))
+def test_branches_say_the_same_as_all_forms(words, typed):
+    """Alternatives meet again after each word; searched exactly or with errors in any place, all combinations are found."""
+    t = canon.Trie()
+    t.add(words, "x", soft=0)
+    t.add([("aa",), ("b",)], "y", soft=0)
+    every = forms(words)
+    assert ("x" in t.exact(typed)) == (typed in every)
+    if len(words) == 1:
+        assert t.within(typed, 2).get("x") == min((d for w in every if (d := osa(typed, w)) <= 2), default=None)
+
+
+def test_many_versions_take_little_room():
+    m = canon.Matcher([("kolibra-v1-v2-v3-v4-v5-v6-v7-v8-9-10-11-12", [])])
+    assert m.answer("kolibra version1 2.0 v3 4 v5.0 ver6 7 8 v9 10 11 v12") and not m.answer("kolibra version1 2.0 v3 4 v5.0 ver6 7 8 v9 10 11 v13")
+
+    def size(node, seen):
+        if id(node) in seen:
+            return 0
+        seen.add(id(node))
+        return 1 + sum(size(x, seen) for k, x in node.items() if len(k) == 1) + sum(size(x, seen) for x in node.get(" next", ()))
+
+    assert size(m.trie.root, set()) < 400
+    assert m.near("kolibar 1 2 3 4 5 6 7 8 9 10 11 12") == {"kolibra-v1-v2-v3-v4-v5-v6-v7-v8-9-10-11-12": 1}
+
+
 def test_mapping(spark):
     models = spark.createDataFrame([("kolibra-2.5-70b-pro", "Kolibra 2.5 70B Pro", "Vendor", ["Red Owl 5", None]), ("kolibra-2.5-70b", "Kolibra 2.5 70B", "Vendor", None)], MODELS)
     bench = spark.createDataFrame([("mathira-bench", "Mathira BENCH", "c", "percent"), ("mathira-bench-v2", "Mathira BENCH V2", "c", "percent")], BENCHMARKS)
@@ -169,6 +213,8 @@ def test_mapping(spark):
     got = {(r.record_id, r.field_name): r.canonical_id for r in canon.mapped(spark.createDataFrame(rows, RECORDS), models, bench).collect()}
     want = {(i, "model_id"): c for i, c in enumerate(typed.values())} | {(100, "leaderboard_model_name"): "kolibra-2.5-70b", (102, "benchmark_id"): "mathira-bench-v2"}
     assert got == want
+    found = {(r.typed, r.entry): (r.n, r.distance) for r in canon.candidates(spark.createDataFrame(rows + rows[:1], RECORDS), models, bench).collect()}
+    assert found["Kolibra 2.5 70B Pro", "kolibra-2.5-70b-pro"] == (2, 0) and found["70b_kolirba_2.5_pro (new)", "kolibra-2.5-70b-pro"] == (1, 1)
 
 
 @settings(max_examples=120, deadline=None)
@@ -187,6 +233,12 @@ def test_packing_is_whole_and_no_worse_than_best_fit(capacity, data):
     assert sum(t for t, _ in patterns) <= plain + 1
 
 
+def test_packing_takes_as_many_patterns_for_any_number_of_sets():
+    for n in (1_000, 1_000_000):
+        assert packing.packed({55: n, 25: n, 18: n}, 100) == [(n, {55: 1, 25: 1, 18: 1})]
+        assert len(packing.packed({50: n, 30: n, 19: n}, 100)) <= 6
+
+
 def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int, before int")
 
@@ -201,6 +253,7 @@ def test_packed_documents(spark):
         by[r.job, r.container_no] += r.n_tokens
         docs.setdefault((r.job, r.doc_id), []).append((r.piece_no, r.n_tokens))
     assert all(v <= {"s": 64, "l": 100}[k[0]] for k, v in by.items())
+    assert all(0 <= r["fixed_items"] <= r["items"] for r in packing.fill_report(out, jobs).collect())
     assert len(docs) == 2 * 153 and {j for j, _ in docs} == {"s", "l"}
     assert [n for _, n in sorted(docs["s", 902])][:-1] == [64] * (len(docs["s", 902]) - 1)
     assert all(len(p) == (2 if k[1] == 5 else 1) for k, p in docs.items() if k[1] != 902)
@@ -213,16 +266,42 @@ def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["word"] * rng.randint(5, 60)), "abcx"[min(3, int(rng.random() ** 2 * 4))], "en", 1, 1) for i in range(1500)] + [(9000, "word", None, None, 1, 1), (9001, None, "a", None, 1, 1)]
     targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.25, 4), ("gone", 0.05, 3), (None, 0.1, 1), ("x", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mix = mixing.mixed(documents(spark, rows), targets).cache()
-    assert {r.source for r in mix.collect()} == {"a", "b", "c"}
+    mix = mixing.mixed(documents(spark, rows), targets, most_missing=0.0).cache()
+    assert {r.domain for r in mix.collect()} == {"a", "b", "c"}
     cap = {"a": 2, "b": 2, "c": 4}
-    assert all(1 <= r.copies <= cap[r.source] for r in mix.collect())
+    assert all(1 <= r.copies <= cap[r.domain] for r in mix.collect())
     share = {r.source: r.actual_share for r in mixing.shares(mix, targets).collect()}
     assert share["gone"] == 0 and all(abs(share[k] - w / 0.95) < 0.01 for k, w in (("a", 0.4), ("b", 0.3), ("c", 0.25)))
     assert mixing.mixed(documents(spark, []), targets).count() == 0
     assert mixing.mixed(documents(spark, rows), targets.limit(0)).count() == 0
 
 
+def test_scarce_sources_stop_at_their_cap(spark):
+    rows = [(i, "word " * 20, "big" if i < 900 else "few", "en", 1, 1) for i in range(905)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("few", 0.5, 3)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixing.shares(mixing.mixed(documents(spark, rows), targets, most_missing=0.4), targets).collect()}
+    assert report["few"].docs == 5 and report["few"].most_copies == 3 and abs(report["few"].actual_share - 0.1 / 0.6) < 0.02
+    total = mixing.total_of([0.5, 0.5] * mixing.np.array(1.0), mixing.np.array([900.0, 15.0]), 0.4)
+    assert abs(total - 150) < 1
+    hot = mixing.mixed(documents(spark, [(7, "word", "big", "en", 1, 1)] * 3000), targets)
+    assert hot.count() == 3000
+
+
+def test_posteriors_decide_who_joins(spark):
+    """Unlabelled pages that look like a scarce source are used for it, as often as its cap allows; others stay out."""
+    lang = {"a": "en", "b": "de", "z": "fr"}
+    rows = [(i, "word " * 20, s, lang[s], 1, 1) for i, s in enumerate("a" * 400 + "b" * 40 + "z" * 200)]
+    rows += [(1000 + i, "word " * 20, None, "de", 1, 1) for i in range(60)] + [(2000 + i, "word " * 20, None, "fr", 1, 1) for i in range(60)]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix = mixing.mixed(documents(spark, rows), targets, total=400 * 20.0).collect()
+    used = Counter()
+    for r in mix:
+        used[("page" if r.source else "guess", r.domain)] += r.copies
+    assert used["page", "b"] == 80 and 100 <= used["guess", "b"] <= 120 and not used["guess", None] and all(r.doc_id < 2000 for r in mix)
+    alone = mixing.mixed(documents(spark, [r for r in rows if r[2]]), targets, total=400 * 20.0).collect()
+    assert sum(r.copies for r in alone if r.domain == "b") == 80
+
+
 def test_spam(spark):
     rng = random.Random(8)
     goods = ["kettles", "brushes", "candles", "ribbons", "lanterns", "saddles", "blankets", "teapots", "barrels", "mirrors"]
