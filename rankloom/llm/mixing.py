@@ -3,9 +3,8 @@
 1. A categorical naive Bayes classifier over the table's columns (language, page, resolution, length, week day and the
    mark that breaks words) learns from all documents with a recorded source and gives each document without one a posterior
    over the wanted sources and 'other'. A recorded source is the document's domain with certainty.
-2. The total (``total``, or else the largest of which the sources that run out at their cap leave at most
-   ``most_missing`` unfilled) gives each domain its goal in tokens. Scarce sources stop at their cap, and
-   ``shares`` reports what they fall short by. Shares of sources without any document can't be met and are shared out.
+2. The total (``total``, or else as many tokens as the documents of the wanted sources have) gives each domain its goal in
+   tokens. Scarce sources stop at their cap, and ``shares`` reports what they fall short by. Shares of sources without any document can't be met and are shared out.
 3. Projected-gradient least squares fits a rate from 0 to its cap for every document, so that the expected tokens of each
    domain (rates times tokens times membership) come as near to the goals as the caps allow; 'other' has the goal 0.
    With domain d weighted by 1 / (its soft tokens D_d) and steps taken per token, the Hessian's largest eigenvalue is 1, so
@@ -34,8 +33,6 @@ from rankloom.llm.components import prefix_sums
 from rankloom.llm.tokens import with_tokens
 from rankloom.runtime import catalog_rows, stash
 
-#: Share of the total that scarce sources may leave unfilled.
-MOST_MISSING = 0.05
 #: A step that lowers the objective by less than this share of it is the last; more steps than MOST_STEPS are an error.
 TOLERANCE, MOST_STEPS = 1e-5, 1_000
 #: Sources that a mix may name at most.
@@ -108,20 +105,7 @@ def _rates(m: np.ndarray, caps: np.ndarray, start: float, steps: list[np.ndarray
     return r
 
 
-def total_of(share: np.ndarray, reach: np.ndarray, most_missing: float) -> float:
-    """The largest total at which sources that reach at most ``reach`` tokens miss ``most_missing`` of it; shares sum to 1."""
-    ends = np.sort(reach / share)
-    missing = lambda t: np.maximum(0.0, share - reach / t).sum()
-    lo, hi = float(ends[0]), float(ends[-1])
-    if missing(hi) <= most_missing:
-        return hi
-    for _ in range(80):  # missing grows with the total
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if missing(mid) <= most_missing else (lo, mid)
-    return lo
-
-
-def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None, most_missing: float = MOST_MISSING) -> tuple[DataFrame, dict]:
+def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None) -> tuple[DataFrame, dict]:
     """(doc_id, source, domain, n_tokens, c, rate) of the documents that may enter, and the plan.
 
     ``c`` is the number of the recorded source, -1 for unlabelled documents; ``domain`` is the recorded or most probable
@@ -153,8 +137,7 @@ def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None,
     if not there.any():
         return docs.sparkSession.createDataFrame([], out), {"names": []}
     wanted = np.where(there, share, 0.0) / share[there].sum()
-    if total is None:
-        total = total_of(wanted[there], (cap * have[:k])[there], most_missing)
+    total = float(have[:k].sum()) if total is None else total
     goal = np.append(wanted * total, 0.0)
     own = np.where(there, have[:k], 0.0)
 
@@ -204,9 +187,9 @@ def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None,
     return labelled.unionByName(rest), plan
 
 
-def mixed(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None, most_missing: float = MOST_MISSING) -> DataFrame:
+def mixed(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, source, domain, n_tokens, copies): how often each document is used; documents not used are left out."""
-    rated, plan = fitted(docs, mix_targets, total, tokenizer, most_missing)
+    rated, plan = fitted(docs, mix_targets, total, tokenizer)
     if not plan["names"]:
         return rated.select("doc_id", "source", "domain", "n_tokens", F.lit(0).alias("copies"))
     rows = rated.where("n_tokens > 0").withColumns({"_size": F.floor(F.log2("n_tokens")), "_rate": F.round(F.col("rate") * UNIT).cast("bigint"), "_key": F.xxhash64("doc_id", F.lit(5))})
