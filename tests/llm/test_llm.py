@@ -43,11 +43,14 @@ def test_votes_and_copying(spark):
             rows.append(record(n := n + 1, bad, model=f"g{g}", source=source("github_repo")))
         rows.append(record(n := n + 1, bad, model=f"g{g}", source=source("scrape")))
     r = spark.createDataFrame(rows, RECORDS)
-    b = fusion.learn(fusion.grouped_records(r), kinds(spark))
+    known = fusion.kinds_of(kinds(spark))
+    claims = fusion.claimed(r, known[0])
+    b = fusion.learn(claims, *known)
     at = {k: i for i, k in enumerate(b.kinds)}
     assert b.accuracy[at["manual"]] > b.accuracy[at["github_repo"]] + 0.2
     assert max(b.copying[at["github_repo"]][at[""]], b.copying[at[""]][at["github_repo"]]) > 0.9
-    out = fusion.by_votes(fusion.grouped_records(r), b).where("field_name = 'score'").collect()
+    assert fusion.learn(claims, *known, 1).accuracy != b.accuracy
+    out = fusion.by_votes(claims, b).where("field_name = 'score'").collect()
     assert sum(float(x.value) == float(x.model_id[1:]) for x in out) > 0.9 * len(out)
 
 
@@ -65,6 +68,18 @@ def test_votes_count_rows_of_the_group(spark):
     assert got == {("m", "score"): ("1.0", 1), ("m", "url"): ("u", 1), ("m", "ref"): ("t", 1), ("twice", "score"): ("2.0", 1)}
 
 
+def test_recency_is_a_prior(spark):
+    """Two kinds of the same weight disagree: the later claim wins; without the prior the greater value does. Undated claims are old."""
+    rows = [record(1, 9.0, source=source("manual", published="2020-01-01")), record(2, 5.0, source=source("manual", published="2024-06-01")), record(3, 9.0, model="x", source=source("manual")), record(4, 5.0, model="x", source=source("manual", published="2024-06-01")), record(5, 5.0, model='q"\\', source=source("manual")), record(6, 7.0, model='q"\\', source=source("manual"))]
+    known = fusion.kinds_of(kinds(spark))
+    g = fusion.claimed(spark.createDataFrame(rows, RECORDS), known[0])
+    b = fusion.learn(g, *known)
+    got = {r.model_id: (r.value, r.posterior) for r in fusion.by_votes(g, b).collect()}
+    plain = {r.model_id: (r.value, r.posterior) for r in fusion.by_votes(g, b, 0.0).collect()}
+    assert [got[m][0] for m in ("m", "x", 'q"\\')] == ["5.0", "5.0", "7.0"] and plain["m"][0] == plain["x"][0] == "9.0"
+    assert got["m"][1] > plain["m"][1] and all(0 < p < 0.5 for _, p in plain.values())
+
+
 def entries(spark, bench, model=()):
     b = spark.createDataFrame([(*x, "c") for x in bench], "entry_id long, run_id string, benchmark string, maintainer string, source_url string, derived_from string, key string")
     m = spark.createDataFrame([(*x, "c") for x in model], "entry_id long, run_id string, model string, team string, report_url string, base_model string, node string")
@@ -266,7 +281,7 @@ def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["word"] * rng.randint(5, 60)), "abcx"[min(3, int(rng.random() ** 2 * 4))], "en", 1, 1) for i in range(1500)] + [(9000, "word", None, None, 1, 1), (9001, None, "a", None, 1, 1)]
     targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.25, 4), ("gone", 0.05, 3), (None, 0.1, 1), ("x", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mix = mixing.mixed(documents(spark, rows), targets, most_missing=0.0).cache()
+    mix = mixing.mixed(documents(spark, rows), targets, total=12_000).cache()
     assert {r.domain for r in mix.collect()} == {"a", "b", "c"}
     cap = {"a": 2, "b": 2, "c": 4}
     assert all(1 <= r.copies <= cap[r.domain] for r in mix.collect())
@@ -279,10 +294,9 @@ def test_mixing(spark):
 def test_scarce_sources_stop_at_their_cap(spark):
     rows = [(i, "word " * 20, "big" if i < 900 else "few", "en", 1, 1) for i in range(905)]
     targets = spark.createDataFrame([("big", 0.5, 1), ("few", 0.5, 3)], "source string, target_share double, max_repeats int")
-    report = {r.source: r for r in mixing.shares(mixing.mixed(documents(spark, rows), targets, most_missing=0.4), targets).collect()}
-    assert report["few"].docs == 5 and report["few"].most_copies == 3 and abs(report["few"].actual_share - 0.1 / 0.6) < 0.02
-    total = mixing.total_of([0.5, 0.5] * mixing.np.array(1.0), mixing.np.array([900.0, 15.0]), 0.4)
-    assert abs(total - 150) < 1
+    report = {r.source: r for r in mixing.shares(mixing.mixed(documents(spark, rows), targets), targets).collect()}
+    assert report["few"].docs == 5 and report["few"].most_copies == 3 and abs(report["few"].actual_share - 15 / (452.5 + 15)) < 0.005
+    assert report["few"].missing_share == 0.5 - report["few"].actual_share and report["big"].missing_share == 0
     hot = mixing.mixed(documents(spark, [(7, "word", "big", "en", 1, 1)] * 3000), targets)
     assert hot.count() == 3000
 
