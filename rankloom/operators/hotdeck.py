@@ -33,18 +33,19 @@ def hot_deck(rows: DataFrame, group: list[str], order: list[str], value: str) ->
     ranged = stash(rows.repartitionByRange(n, *keys).withColumn("_block", F.spark_partition_id()), "deck")
     w = W.partitionBy(*group, "_block").orderBy(*order)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.concat_ws("|", *[F.col(c).cast("string") for c in order]).alias("d"), F.col("_at").alias("at")))
-    blocks = ranged.groupBy(*group, "_block").agg(F.count("*").alias("_n"), F.count(value).alias("_usable"))
-    split = blocks.withColumn("_m", F.count("*").over(W.partitionBy(*group))).where("_m > 1")
+    blocks = ranged.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
+    several = blocks.withColumn("_m", F.count("*").over(W.partitionBy(*group))).where("_m > 1")
+    split = small(stash(several.select(*group, "_block"), "split"))
     placed = ranged.withColumn("_at", F.row_number().over(w).cast("bigint")).withColumn("_here", here)
     local = placed.withColumn("_prev", F.last("_here", True).over(w)).withColumn("_next", F.first("_here", True).over(w.rowsBetween(0, W.unboundedFollowing)))
     # edges of the groups that lie in several blocks: at most two groups for each block
-    edge = placed.join(small(split.select(*group, "_block")), [*group, "_block"], "left_semi").groupBy(*group, "_block").agg(F.max(F.struct("_at", "_here")).alias("_end"), F.min(F.when(F.col("_here").isNotNull(), F.struct("_at", "_here"))).alias("_lo"), F.max(F.when(F.col("_here").isNotNull(), F.struct("_at", "_here"))).alias("_hi"))
+    edge = placed.join(split, [*group, "_block"], "left_semi").groupBy(*group, "_block").agg(F.max(F.struct("_at", "_here")).alias("_end"), F.min(F.when(F.col("_here").isNotNull(), F.struct("_at", "_here"))).alias("_lo"), F.max(F.when(F.col("_here").isNotNull(), F.struct("_at", "_here"))).alias("_hi"))
     g = W.partitionBy(*group).orderBy("_block")
     offset = F.coalesce(F.sum("_end._at").over(g.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shifted = lambda c: F.when(F.col(f"{c}._here").isNotNull(), F.struct(F.col(f"{c}._here.v").alias("v"), F.col(f"{c}._here.d").alias("d"), (F.col(f"{c}._at") + F.col("_off")).alias("at")))
     edge = edge.withColumn("_off", offset).withColumn("_l", shifted("_lo")).withColumn("_h", shifted("_hi"))
     edge = edge.select(*group, "_block", "_off", F.last("_h", True).over(g.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_l", True).over(g.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    j = local.join(small(edge), [*group, "_block"], "left")
+    j = local.join(small(stash(edge, "edges")), [*group, "_block"], "left")
     off = F.coalesce("_off", F.lit(0))
     move = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.v").alias("v"), F.col(f"{c}.d").alias("d"), (F.col(f"{c}.at") + off).alias("at")))
     j = j.withColumn("_p", F.coalesce(move("_prev"), F.col("_before"))).withColumn("_q", F.coalesce(move("_next"), F.col("_after"))).withColumn("_at", F.col("_at") + off)

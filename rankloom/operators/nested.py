@@ -1,15 +1,16 @@
 """Deeply nested semi-structured records as flat tables linked by interval labels.
 
 A depth-first walk numbers every entry of a document on the way down (``pre``) and on the way up (``post``). An entry lies
-within another if and only if its numbers do, so tables of different types join on interval containment without a chain of
-parents; ``parent_path`` and ``path`` give the direct link as text.
+within another if and only if its numbers do. Entries are linked by these intervals in one sweep in the order of ``pre``:
+the intervals still open are the entries around (``contained``), the innermost of them is the parent (``parent_path``).
 
 Entries are JSON objects: records, their variants at any depth, the slices of ``extra`` and the trials of a slice, and
 the sources of records and variants. Layouts: a list of records; an object with a list ``records``; an object whose keys
 are models; one record alone; one JSON text per line. A byte order mark is skipped. A list kept as JSON text is still a
 list, an object in place of a list has keys for positions, other elements are no entries but keep their position.
-Top-level keys that start with '_' are metadata. A payload that is null, empty or unreadable gives no rows; so does an
-empty table. Repeated drops give rows of their own. Extra columns are ignored.
+Top-level keys that start with '_' are metadata. A payload that is null, empty, unreadable or nested more deeply than the
+JSON reader follows gives no rows, and ``unread`` reports it; JSON text within a payload that can't be read counts as text.
+An empty table gives no rows. Repeated drops give rows of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _listed(v):
     if isinstance(v, str):
         try:
             v = json.loads(v)
-        except ValueError:
+        except (ValueError, RecursionError):
             return ()
     if isinstance(v, list):
         return enumerate(v)
@@ -78,20 +79,34 @@ def _number(v):
 
 
 def _text(v):
-    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    try:
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    except RecursionError:
+        return None
+
+
+def parents(intervals: list[tuple[int, int]]) -> list[int | None]:
+    """Place of the innermost interval around each of ``intervals``, which are in the order of their starts; None if none is."""
+    out, open_ = [], []
+    for i, (pre, _) in enumerate(intervals):
+        while open_ and intervals[open_[-1]][1] < pre:
+            open_.pop()
+        out.append(open_[-1] if open_ else None)
+        open_.append(i)
+    return out
 
 
 def walk(payload: str | None):
-    """Tuples (type, path, parent, depth, pre, post, fields...) of a payload in document order, without recursion."""
+    """Lists (type, path, parent, depth, pre, post, fields...) of a payload in document order, without recursion."""
     out, clock = [], 0
-    stack = [("record", f"r{at}", "", 0, x) for at, x in reversed(list(_top(payload))) if isinstance(x, dict)]
+    stack = [("record", f"r{at}", 0, x) for at, x in reversed(list(_top(payload))) if isinstance(x, dict)]
     open_ = []
     while stack:
         top = stack.pop()
         if top is None:
             out[open_.pop()][5] = clock = clock + 1
             continue
-        kind, path, parent, depth, x = top
+        kind, path, depth, x = top
         clock += 1
         source = x.get("source") if kind != "source" else x
         s = source if isinstance(source, dict) else {"kind": source} if isinstance(source, str) else {}
@@ -99,28 +114,56 @@ def walk(payload: str | None):
         if isinstance(extra, str):
             try:
                 extra = json.loads(extra)
-            except ValueError:
+            except (ValueError, RecursionError):
                 extra = None
         known = {"variants", "source", "trials", "extra", *_FIELDS}
         rest = {k: v for k, v in x.items() if k not in known} if kind != "source" else {k: v for k, v in x.items() if k not in ("kind", "url", "ref", "published", "fetched_at")}
         if isinstance(extra, dict):
             rest |= {f"extra.{k}": v for k, v in extra.items() if k != "slices"}
-        out.append([kind, path, parent, depth, clock, 0, _text(x.get("model_id")), _text(x.get("benchmark_id")), _text(x.get("name")), _number(x.get("score")), _text(x.get("config")), _text(s.get("kind")), _text(s.get("url")), _text(s.get("ref")), _text(s.get("published")), _text(s.get("fetched_at")), json.dumps(rest, ensure_ascii=False) if rest else None])
+        out.append([kind, path, "", depth, clock, 0, _text(x.get("model_id")), _text(x.get("benchmark_id")), _text(x.get("name")), _number(x.get("score")), _text(x.get("config")), _text(s.get("kind")), _text(s.get("url")), _text(s.get("ref")), _text(s.get("published")), _text(s.get("fetched_at")), _text(rest) if rest else None])
         open_.append(len(out) - 1)
         children = []
         if kind in ("record", "variant"):
             if isinstance(source, dict):
-                children.append(("source", f"{path}/o", path, depth + 1, source))
-            children += [("variant", f"{path}/v{at}", path, depth + 1, v) for at, v in _listed(x.get("variants")) if isinstance(v, dict)]
+                children.append(("source", f"{path}/o", depth + 1, source))
+            children += [("variant", f"{path}/v{at}", depth + 1, v) for at, v in _listed(x.get("variants")) if isinstance(v, dict)]
             if isinstance(extra, dict):
-                children += [("slice", f"{path}/s{at}", path, depth + 1, v) for at, v in _listed(extra.get("slices")) if isinstance(v, dict)]
+                children += [("slice", f"{path}/s{at}", depth + 1, v) for at, v in _listed(extra.get("slices")) if isinstance(v, dict)]
         elif kind == "slice":
-            children += [("trial", f"{path}/t{at}", path, depth + 1, v) for at, v in _listed(x.get("trials")) if isinstance(v, dict)]
+            children += [("trial", f"{path}/t{at}", depth + 1, v) for at, v in _listed(x.get("trials")) if isinstance(v, dict)]
         stack.append(None)
         stack.extend(reversed(children))
+    for row, parent in zip(out, parents([(x[4], x[5]) for x in out])):
+        row[2] = "" if parent is None else out[parent][1]
     return out
 
 
+def trouble(payload: str | None) -> str | None:
+    """Why a payload gives no entries, None if it gives some."""
+    if not (payload or "").strip("\ufeff \t\r\n"):
+        return "empty"
+    if any(isinstance(x, dict) for _, x in _top(payload)):
+        return None
+    try:
+        json.loads(payload.lstrip("\ufeff \t\r\n"))
+    except RecursionError:
+        return "nested too deeply"
+    except ValueError:
+        return "no JSON"
+    return "no entries"
+
+
+def unread(drops: DataFrame) -> DataFrame:
+    """(drop_id, reason) of the payloads that give no entries."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(drop, why) for drop, payload in zip(pdf["drop_id"], pdf["payload"]) if (why := trouble(payload))]
+            yield pd.DataFrame(rows, columns=["drop_id", "reason"])
+
+    return drops.select(F.col("drop_id").cast("bigint").alias("drop_id"), "payload").mapInPandas(run, "drop_id bigint, reason string")
+
+
 def nodes(drops: DataFrame) -> DataFrame:
     """All entries of all payloads (columns: NODES). One pass, no shuffle; a payload is one value of one row."""
     names = [x.strip().split(" ")[0] for x in NODES.split(",")]
@@ -150,11 +193,23 @@ def tables(drops: DataFrame) -> dict[str, DataFrame]:
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Pairs (drop_id, outer_path, inner_path) with the inner entry anywhere within the outer one, by interval containment.
 
-    The join is on the drop, so it is bounded by the nesting of single payloads.
+    One sweep over the entries of each payload in the order of ``pre``, with the outer intervals that are open on a stack,
+    so the work is that of sorting a payload and writing its pairs. A payload is one value of one row, which bounds it.
     """
-    o = outer.select("drop_id", F.col("path").alias("outer_path"), F.col("pre").alias("_a"), F.col("post").alias("_b"))
-    i = inner.select("drop_id", F.col("path").alias("inner_path"), F.col("pre").alias("_c"), F.col("post").alias("_d"))
-    return o.join(i, "drop_id").where("_a < _c and _d < _b").select("drop_id", "outer_path", "inner_path")
+    mark = lambda df, is_outer: df.select("drop_id", "path", "pre", "post", F.lit(is_outer).alias("is_outer"))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, open_, out = pdf.sort_values(["pre", "is_outer"]), [], []
+        for drop, path, pre, post, is_outer in zip(pdf["drop_id"], pdf["path"], pdf["pre"], pdf["post"], pdf["is_outer"]):
+            while open_ and open_[-1][1] < pre:
+                open_.pop()
+            if is_outer:
+                open_.append((path, post))
+            else:
+                out += [(drop, x, path) for x, end in open_ if end > post]
+        return pd.DataFrame(out, columns=["drop_id", "outer_path", "inner_path"])
+
+    return mark(outer, True).unionByName(mark(inner, False)).groupBy("drop_id").applyInPandas(sweep, "drop_id bigint, outer_path string, inner_path string")
 
 
 def entries(drops: DataFrame) -> DataFrame:
@@ -227,9 +282,3 @@ def record_tree(records: DataFrame) -> DataFrame:
     top = nodes.select("record_id", F.lit("record").alias("type"), F.lit("r").alias("path"), F.lit("").alias("parent_path"), F.lit(1).cast("bigint").alias("pre"), (5 + 4 * F.col("_n") + 2 * F.size("_x")).cast("bigint").alias("post"), F.col("score").cast("double").alias("score"), "config")
     below = nodes.select("record_id", F.inline("_x"))
     return own.where("type <> 'record'").unionByName(top, allowMissingColumns=True).unionByName(below, allowMissingColumns=True)
-
-
-def record_extras(records: DataFrame) -> DataFrame:
-    """(record_id, parent_path, key, value): the keys of ``extra``. Null and broken JSON give no rows."""
-    parsed = F.from_json("extra", "map<string,string>", {"mode": "PERMISSIVE"})
-    return records.select("record_id", F.lit("r").alias("parent_path"), F.explode(parsed).alias("key", "value"))

@@ -67,13 +67,17 @@ def _rating_names(names: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Which typed benchmark names mean a benchmark of scale rating: (name, is_rating).
 
     ``names`` are distinct names that no id equals. The nearest catalog entry by edit distance over letters and digits
-    decides, if within two edits and alike in digits; the catalog is bounded and its size checked.
+    decides, if within two edits and alike in digits. They meet by digits and length: an entry stands under its own
+    length and the two below and above it.
     """
     tail = r"(?:[\s,]+(?:acc\.?|pass@\d+|\d+-shot)|\s*[\(\[][^()\[\]]*[\)\]]|[\s™®†*]+)+$"
     clean = F.regexp_replace(F.regexp_replace(F.lower(narrow(F.col("name"))), tail, ""), tail, "")
     words = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[^\w.]|_", " "), r"benchmark", "bench"), r"(?:v\.?|version *)(\d)", "$1"), r"(\d)\.0\b", "$1")
-    catalog = benchmarks.select("id", "scale", name_key(words(F.col("id"))).alias("entry")).where("id is not null")
-    found = names.select("name", name_key(words(clean)).alias("key")).join(small(catalog), F.expr("abs(length(key) - length(entry)) <= 2 and regexp_replace(key, '[^0-9]', '') = regexp_replace(entry, '[^0-9]', '') and levenshtein(key, entry, 2) >= 0"))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "").alias("_digits")
+    catalog = benchmarks.where("id is not null").select("id", "scale", name_key(words(F.col("id"))).alias("entry"))
+    catalog = catalog.select("*", digits("entry"), F.explode(F.sequence(F.length("entry") - 2, F.length("entry") + 2)).alias("_length"))
+    keyed = names.select("name", name_key(words(clean)).alias("key")).select("*", digits("key"), F.length("key").alias("_length"))
+    found = keyed.join(small(catalog), ["_digits", "_length"]).where("levenshtein(key, entry, 2) >= 0")
     return found.groupBy("name").agg(F.min_by(F.col("scale") == "rating", F.struct(F.levenshtein("key", "entry"), "id")).alias("is_rating"))
 
 
@@ -87,12 +91,23 @@ def _features(df: DataFrame) -> DataFrame:
         "f_centre": F.coalesce(F.col("_centre"), F.lit(-1.0)),
         "f_variant": F.coalesce(F.log10(F.array_max(v)), F.lit(-9.0)),
         "f_variant_dec": F.coalesce(F.array_max(F.transform(v, decimals)).cast("double"), F.lit(-1.0)),
-        "f_kind": F.pmod(F.xxhash64(F.coalesce(kind_key(F.col("source.kind")), F.lit(""))), F.lit(8)).cast("double"),
-        "f_category": F.pmod(F.xxhash64(F.coalesce("_category", F.lit(""))), F.lit(16)).cast("double"),
+        "t_kind": F.coalesce(kind_key(F.col("source.kind")), F.lit("")),
+        "t_category": F.coalesce("_category", F.lit("")),
     })
 
 
-FEATURES = ("f_log", "f_dec", "f_ratio", "f_centre", "f_variant", "f_variant_dec", "f_kind", "f_category")
+NUMBERS, TEXTS = ("f_log", "f_dec", "f_ratio", "f_centre", "f_variant", "f_variant_dec"), ("t_kind", "t_category")
+FEATURES = NUMBERS + TEXTS
+
+
+def _encoder(sample: pd.DataFrame):
+    """Function from a frame with FEATURES to numbers; texts get the places that they have in the sample, others -1."""
+    places = {t: {v: i for i, v in enumerate(sorted(sample[t].unique()))} for t in TEXTS}
+
+    def encode(pdf: pd.DataFrame) -> np.ndarray:
+        return np.column_stack([*(pdf[c].to_numpy(dtype=float) for c in NUMBERS), *(pdf[t].map(places[t]).fillna(-1).to_numpy(dtype=float) for t in TEXTS)])
+
+    return encode
 
 
 def _prepared(records: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -121,7 +136,7 @@ def with_scales(records: DataFrame, benchmarks: DataFrame) -> DataFrame:
     rows = _prepared(records, benchmarks)
     centres = _centres(rows).select(F.col("model_id").alias("_m"), F.col("benchmark_id").alias("_b"), "_centre")
     joined = rows.join(centres, F.col("model_id").eqNullSafe(F.col("_m")) & F.col("benchmark_id").eqNullSafe(F.col("_b")), "left")
-    data = stash(_features(joined).select("record_id", "score", "_told", "_rating", F.col("_scale").isNotNull().alias("_known"), *[F.col(c).cast("float").alias(c) for c in FEATURES]), "units")
+    data = stash(_features(joined).select("record_id", "score", "_told", "_rating", F.col("_scale").isNotNull().alias("_known"), *[F.col(c).cast("float").alias(c) for c in NUMBERS], *TEXTS), "units")
     place = F.array_position(F.array(*map(F.lit, SCALES)), F.col("_told").cast("int"))
     labelled = data.where(~F.col("_rating") & (place > 0)).withColumn("label", (place - 1).cast("double"))
     counts = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -144,7 +159,8 @@ def _predict(labelled: DataFrame, rest: DataFrame, counts: dict[int, int]) -> Da
     draw = F.pmod(F.xxhash64(F.col("record_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.withColumn("_draw", draw / share).where("_draw < 1").select("label", "score", "_draw", *FEATURES).toPandas()
     classes = max(counts) + 1
-    y, x, score = sample["label"].to_numpy(dtype=int), sample[list(FEATURES)].to_numpy(dtype=float), sample["score"].to_numpy(dtype=float)
+    encode = _encoder(sample)
+    y, x, score = sample["label"].to_numpy(dtype=int), encode(sample), sample["score"].to_numpy(dtype=float)
     early = sample["_draw"].to_numpy() < TRAIN_ROWS / (TRAIN_ROWS + CALIBRATION_ROWS)
     forest = trees.train(x[early], y[early], classes, trees=24, depth=8, share=0.6)
     scales = np.array(SCALES[:classes], dtype=float)
@@ -159,7 +175,7 @@ def _predict(labelled: DataFrame, rest: DataFrame, counts: dict[int, int]) -> Da
     def fit(batches):
         for pdf in batches:
             score = pdf["score"].to_numpy(dtype=float)
-            p = fitting(pdf[list(FEATURES)].to_numpy(dtype=float), score)
+            p = fitting(encode(pdf), score)
             yield pd.DataFrame({"record_id": pdf["record_id"], "score": score, "_known": pdf["_known"], **{c: p[:, i] for i, c in enumerate(ps)}})
 
     # every untold row goes through the forest once; the shares and the decisions both read what it said

@@ -22,7 +22,18 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_filled(s: SparkSession, d: str) -> DataFrame:
-    return hotdeck.filled_scores(t(s, d, "scores"), t(s, d, "benchmarks"))
+    """Values as text; scores with six decimals."""
+    number = F.col("value").cast("double").cast("decimal(20,6)").cast("string")
+    return hotdeck.filled_scores(t(s, d, "scores"), t(s, d, "benchmarks")).withColumn("value", F.when(F.col("field_name") == "score", number).otherwise(F.col("value")))
+
+
+def p4_filled_records(s: SparkSession, d: str) -> DataFrame:
+    return hotdeck.filled_records(t(s, d, "score_records"))
+
+
+def p6_unread(s: SparkSession, d: str) -> DataFrame:
+    """Payloads without entries by the reason."""
+    return nested.unread(t(s, d, "raw_drops")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
@@ -43,11 +54,47 @@ def p6_trials_in_records(s: SparkSession, d: str) -> DataFrame:
     return nested.contained(tables["record"], tables["trial"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p4_found, p4_filled, p6_found, p6_records, p6_record_tree, p6_trials_in_records)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p4_found, p4_filled, p4_filled_records, p6_found, p6_records, p6_record_tree, p6_trials_in_records, p6_unread)}
 
 _BLANK = "('', '-', '--', '?', '.', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'tbd', 'unknown', 'undefined')"
 
+# the nearest usable value before or after in the order of the group: {0} the rows, {1} the group, {2} the order, {3} the donor's name
+_DECK = """
+placed AS (
+  SELECT *, row_number() OVER w AS place, CASE WHEN value IS NOT NULL THEN {{'v': value, 'd': {3}, 'place': row_number() OVER w}} END AS here FROM {0} WINDOW w AS (PARTITION BY {1} ORDER BY {2})
+), near AS (
+  SELECT *, last_value(here IGNORE NULLS) OVER (PARTITION BY {1} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
+    first_value(here IGNORE NULLS) OVER (PARTITION BY {1} ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM placed
+), donor AS (
+  SELECT *, CASE WHEN p IS NOT NULL AND (q IS NULL OR place - p.place <= q.place - place) THEN p ELSE q END AS x FROM near
+)
+"""
+
 SQL = {
+    "p4_filled": f"""
+WITH good AS (
+  SELECT run_id, benchmark, model, loaded_at, CASE WHEN NOT isnan(score) AND CASE WHEN b.scale = 'rating' THEN score > 0 AND score < 3000 ELSE score >= 0 AND score <= 1 END THEN score END AS score,
+    CASE WHEN lower(trim(metric)) NOT IN {_BLANK} THEN metric END AS metric FROM scores s LEFT JOIN benchmarks b ON b.id = s.benchmark
+), cells AS (
+  SELECT run_id, benchmark, model, arg_max(score, [epoch_us(loaded_at)::DOUBLE, score]) FILTER (score IS NOT NULL) AS score,
+    regexp_replace(lower(trim(arg_max(metric, [epoch_us(loaded_at)::VARCHAR, metric]) FILTER (metric IS NOT NULL))), '\\s+', '_', 'g') AS metric FROM good GROUP BY ALL
+), axes AS (
+  SELECT run_id, benchmark, model FROM (SELECT DISTINCT run_id, benchmark FROM scores) JOIN (SELECT DISTINCT run_id, model FROM scores) USING (run_id)
+), deck AS (
+  SELECT run_id, benchmark, model, 'score' AS field_name, score::DECIMAL(20,6)::VARCHAR AS value FROM axes LEFT JOIN cells USING (run_id, benchmark, model)
+  UNION ALL SELECT run_id, benchmark, model, 'metric', metric FROM cells
+), {_DECK.format("deck", "run_id, benchmark, field_name", "model", "model")}
+SELECT run_id, benchmark, model, field_name, coalesce(value, x.v) AS value, value IS NULL AND x IS NOT NULL AS filled,
+  CASE WHEN value IS NULL THEN x.d END AS donor, CASE WHEN value IS NULL THEN abs(place - x.place) END AS distance FROM donor
+""",
+    "p4_filled_records": f"""
+WITH deck AS (
+  SELECT record_id, run_id, benchmark_id, model_id, coalesce(lower(model_id), '') AS m, CASE WHEN score >= 0 AND NOT isnan(score) THEN score END AS value FROM score_records
+), {_DECK.format("deck", "run_id, benchmark_id", "m, record_id", "m || '|' || record_id")}, told AS (
+  SELECT *, value IS NULL AND x IS NOT NULL AND run_id IS NOT NULL AND benchmark_id IS NOT NULL AS filled FROM donor
+)
+SELECT record_id, run_id, benchmark_id, model_id, coalesce(value, CASE WHEN filled THEN x.v END) AS value, filled, CASE WHEN filled THEN x.d END AS donor, CASE WHEN filled THEN abs(place - x.place) END AS distance FROM told
+""",
     "p4_found": f"""
 WITH ok AS (
   SELECT s.*, CASE WHEN b.scale = 'rating' THEN score > 0 AND score < 3000 ELSE score >= 0 AND score <= 1 END AND NOT isnan(score) AS good, lower(trim(metric)) NOT IN {_BLANK} AS named

@@ -29,26 +29,42 @@ def session(app: str = "rankloom", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine if the master is local, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stash(df: DataFrame, what: str = "t") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
-    The result has no lineage, so a lost executor costs a re-read and not a re-run of the loop that made it.
+    The result has no lineage, so a lost executor costs a re-read and not a re-run of the loop that made it. The files
+    stay as long as results may be read from them; ``sweep`` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes all that ``stash`` wrote in this process; to be called once no result is read any more. Number of folders."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def catalog_rows(df: DataFrame, most: int = CATALOG_ROWS) -> list:
     """The rows of a catalog, on the driver. Raises if there are more than ``most``: then it is no catalog."""
     rows = df.limit(most + 1).collect()

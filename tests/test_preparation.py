@@ -126,6 +126,9 @@ def test_nested_layouts(spark):
         7: None,
         8: "",
         9: "[" * 5000,
+        10: "[" * 200_000 + "]" * 200_000,
+        11: json.dumps([{"model_id": "m", "variants": "[" * 200_000 + "]" * 200_000, "extra": '{"slices": ' + "[" * 200_000 + "]" * 200_000 + "}"}]),
+        12: "[1, 2]",
     }
     d = spark.createDataFrame([(k, v, "extra") for k, v in payloads.items()], "drop_id long, payload string, path string")
     got = {}
@@ -137,7 +140,9 @@ def test_nested_layouts(spark):
         3: {("rm1", ""), ("rm2", ""), ("rm2/v0", "rm2")},
         4: {("r0", "")},
         5: {("r0", ""), ("r1", ""), ("r1/s0", "r1")},
+        11: {("r0", "")},
     }
+    assert {r.drop_id: r.reason for r in nested.unread(d).collect()} == {6: "no JSON", 7: "empty", 8: "empty", 9: "no JSON", 10: "nested too deeply", 12: "no entries"}
     t = nested.tables(d)
     inside = {(r.drop_id, r.outer_path, r.inner_path) for r in nested.contained(t["record"], t["variant"]).collect()}
     assert inside == {(1, "r0", "r0/v0"), (1, "r0", "r0/v0/vlow"), (1, "r0", "r0/v3"), (3, "rm2", "rm2/v0")}
@@ -156,11 +161,17 @@ def test_intervals_are_containment(records):
             assert (a[4] < b[4] and b[5] < a[5]) == (b[1].startswith(a[1] + "/"))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(tree, max_size=4))
+def test_parents_are_the_innermost_intervals(records):
+    for n in nested.walk(json.dumps(records)):
+        assert n[2] == n[1].rpartition("/")[0]
+
+
 def test_record_nodes(spark):
     r = spark.createDataFrame([record(1, 1.0, source=source("k"), variants=[(2.0, "c", source("x")), None, (3.0, None, None)]), record(2, None), record(3, 1.0, variants=[], extra='{"a": 1, "b": {"c": 2}}'), record(4, 1.0, extra="{broken")], RECORDS)
     got = {(x.record_id, x.path) for x in nested.record_nodes(r).collect()}
     assert got == {(1, "r"), (1, "r/o"), (1, "r/v0"), (1, "r/v0/o"), (1, "r/v2"), (2, "r"), (3, "r"), (4, "r")}
-    assert {(x.key, x.value) for x in nested.record_extras(r).collect()} == {("a", "1"), ("b", '{"c":2}')}
 
 
 def test_record_tree_holds_extra(spark):
