@@ -6,11 +6,12 @@ Pair tables are bounded by the benchmark catalog; scores and records of any size
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.semantics import average_rank, cosine, pearson
+from rankloom.runtime import catalog_rows
 
 
 def normalised(scores: DataFrame) -> DataFrame:
@@ -36,11 +37,28 @@ def rank_similarity(scores: DataFrame, min_common: int = 6) -> DataFrame:
     return out.select("p", "q", "common_count", F.when(F.col("common_count") >= min_common, F.col("_r")).alias("r"))
 
 
+def common_counts(scores: DataFrame) -> DataFrame:
+    """(p, q, common_count) of pairs with a model in common."""
+    return common_scores(scores).groupBy("p", "q").agg(F.count(F.lit(1)).alias("common_count"))
+
+
+def listed(names: DataFrame, column: str) -> Column:
+    """The distinct values of a catalog's column as an array, in order; an error if they are too many for a catalog."""
+    found = sorted(r[0] for r in catalog_rows(names.where(F.col(column).isNotNull()).select(column).distinct()))
+    return F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+
+
 def all_pairs(scores: DataFrame, similarity: DataFrame) -> DataFrame:
     """Every pair of the catalog's benchmarks, with count 0 and null where they have no model in common."""
     names = scores.select("benchmark").distinct()
-    a, b = names.select(F.col("benchmark").alias("p")), names.select(F.col("benchmark").alias("q"))
-    return a.join(F.broadcast(b), F.col("p") < F.col("q")).join(similarity, ["p", "q"], "left").withColumn("common_count", F.coalesce("common_count", F.lit(0)))
+    pairs = names.select(F.col("benchmark").alias("p"), F.explode(listed(names, "benchmark")).alias("q")).where("p < q")
+    return pairs.join(similarity, ["p", "q"], "left").withColumn("common_count", F.coalesce("common_count", F.lit(0)))
+
+
+def missing_cells(scores: DataFrame) -> DataFrame:
+    """(benchmark, model) of the catalog's cells that have no score."""
+    cells = scores.select("benchmark").distinct().select("benchmark", F.explode(listed(scores, "model")).alias("model"))
+    return cells.join(scores.select("benchmark", "model"), ["benchmark", "model"], "left_anti")
 
 
 def tag_similarity(tags: DataFrame) -> DataFrame:
@@ -191,14 +209,6 @@ def min_max_ranking(scores: DataFrame) -> DataFrame:
     return norm.groupBy("model").agg(F.count_distinct("benchmark").alias("_n"), F.avg("_v").alias("score")).join(F.broadcast(k)).where("_n = _k").select("model", "score")
 
 
-def leave_one_model_out(scores: DataFrame, models: list[str], min_common: int) -> DataFrame:
-    """(dropped, p, q, r): rank similarity without each of a few models, as one job."""
-    d = F.explode(F.array(*map(F.lit, models))).alias("dropped")
-    c = common_scores(scores).select("*", d).where("model <> dropped")
-    ranked = c.select("dropped", "p", "q", average_rank("x", "dropped", "p", "q").alias("rx"), average_rank("y", "dropped", "p", "q").alias("ry"))
-    return ranked.groupBy("dropped", "p", "q").agg(F.count(F.lit(1)).alias("n"), pearson("rx", "ry").alias("r")).where(F.col("n") >= min_common).drop("n")
-
-
 def trend(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """(by, n, slope, intercept, x0, x1): least squares line through the points of each group."""
     slope = F.try_divide(F.covar_pop(x, y), F.nullif(F.var_pop(x), F.lit(0.0)))

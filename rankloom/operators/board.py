@@ -18,33 +18,66 @@ def flattened(records: DataFrame) -> DataFrame:
     """One row for each record and variant: (run_id, model_id, benchmark_id, record_id, entry_no, score, config, source)."""
     kind = records.schema["variants"].dataType
     own = F.array(F.struct(F.col("score").alias("score"), F.col("config").alias("config"), F.col("source").alias("source")).cast(kind.elementType))
-    return records.select("run_id", "model_id", "benchmark_id", "record_id", F.posexplode(F.concat(own, F.coalesce("variants", F.array().cast(kind)))).alias("entry_no", "v")).select("run_id", "model_id", "benchmark_id", "record_id", "entry_no", "v.score", "v.config", "v.source")
+    return records.select("run_id", "model_id", "benchmark_id", "record_id", "extra", F.posexplode(F.concat(own, F.coalesce("variants", F.array().cast(kind)))).alias("entry_no", "v")).select("run_id", "model_id", "benchmark_id", "record_id", "extra", "entry_no", "v.score", "v.config", "v.source")
 
 
-def merged(records: DataFrame, source_kinds: DataFrame) -> DataFrame:
-    """(run_id, model_id, benchmark_id, score, config, record_id, variants): the entry promoted and how many stay behind it.
+GROUP = ("run_id", "model_id", "benchmark_id")
+#: Reliability of an entry that a user corrected, and of one from a host that only repeats the numbers of others.
+CORRECTED, REPEATED = 6, 2
 
-    A group that is all dated is ordered by date; one that is not by trust, fetch instant and score, with the date last
-    (an order that asks for the date of both sides only is not transitive in mixed groups).
+
+def host_of(url: Column) -> Column:
+    """Host of an http link without 'www.', '' if it is none."""
+    return F.regexp_extract(F.lower(url), r"^https?://(?:www\.)?([^/:?#]+)", 1)
+
+
+def ordered_entries(records: DataFrame, source_kinds: DataFrame, repeaters: tuple[str, ...] = ()) -> DataFrame:
+    """Usable entries of all records, each once by config, score, url, ref and reporter, with ``_order``: the greatest comes first.
+
+    A group that is all dated is ordered by date; one that is not by reliability, fetch instant and score, with the date last
+    (an order that asks for the date of both sides only is not transitive in mixed groups). Reliability is the trust of the
+    kind, but CORRECTED for a record whose extra says so and REPEATED for hosts that repeat others. Groups are reduced
+    map-side, so a hot one costs a row for each distinct entry and task.
     """
     trust = {r.kind: int(r.trust) for r in catalog_rows(source_kinds.where("kind is not null and trust is not null").select(kind_key(F.col("kind")).alias("kind"), "trust"))}
     known = F.create_map(*[F.lit(x) for kv in trust.items() for x in kv]) if trust else F.create_map(F.lit(""), F.lit(0))
     e = flattened(records).where(usable_score(F.col("score")) & F.col("model_id").isNotNull() & F.col("benchmark_id").isNotNull())
-    e = e.select("run_id", "model_id", "benchmark_id", "record_id", "entry_no", "score", "config", F.coalesce(F.unix_date(publication_day(F.col("source.published"))), F.lit(-(10**6))).alias("day"), F.coalesce(F.try_element_at(known, F.coalesce(kind_key(F.col("source.kind")), F.lit(""))), F.lit(0)).alias("trust"), F.coalesce(F.unix_micros(instant(F.col("source.fetched_at"))), F.lit(-(2**60))).alias("fetched"))
-    tail = [(-F.col("record_id")).alias("a"), (-F.col("entry_no")).alias("b"), F.col("config").alias("config"), F.col("record_id").alias("record_id")]
-    by_day = F.max(F.struct("day", "trust", "fetched", "score", *tail))
-    by_trust = F.max(F.struct("trust", "fetched", "score", "day", *tail))
-    out = e.groupBy("run_id", "model_id", "benchmark_id").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("_d"), by_day.alias("x"), by_trust.alias("y"))
-    dated = F.col("_d") > -(10**6)
-    pick = lambda c: F.when(dated, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c)
-    return out.select("run_id", "model_id", "benchmark_id", pick("score"), pick("config"), pick("record_id"), (F.col("n") - 1).alias("variants"))
-
-
-def deduplicated(records: DataFrame, spread: float = 0.5) -> DataFrame:
-    """Per run, model, benchmark and config: one score is kept; scores within ``spread`` keep the one with most decimals; else none."""
-    r = records.where(usable_score(F.col("score"))).withColumn("config", F.lower(F.trim(F.coalesce("config", F.lit("")))))
-    g = r.groupBy("run_id", "model_id", "benchmark_id", "config").agg(F.count_distinct("score").alias("n"), (F.max("score") - F.min("score")).alias("gap"), F.max(F.struct(decimals(F.col("score")).alias("dec"), F.col("score").alias("score"))).alias("best"))
-    return g.where((F.col("n") == 1) | (F.col("gap") <= spread)).select("run_id", "model_id", "benchmark_id", "config", F.col("best.score").alias("score"), F.col("n").alias("distinct_scores"))
+    host = host_of(F.col("source.url"))
+    repeats = F.lit(False)
+    for h in repeaters:
+        repeats = repeats | (host == h) | host.endswith("." + h)
+    corrected = (F.col("entry_no") == 0) & (F.get_json_object("extra", "$.user_correction") == "true")
+    rel = F.when(F.coalesce(corrected, F.lit(False)), CORRECTED).when(F.coalesce(repeats, F.lit(False)), REPEATED).otherwise(F.coalesce(F.try_element_at(known, F.coalesce(kind_key(F.col("source.kind")), F.lit(""))), F.lit(0)))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    e = e.select(*GROUP, "record_id", "entry_no", "score", F.lower(F.trim(text("config"))).alias("config"), text("source.url").alias("url"), text("source.ref").alias("ref"), text("source.reported_by").alias("by"),
+                 F.coalesce(F.unix_date(publication_day(F.col("source.published"))), F.lit(-(10**6))).alias("day"), rel.alias("rel"), F.coalesce(F.unix_micros(instant(F.col("source.fetched_at"))), F.lit(-(2**60))).alias("fetched"))
+    dated = e.groupBy(*GROUP).agg((F.min("day") > -(10**6)).alias("_dated"))
+    order = F.struct(F.when(F.col("_dated"), F.col("day")).otherwise(0).alias("a"), "rel", "fetched", "score", "day", (-F.col("record_id")).alias("r"), (-F.col("entry_no")).alias("e"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP]
+    marked = e.join(dated.select(*[F.col(g).alias(f"_{g}") for g in GROUP], "_dated"), same)
+    best = marked.groupBy(*GROUP, "config", "score", "url", "ref", "by").agg(F.max(order).alias("_order"))
+    return best.select(*GROUP, (-F.col("_order.r")).alias("record_id"), (-F.col("_order.e")).alias("entry_no"), "score", "config", "_order")
+
+
+def merged(records: DataFrame, source_kinds: DataFrame, repeaters: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, model_id, benchmark_id, score, config, record_id, entry_no, variants): the entry promoted and how many stay behind it."""
+    e = ordered_entries(records, source_kinds, repeaters)
+    out = e.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_order", "score", "config", "record_id", "entry_no")).alias("x"))
+    return out.select(*GROUP, "x.score", "x.config", "x.record_id", "x.entry_no", (F.col("n") - 1).alias("variants"))
+
+
+def variants(records: DataFrame, source_kinds: DataFrame, repeaters: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, model_id, benchmark_id, place, record_id, entry_no, score, config): the representative (0) and its variants in order."""
+    w = W.partitionBy(*GROUP).orderBy(F.desc("_order"))
+    return ordered_entries(records, source_kinds, repeaters).select(*GROUP, (F.row_number().over(w) - 1).alias("place"), "record_id", "entry_no", "score", "config")
+
+
+def deduplicated(records: DataFrame, source_kinds: DataFrame, spread: float = 0.5) -> DataFrame:
+    """Entries (variants too) per run, model, benchmark and config: one score is kept; of scores within ``spread`` that with
+    most decimals, the first in order on a tie; else none of them."""
+    e = ordered_entries(records, source_kinds)
+    g = e.groupBy(*GROUP, "config").agg(F.count_distinct("score").alias("n"), (F.max("score") - F.min("score")).alias("gap"), F.max(F.struct(decimals(F.col("score")).alias("dec"), "_order", "score")).alias("best"))
+    return g.where((F.col("n") == 1) | (F.col("gap") <= spread)).select(*GROUP, "config", F.col("best.score").alias("score"), F.col("n").alias("distinct_scores"))
 
 
 def heat(scores: DataFrame) -> DataFrame:
@@ -54,13 +87,48 @@ def heat(scores: DataFrame) -> DataFrame:
     return scores.select("benchmark", "model", "score", lo.alias("lo"), hi.alias("hi"), F.when(hi > lo, F.try_divide(F.col("score") - lo, hi - lo)).otherwise(0.5).alias("shade"))
 
 
-def contamination(scores: DataFrame) -> DataFrame:
-    """(benchmark, n, middle, top, ceiling, risk): saturation signals of a benchmark with fractions as scores."""
-    top = scores.groupBy("benchmark").agg(F.max("score").alias("top"), F.median("score").alias("middle"), F.count(F.lit(1)).alias("n"))
-    near = scores.join(top, "benchmark").groupBy("benchmark").agg(F.count_if((F.col("top") >= 0.5) & (F.col("score") >= 0.95 * F.col("top"))).alias("ceiling"))
-    share = F.col("ceiling") / F.col("n")
-    risk = F.when((F.col("middle") >= 0.8) & (share >= 0.3), "high").when((F.col("middle") >= 0.6) | (share >= 0.2), "medium").otherwise("low")
-    return top.join(near, "benchmark").select("benchmark", "n", "middle", "top", "ceiling", risk.alias("risk"))
+# When a benchmark is saturated, and which gap to its hard variant is large or notable.
+NEAR_TOP, LEAST_TOP, SATURATED_MIDDLE, WIDE_GAP, SOME_GAP = 0.95, 50, 0.85, 15, 8
+
+
+def contamination(scores: DataFrame, hard: DataFrame) -> DataFrame:
+    """(benchmark, n, middle, top, ceiling, saturated, hard, hard_gap, hard_pairs, risk) of benchmarks with three or more scores.
+
+    Scores are in percent; the ceiling (scores within 5 % of the best) only counts where the best is 50 or more. ``hard``
+    (benchmark, hard) names a harder variant; its gap is the mean over shared models, if there are three or more.
+    """
+    top = scores.groupBy("benchmark").agg(F.max("score").alias("top"), F.median("score").alias("middle"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    near = scores.join(top.select("benchmark", "top"), "benchmark").groupBy("benchmark").agg(F.count_if((F.col("top") >= LEAST_TOP) & (F.col("score") >= NEAR_TOP * F.col("top"))).alias("ceiling"))
+    pairs = scores.join(hard.where("benchmark <> hard"), "benchmark").join(scores.select(F.col("benchmark").alias("hard"), "model", F.col("score").alias("_h")), ["hard", "model"])
+    gap = pairs.groupBy("benchmark", "hard").agg(F.avg(F.col("score") - F.col("_h")).alias("hard_gap"), F.count(F.lit(1)).alias("hard_pairs")).where("hard_pairs >= 3")
+    j = top.join(near, "benchmark").join(gap, "benchmark", "left")
+    saturated = (F.col("n") >= 5) & (F.col("ceiling") >= 3) & (F.col("middle") >= SATURATED_MIDDLE * F.col("top"))
+    wide, some = F.coalesce(F.col("hard_gap") > WIDE_GAP, F.lit(False)), F.coalesce(F.col("hard_gap") > SOME_GAP, F.lit(False))
+    risk = F.when(saturated & (F.col("ceiling") / F.col("n") >= 0.3) | wide, "high").when((F.col("ceiling") >= 2) | some, "medium").otherwise("low")
+    return j.select("benchmark", "n", "middle", "top", "ceiling", saturated.alias("saturated"), "hard", "hard_gap", "hard_pairs", risk.alias("risk"))
+
+
+def related(tags: DataFrame, least: float = 0.75, k: int = 6) -> DataFrame:
+    """(tag, benchmark, place): the k benchmarks with most of a tag among those with ``least`` or more, ties by name."""
+    w = W.partitionBy("tag").orderBy(F.desc("weight"), "benchmark")
+    return tags.where(F.col("weight") >= least).select("tag", "benchmark", F.row_number().over(w).alias("place")).where(F.col("place") <= k)
+
+
+def corrected(scores: DataFrame, corrections: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """(scores with all corrections, mismatches): mismatches (benchmark, model, reason) are cells not found or of another value."""
+    j = corrections.join(scores, ["benchmark", "model"], "left")
+    reason = F.when(F.col("score").isNull(), "cell not found").when(F.abs(F.col("score") - F.col("old")) > tolerance, "another value")
+    bad = j.select("benchmark", "model", reason.alias("reason")).where("reason is not null")
+    new = scores.join(corrections.select("benchmark", "model", "new"), ["benchmark", "model"], "left")
+    return new.select("benchmark", "model", F.coalesce("new", "score").alias("score"), F.col("new").isNotNull().alias("corrected")), bad
+
+
+def all_corrected(scores: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Scores with all corrections, or an error that names what doesn't fit: all or nothing."""
+    new, bad = corrected(scores, corrections)
+    if wrong := bad.orderBy("benchmark", "model").limit(20).collect():
+        raise ValueError("corrections don't fit: " + ", ".join(f"{r.model} at {r.benchmark}: {r.reason}" for r in wrong))
+    return new
 
 
 def relevance(tags: DataFrame, wanted: dict[str, float]) -> DataFrame:
@@ -92,12 +160,16 @@ def model_fit(profile: DataFrame, wanted: dict[str, float], k: int) -> DataFrame
     return profile.withColumn("_w", w).where("_w IS NOT NULL").groupBy("model").agg((F.sum(F.col("_w") * F.col("weight")) / sum(wanted.values())).alias("fit")).orderBy(F.desc("fit"), "model").limit(k)
 
 
-def subset_ranking(scores: DataFrame, subset: list[str]) -> DataFrame:
-    """(model, subset_mean, full_mean, subset_place, full_place, shift) for models that the whole subset has."""
-    g = scores.groupBy("model").agg(F.avg(F.when(F.col("benchmark").isin(*subset), F.col("score"))).alias("subset_mean"), F.avg("score").alias("full_mean"), F.count_if(F.col("benchmark").isin(*subset)).alias("_n")).where(F.col("_n") == len(subset)).drop("_n")
+def subset_ranking(scores: DataFrame, subset: list[str], k: int) -> DataFrame:
+    """(model, subset_rank, subset_score, full_rank, full_score, regret, reliability): the k best models by the mean of a subset
+    of the benchmarks (of all they have, if they have none of it) beside their place by all; scores are fractions, shown in percent."""
+    g = scores.groupBy("model").agg(F.avg(F.when(F.col("benchmark").isin(*subset), F.col("score"))).alias("_s"), F.avg("score").alias("_f"))
     one = F.lit(1)
-    p = g.withColumns({"subset_place": F.row_number().over(W.partitionBy(one).orderBy(F.desc("subset_mean"), "model")), "full_place": F.row_number().over(W.partitionBy(one).orderBy(F.desc("full_mean"), "model"))})
-    return p.withColumn("shift", F.col("full_place") - F.col("subset_place"))
+    p = g.select("model", (F.coalesce("_s", "_f") * 100).alias("_s"), (F.col("_f") * 100).alias("_f"), F.count(one).over(W.partitionBy(one)).alias("_n"))
+    place = lambda c: F.row_number().over(W.partitionBy(one).orderBy(F.desc(c), "model"))  # noqa: E731 - a catalog
+    p = p.withColumns({"subset_rank": place("_s"), "full_rank": place("_f")}).where(F.col("subset_rank") <= k)
+    regret = F.greatest(F.lit(0), F.col("subset_rank") - F.col("full_rank")) / F.greatest(F.lit(1), F.col("_n"))
+    return p.select("model", "subset_rank", F.col("_s").alias("subset_score"), "full_rank", F.col("_f").alias("full_score"), regret.alias("regret"), (1 - F.least(F.lit(0.5), F.abs(F.col("_s") - F.col("_f")) / 100)).alias("reliability"))
 
 
 def hash_order(name: Column, seed: int) -> Column:
@@ -132,55 +204,6 @@ def sampled(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFra
     return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
 
 
-def bootstrap(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(b, n, l_align, rho): resampled pairs; a draw takes as many pairs as there are, by hash. Pairs are bounded.
-
-    A pair's copies in a draw are Poisson(1), so a draw needs no positions and no join.
-    """
-    b = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "p", "q"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cdf, out, p = 0.0, None, 0.36787944117144233
-    for k in range(9):
-        cdf += p
-        out = F.when(F.col("_u") < cdf, k) if out is None else out.when(F.col("_u") < cdf, k)
-        p /= k + 1
-    drawn = pairs.select("*", b).withColumn("_u", u).withColumn("_k", out.otherwise(9)).where("_k > 0")
-    w = F.col("_k")
-    g = drawn.groupBy("b").agg(F.sum(w).alias("n"), *[F.sum(w * e).alias(a) for a, e in (("s1", F.col("s")), ("r1", F.col("r")), ("ss", F.col("s") * F.col("s")), ("rr", F.col("r") * F.col("r")), ("sr", F.col("s") * F.col("r")))])
-    n = F.col("n")
-    cov, va, vb = F.col("sr") / n - F.col("s1") * F.col("r1") / n / n, F.col("ss") / n - F.pow(F.col("s1") / n, 2), F.col("rr") / n - F.pow(F.col("r1") / n, 2)
-    return g.select("b", "n", ((F.col("ss") - 2 * F.col("sr") + F.col("rr")) / n).alias("l_align"), F.try_divide(cov, F.nullif(F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0))), F.lit(0.0))).alias("rho"))
-
-
-def permutation_null(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(b, rho): Pearson of s with shuffled r; b = 0 is the observed one. The shuffle pairs two hash orders by place."""
-    b = F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("b")
-    s = pairs.select("p", "q", "s", "r", b)
-    own = F.row_number().over(W.partitionBy("b").orderBy("p", "q"))
-    other = F.row_number().over(W.partitionBy("b").orderBy(F.when(F.col("b") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "b", "p", "q")), "p", "q"))
-    x, y = s.select("b", "s", own.alias("i")), s.select("b", "r", other.alias("i"))
-    sd = F.nullif(F.stddev_pop("s") * F.stddev_pop("r"), F.lit(0.0))
-    return x.join(y, ["b", "i"]).groupBy("b").agg(F.try_divide(F.covar_pop("s", "r"), sd).alias("rho"))
-
-
-def permutation_p(null: DataFrame) -> DataFrame:
-    """(draws, observed, p_value, null_sd): add-one p of the observed correlation against the shuffles."""
-    seen = null.where("b = 0").select(F.col("rho").alias("observed"))
-    j = null.where("b > 0").join(F.broadcast(seen))
-    return j.agg(F.count(F.lit(1)).alias("draws"), F.first("observed").alias("observed"), ((F.count_if(F.col("rho") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.stddev_samp("rho").alias("null_sd"))
-
-
-def sign_flip(deltas: list[float]) -> float:
-    """Exact two-sided paired sign-flip p over all 2^n signs (n up to 20)."""
-    n = len(deltas)
-    if not 0 < n <= 20:
-        raise ValueError("between 1 and 20 pairs")
-    seen, hits = abs(sum(deltas)), 0
-    for m in range(1 << n):
-        hits += abs(sum(-x if m >> i & 1 else x for i, x in enumerate(deltas))) >= seen - 1e-12
-    return (hits + 1) / ((1 << n) + 1)
-
-
 def greedy_cover(tags: DataFrame, k: int) -> list[str]:
     """The k benchmarks that cover most: each step takes the greatest gain in the sum of per-tag maxima (plus 1e-6 of its norm), ties by name."""
     rows = catalog_rows(tags.select("benchmark", "tag", "weight"))
@@ -198,24 +221,35 @@ def greedy_cover(tags: DataFrame, k: int) -> list[str]:
     return out
 
 
-def k_medoids(tags: DataFrame, k: int, rounds: int = 64) -> list[str]:
-    """Medoids of the tag vectors under 1 - cosine: alternate assignment and update, ties by name. The catalog is bounded."""
+def k_medoids(tags: DataFrame, k: int, seed: int = 0, rounds: int = 64) -> list[str]:
+    """Medoids of the tag vectors under 1 - cosine (1 for a zero vector): alternate assignment and update, ties by name.
+
+    Starts from a seeded sample; where two clusters fall onto one medoid the first names not yet taken fill up, so k come
+    back. The catalog is bounded.
+    """
+    import random
+
     import numpy as np
 
     rows = catalog_rows(tags.select("benchmark", "tag", "weight"))
     names, kinds = sorted({r.benchmark for r in rows}), sorted({r.tag for r in rows})
+    if k <= 0 or k >= len(names):
+        return names if k > 0 else []
     m = np.zeros((len(names), len(kinds)))
     at, tat = {n: i for i, n in enumerate(names)}, {t: i for i, t in enumerate(kinds)}
     for r in rows:
         m[at[r.benchmark], tat[r.tag]] = r.weight
-    norm = np.linalg.norm(m, axis=1)
-    cos = np.divide(m @ m.T, np.outer(norm, norm), out=np.zeros((len(names), len(names))), where=np.outer(norm, norm) > 0)
-    d = 1 - np.clip(cos, -1, 1)
-    medoids = list(range(min(k, len(names))))
+    size = np.outer(*[np.linalg.norm(m, axis=1)] * 2)
+    d = 1 - np.clip(np.divide(m @ m.T, size, out=np.zeros_like(size), where=size > 0), -1, 1)
+    medoids = sorted(random.Random(seed).sample(range(len(names)), k))
     for _ in range(rounds):
         who = d[:, medoids].argmin(axis=1)
-        after = sorted({int(min(np.flatnonzero(who == c), key=lambda i, c=c: (d[np.ix_(who == c, [i])].sum(), i))) for c in range(len(medoids)) if (who == c).any()})
-        if after == medoids:
+        new = set()
+        for c, old in enumerate(medoids):
+            members = np.flatnonzero(who == c)
+            new.add(int(members[d[np.ix_(members, members)].sum(axis=1).argmin()]) if len(members) else old)
+        if sorted(new) == medoids:
             break
-        medoids = after
+        new |= set([i for i in range(len(names)) if i not in new][: k - len(new)])
+        medoids = sorted(new)
     return [names[i] for i in medoids]

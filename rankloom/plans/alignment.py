@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import kind_key
-from rankloom.functions.semantics import vector_cosine
+from rankloom.functions.semantics import reasons, vector_cosine
 from rankloom.operators import align as A
 from rankloom.operators.hotdeck import usable_matrix_score
 from rankloom.runtime import small, stash
@@ -98,8 +98,7 @@ def jn13_full_coverage(s, d):
 
 
 def jn15_missing_cells(s, d):
-    y = matrix(s, d)
-    return y.select("benchmark").distinct().join(F.broadcast(y.select("model").distinct()), F.col("benchmark") != F.col("model")).join(y.select("benchmark", "model"), ["benchmark", "model"], "left_anti")
+    return A.missing_cells(matrix(s, d))
 
 
 def ag1_rank_similarity(s, d):
@@ -145,10 +144,11 @@ def ag9_split_metrics(s, d):
 
 
 def ag10_held_models(s, d):
-    """Pairs from the models in the upper half of the hash order only."""
+    """Metrics of the buckets from the models in the upper half of the hash order only, and why a bucket has none."""
     held = matrix(s, d).where(F.substring(F.md5("model"), 1, 1) >= "8")
-    p = A.rounded(A.aligned(A.tag_similarity(tag_weights(s, d)), A.rank_similarity(held, 3)), s=6, r=6, r01=7)
-    return A.rounded(A.bucket_metrics(p, buckets(s, d)), l_align=6)
+    p = A.rounded(A.aligned(A.tag_similarity(tag_weights(s, d)), A.rank_similarity(held, 8)), s=6, r=6, r01=7)
+    m = A.rounded(A.bucket_metrics(p, buckets(s, d)), l_align=6)
+    return m.withColumn("skipped", F.when(F.col("benchmarks") < 2, "too_few_benchmarks").when(F.col("n_pairs") == 0, "no_valid_pairs"))
 
 
 def ag16_relative_profile(s, d):
@@ -178,19 +178,18 @@ def ag32_trend(s, d):
     return A.rounded(A.trend(o, "o_orderpriority", "x", "y"), slope=4, intercept=2)
 
 
-def ag33_model_probe(s, d):
-    models = [r.model for r in matrix(s, d).groupBy("model").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model").limit(3).collect()]
-    if not models:
-        return matrix(s, d).select(F.col("model").alias("dropped"), F.lit(0).cast("bigint").alias("n_pairs"), F.lit(0.0).alias("mean_r"))
-    return A.rounded(A.leave_one_model_out(matrix(s, d), models, 4).groupBy("dropped").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("r").alias("mean_r")), mean_r=5)
-
-
 def ag34_split_counts(s, d):
-    return A.bucket_metrics(pair_table(s, d), buckets(s, d)).select("bucket", "n_pairs", "effective")
+    """Of each bucket: pairs that have the models for a correlation, pairs that have one, benchmarks in them, and what falls short of 10 pairs and 6 benchmarks."""
+    m = A.bucket_metrics(pair_table(s, d), buckets(s, d)).select("bucket", "n_pairs", "effective")
+    c = A.within_buckets(A.common_counts(matrix(s, d)), buckets(s, d)).where("common_count >= 4").groupBy("bucket").agg(F.count(F.lit(1)).alias("coverage_pairs"))
+    why = reasons((F.col("n_pairs") < 10, "pairs"), (F.col("effective") < 6, "benchmarks"))
+    return m.join(c, "bucket", "left").select("bucket", F.coalesce("coverage_pairs", F.lit(0)).alias("coverage_pairs"), "n_pairs", "effective", F.array_join(why, ",").alias("failures"))
 
 
 def ag41_error_modes(s, d):
-    return A.flagged_pairs(pair_table(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """How often each error occurs, and whether it is the one that dominates (neither does on a tie)."""
+    g = A.flagged_pairs(pair_table(s, d)).agg(F.count_if(F.col("kind") == "false_sim").alias("false_sim"), F.count_if(F.col("kind") == "false_dis").alias("false_dis"))
+    return g.withColumn("dominant", F.when(F.col("false_sim") > F.col("false_dis"), "false_sim").when(F.col("false_sim") < F.col("false_dis"), "false_dis").when(F.col("false_sim") == 0, "none").otherwise("mixed"))
 
 
 def tk1_error_report(s, d):
@@ -221,7 +220,7 @@ def wn4_top_neighbours(s, d):
     return A.top_neighbours(pair_table(s, d), "s", 3).select("a", "b", "place")
 
 
-_NOT = {"DataFrame", "matrix", "tag_weights", "pair_table", "buckets", "small", "stash", "t", "kind_key", "vector_cosine", "usable_matrix_score", "SparkSession"}
+_NOT = {"DataFrame", "matrix", "tag_weights", "pair_table", "buckets", "small", "stash", "t", "kind_key", "reasons", "vector_cosine", "usable_matrix_score", "SparkSession"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] != "_" and k not in _NOT}
 
 BASE = """
@@ -303,8 +302,10 @@ _SELECTS = {
     "ag21_coverage": "SELECT cells, benchmarks, models, round(cells / (benchmarks * models), 6) AS density, least, middle, most FROM (SELECT count(*) AS cells, count(DISTINCT benchmark) AS benchmarks, count(DISTINCT model) AS models FROM y), (SELECT min(k) AS least, median(k) AS middle, max(k) AS most FROM (SELECT count(*) AS k FROM y GROUP BY benchmark))",
     "ag26_models_per_benchmark": "SELECT benchmark, count(DISTINCT model) AS models FROM scores GROUP BY 1",
     "ag32_trend": "SELECT o_orderpriority, n, round(b, 4) AS slope, round(my - b * mx, 2) AS intercept, x0, x1 FROM (SELECT o_orderpriority, count(*) AS n, covar_pop(x, y) / var_pop(x) AS b, avg(x) AS mx, avg(y) AS my, min(x) AS x0, max(x) AS x1 FROM (SELECT o_orderpriority, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS x, o_totalprice::DOUBLE AS y FROM orders) GROUP BY 1)",
-    "ag34_split_counts": f"SELECT bucket, n_pairs, effective FROM ({_BUCKETS.format('pt')})",
-    "ag41_error_modes": "SELECT kind, count(*) AS n FROM er WHERE kind IS NOT NULL GROUP BY 1",
+    "ag10_held_models": "SELECT *, CASE WHEN benchmarks < 2 THEN 'too_few_benchmarks' WHEN n_pairs = 0 THEN 'no_valid_pairs' END AS skipped FROM (" + _BUCKETS.format("(SELECT p, q, round(s, 6) AS s, round(r, 6) AS r FROM ts JOIN (SELECT p, q, count(*) AS common_count, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS r FROM (SELECT p, q, rank() OVER (PARTITION BY p, q ORDER BY x) + (count(*) OVER (PARTITION BY p, q, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY p, q ORDER BY y) + (count(*) OVER (PARTITION BY p, q, y) - 1) / 2.0 AS ry FROM cs WHERE md5(model)[1] >= '8') GROUP BY 1, 2) USING (p, q) WHERE common_count >= 8 AND r IS NOT NULL)") + ")",
+    "ag34_split_counts": f"SELECT m.bucket, coalesce(coverage_pairs, 0) AS coverage_pairs, n_pairs, effective, concat_ws(',', CASE WHEN n_pairs < 10 THEN 'pairs' END, CASE WHEN effective < 6 THEN 'benchmarks' END) AS failures FROM ({_BUCKETS.format('pt')}) m LEFT JOIN (SELECT a.bucket, count(*) AS coverage_pairs FROM (SELECT p, q FROM cs GROUP BY 1, 2 HAVING count(*) >= 4) c JOIN bk a ON a.benchmark = p JOIN bk b ON b.benchmark = q AND a.bucket = b.bucket GROUP BY 1) c ON c.bucket = m.bucket",
+    "ag41_error_modes": "SELECT s AS false_sim, d AS false_dis, CASE WHEN s > d THEN 'false_sim' WHEN s < d THEN 'false_dis' WHEN s = 0 THEN 'none' ELSE 'mixed' END AS dominant FROM (SELECT count(*) FILTER (kind = 'false_sim') AS s, count(*) FILTER (kind = 'false_dis') AS d FROM er)",
+    "ag2_dense_cosine": "SELECT la, lb, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 5) AS s FROM (WITH c AS (SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) SELECT a.label AS la, b.label AS lb, a.x AS a, b.x AS b FROM c a JOIN c b ON b.label = a.label + 1 AND a.i = b.i) GROUP BY 1, 2",
     "tk1_error_report": "SELECT p, q, kind, round(gap, 6) AS gap FROM er WHERE kind IS NOT NULL ORDER BY er.gap DESC, p, q LIMIT 20",
     "tk2_residual_report": "SELECT p, q, round(abs(s - r), 6) AS residual, CASE WHEN s > r THEN 'over' WHEN s < r THEN 'under' ELSE 'even' END AS direction FROM pt ORDER BY abs(s - r) DESC, p, q LIMIT 20",
     "tk3_protected_pairs": "SELECT p, q, r, round(abs(s - r), 6) AS residual FROM pt WHERE r >= 0.5 ORDER BY r DESC, abs(s - r), p, q LIMIT 20",

@@ -15,14 +15,6 @@ from rankloom.runtime import table as t
 _RHO = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
 
 
-def mg1_merged(s, d):
-    return B.merged(t(s, d, "score_records"), t(s, d, "source_kinds"))
-
-
-def mg2_deduplicated(s, d):
-    return B.deduplicated(t(s, d, "score_records"))
-
-
 def mg6_trend_series(s, d):
     """Dated models of benchmarks that have at least five of them; a month stands for its 15th."""
     m = t(s, d, "models").select(F.col("id").alias("model"), publication_day(F.col("release_date")).alias("day")).where("day IS NOT NULL")
@@ -55,11 +47,18 @@ def jn10_exact_then_fuzzy(s, d):
 
 
 def jn11_corrections(s, d):
-    """Overlay of corrected cells (a tenth by hash gets +0.01) with the old value checked."""
+    """Overlay of corrected cells (a tenth by hash gets +0.01), all or nothing."""
     y = matrix(s, d)
     fix = y.where(F.substring(F.md5(F.concat("benchmark", "model")), 1, 1) == "0").select("benchmark", "model", F.col("score").alias("old"), (F.col("score") + 0.01).alias("new"))
-    j = y.join(fix, ["benchmark", "model"], "left")
-    return j.select("benchmark", "model", F.round(F.when(F.abs(F.col("old") - F.col("score")) <= 1e-9, F.col("new")).otherwise(F.col("score")), 6).alias("score"), F.col("new").isNotNull().alias("corrected"))
+    return A.rounded(B.all_corrected(y, fix), score=6)
+
+
+def jn11_mismatches(s, d):
+    """What keeps corrections from being applied: old values that differ, and cells that aren't there."""
+    y = matrix(s, d)
+    h = F.substring(F.md5(F.concat("benchmark", "model")), 1, 1)
+    fix = y.where(h < "2").select("benchmark", F.when(h == "0", F.col("model")).otherwise(F.concat("model", F.lit("?"))).alias("model"), (F.col("score") + F.when(F.col("model") < "m", 0.01).otherwise(0.0)).alias("old"), F.lit(0.0).alias("new"))
+    return B.corrected(y, fix)[1]
 
 
 def jn14_variant_gap(s, d):
@@ -105,19 +104,17 @@ def ag23_heat(s, d):
 
 
 def ag24_contamination(s, d):
-    return A.rounded(B.contamination(matrix(s, d)), middle=6, top=6)
+    """Scores in percent (ratings as they are); the pro edition of a benchmark is its hard variant."""
+    b = t(s, d, "benchmarks").select(F.col("id").alias("benchmark"), "scale")
+    y = matrix(s, d).join(small(b), "benchmark").select("benchmark", "model", F.when(F.col("scale") == "rating", F.col("score")).otherwise(F.round(F.col("score") * 100, 5)).alias("score"))
+    hard = b.select("benchmark", F.concat("benchmark", F.lit("-pro")).alias("hard"))
+    return A.rounded(B.contamination(y, hard), middle=6, top=6, hard_gap=6)
 
 
 def ag25_tag_counts(s, d):
     return tag_weights(s, d).groupBy("tag").agg(F.count_distinct("benchmark").alias("benchmarks"))
 
 
-def ag38_subset_ranking(s, d):
-    y = matrix(s, d)
-    top = [r.benchmark for r in y.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "benchmark").limit(3).collect()]
-    return A.rounded(B.subset_ranking(y, top or [""]), subset_mean=6, full_mean=6)
-
-
 def ag39_axis_means(s, d):
     return A.rounded(tag_weights(s, d).groupBy("tag").agg(F.avg("weight").alias("mean")), mean=6)
 
@@ -130,15 +127,6 @@ def ag42_progress(s, d):
     return plan.join(inside, "run_id", "left").select("run_id", (F.col("b") * F.col("m")).alias("planned"), F.coalesce("done", F.lit(0)).alias("done"))
 
 
-def ag44_iteration_decisions(s, d):
-    """Runs in order as iterations: whether a run's mean beats the best so far (the loop's acceptance, replayed)."""
-    from pyspark.sql import Window as W
-
-    g = t(s, d, "scores").where(usable_score(F.col("score")) & (F.col("score") <= 1)).groupBy("run_id").agg(F.round(F.avg("score"), 8).alias("mean"))
-    best = F.max("mean").over(W.partitionBy(F.lit(1)).orderBy("run_id").rowsBetween(W.unboundedPreceding, -1))
-    return g.select("run_id", F.round("mean", 6).alias("mean"), F.when(best.isNull() | (F.col("mean") > best + 1e-12), "accepted").otherwise("rejected").alias("decision"))
-
-
 def wn5_last_wins(s, d):
     return t(s, d, "scores").groupBy("run_id", "benchmark", "model").agg(F.max("loaded_at").alias("at"), F.count(F.lit(1)).alias("n")).select("run_id", "benchmark", "model", "n", F.unix_micros("at").alias("at"))
 
@@ -194,10 +182,10 @@ def tk16_surrogate(s, d):
 
 
 def tk17_related(s, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("tag").orderBy(F.desc("weight"), "benchmark")
-    return tag_weights(s, d).select("tag", "benchmark", F.row_number().over(w).alias("place")).where("place <= 6")
+    """Tags by their strength: a weight as a share of the greatest that the tag has."""
+    w = tag_weights(s, d)
+    top = w.groupBy("tag").agg(F.max("weight").alias("top"))
+    return B.related(w.join(small(top), "tag").select("benchmark", "tag", F.round(F.col("weight") / F.col("top"), 6).alias("weight")))
 
 
 def st1_union(s, d):
@@ -235,27 +223,10 @@ def sp3_stratified_folds(s, d):
     return B.folds(t(s, d, "benchmarks"), "id", "category", 5, 7)
 
 
-def sp5_model_split(s, d):
-    return B.ratio_split(t(s, d, "models"), "id", {"seen": 0.75, "held": 0.25}, 11)
-
-
 def sp7_sampled_items(s, d):
     return B.sampled(t(s, d, "score_records").where("benchmark_id IS NOT NULL").select("benchmark_id", "record_id"), "benchmark_id", "record_id", 5, 3)
 
 
-def rs1_bootstrap(s, d):
-    return A.rounded(B.bootstrap(pair_table(s, d), 50, 1), l_align=8, rho=8)
-
-
-def rs3_interval(s, d):
-    b = B.bootstrap(pair_table(s, d), 200, 1)
-    return b.agg(F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("sd")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "mean", "sd")
-
-
-def rs5_permutation(s, d):
-    return B.permutation_p(B.permutation_null(pair_table(s, d), 99, 5))
-
-
 def cl1_tag_cover(s, d):
     return s.createDataFrame([(i, b) for i, b in enumerate(B.greedy_cover(tag_weights(s, d), 5), 1)], "place int, benchmark string")
 
@@ -322,10 +293,6 @@ def fl1_filtered(s, d):
     return b.join(n, "benchmark", "left").select("benchmark", F.coalesce("n", F.lit(0)).alias("n"), F.array_join(why, ",").alias("reasons"))
 
 
-def fl6_core_columns(s, d):
-    return t(s, d, "scores").groupBy("benchmark").agg(F.count_distinct("model").alias("models")).where("models >= 6").select("benchmark")
-
-
 def fl18_provenance(s, d):
     """What is wrong with the source of a record."""
     src = F.col("source")
@@ -352,12 +319,12 @@ _OK = "score >= 0 AND NOT isnan(score)"
 _TOP3 = "(SELECT benchmark FROM y GROUP BY 1 ORDER BY count(*) DESC, benchmark LIMIT 3)"
 
 _SELECTS = {
-    "mg2_deduplicated": f"SELECT run_id, model_id, benchmark_id, config, arg_max(score, [dec, score]) AS score, count(DISTINCT score) AS distinct_scores FROM (SELECT run_id, model_id, benchmark_id, lower(trim(coalesce(config, ''))) AS config, score, (CASE WHEN abs(score - round(score)) < 1e-6 THEN 0 WHEN abs(score * 10 - round(score * 10)) < 1e-6 THEN 1 WHEN abs(score * 100 - round(score * 100)) < 1e-5 THEN 2 WHEN abs(score * 1000 - round(score * 1000)) < 1e-4 THEN 3 ELSE 4 END)::DOUBLE AS dec FROM score_records WHERE {_OK}) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT score) = 1 OR max(score) - min(score) <= 0.5",
     "mg6_trend_series": "SELECT benchmark, model, day::VARCHAR AS day, score FROM y JOIN (SELECT id, CASE WHEN length(release_date) = 7 THEN try_cast(release_date || '-15' AS DATE) ELSE try_cast(release_date AS DATE) END AS day FROM models) m ON m.id = model WHERE day IS NOT NULL QUALIFY count(*) OVER (PARTITION BY benchmark) >= 5",
     "mg7_model_scores": "SELECT model, category, count(*) AS n, round(avg(score), 8) AS mean FROM y JOIN benchmarks b ON b.id = benchmark GROUP BY 1, 2",
     "jn9_merged_sources": f"SELECT bk, mk, min(place) AS place, round(arg_min(score, place), 5) AS score FROM (SELECT regexp_replace(lower(benchmark), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS mk, 1 AS place, score FROM y UNION ALL SELECT bk, mk, 2, max(score) FROM (SELECT regexp_replace(lower(benchmark_id), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model_id), '[^a-z0-9]+', '', 'g') AS mk, score / 100 AS score FROM score_records WHERE {_OK} AND score BETWEEN 1 AND 100) WHERE bk <> '' AND mk <> '' GROUP BY 1, 2) GROUP BY 1, 2",
     "jn10_exact_then_fuzzy": "SELECT benchmark_id, n, coalesce(b.id, k.id) AS matched FROM (SELECT benchmark_id, count(*) AS n FROM score_records WHERE benchmark_id IS NOT NULL GROUP BY 1) r LEFT JOIN benchmarks b ON b.id = benchmark_id LEFT JOIN (SELECT regexp_replace(lower(id), '[^a-z0-9]+', '', 'g') AS key, min(id) AS id FROM benchmarks GROUP BY 1) k ON k.key = regexp_replace(lower(benchmark_id), '[^a-z0-9]+', '', 'g')",
     "jn11_corrections": "SELECT benchmark, model, round(CASE WHEN md5(benchmark || model)[1] = '0' THEN score + 0.01 ELSE score END, 6) AS score, md5(benchmark || model)[1] = '0' AS corrected FROM y",
+    "jn11_mismatches": "SELECT benchmark, CASE WHEN h = '0' THEN model ELSE model || '?' END AS model, CASE WHEN h = '1' THEN 'cell not found' ELSE 'another value' END AS reason FROM (SELECT *, md5(benchmark || model)[1] AS h FROM y) WHERE h = '1' OR (h = '0' AND model < 'm')",
     "jn14_variant_gap": "SELECT r.benchmark, r.stem, count(*) AS n, round(avg(l.score - r.score), 6) AS gap FROM (SELECT *, regexp_replace(benchmark, '-(v2|pro|500|redux|multi)$', '') AS stem FROM y WHERE benchmark NOT LIKE '%-lite') r JOIN (SELECT *, regexp_replace(benchmark, '-lite$', '') AS stem FROM y WHERE benchmark LIKE '%-lite') l ON l.stem = r.stem AND l.model = r.model GROUP BY 1, 2 HAVING count(*) >= 3",
     "jn17_vendor_default": "SELECT coalesce(vendor, 'Unknown') AS vendor, count(*) AS n FROM score_records LEFT JOIN models m ON m.id = model_id GROUP BY 1",
     "ag14_value_counts": "SELECT lower(trim(config)) AS config, count(*) AS n FROM score_records GROUP BY 1",
@@ -365,12 +332,10 @@ _SELECTS = {
     "ag20_suite_score": "SELECT model, round(avg(score), 6) AS expected FROM y WHERE benchmark IN (FROM top4) GROUP BY 1 HAVING count(*) = 4",
     "ag22_coverage_by_category": "SELECT category, count(*) AS benchmarks, count(*) FILTER (cells IS NULL) AS orphans, coalesce(sum(cells), 0)::BIGINT AS cells FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS cells FROM y GROUP BY 1) c ON c.benchmark = b.id GROUP BY 1",
     "ag23_heat": "SELECT benchmark, model, round(score, 7) AS score, round(lo, 7) AS lo, round(hi, 7) AS hi, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END, 7) AS shade FROM (SELECT *, min(score) OVER (PARTITION BY benchmark) AS lo, max(score) OVER (PARTITION BY benchmark) AS hi FROM y)",
-    "ag24_contamination": "SELECT benchmark, n, round(middle, 6) AS middle, round(top, 6) AS top, ceiling, CASE WHEN middle >= 0.8 AND ceiling / n >= 0.3 THEN 'high' WHEN middle >= 0.6 OR ceiling / n >= 0.2 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT benchmark, count(*) AS n, median(score) AS middle, any_value(top) AS top, count(*) FILTER (top >= 0.5 AND score >= 0.95 * top) AS ceiling FROM (SELECT *, max(score) OVER (PARTITION BY benchmark) AS top FROM y) GROUP BY 1)",
+    "ag24_contamination": "SELECT p.benchmark, n, round(middle, 6) AS middle, round(top, 6) AS top, ceiling, n >= 5 AND ceiling >= 3 AND middle >= 0.85 * top AS saturated, h.hard, round(gap, 6) + 0.0 AS hard_gap, pairs AS hard_pairs, CASE WHEN (n >= 5 AND ceiling >= 3 AND middle >= 0.85 * top AND ceiling / n >= 0.3) OR coalesce(gap > 15, false) THEN 'high' WHEN ceiling >= 2 OR coalesce(gap > 8, false) THEN 'medium' ELSE 'low' END AS risk FROM (SELECT benchmark, count(*) AS n, median(score) AS middle, any_value(top) AS top, count(*) FILTER (top >= 50 AND score >= 0.95 * top) AS ceiling FROM (SELECT *, max(score) OVER (PARTITION BY benchmark) AS top FROM yp) GROUP BY 1 HAVING count(*) >= 3) p LEFT JOIN (SELECT a.benchmark, b.benchmark AS hard, avg(a.score - b.score) AS gap, count(*) AS pairs FROM yp a JOIN yp b ON b.benchmark = a.benchmark || '-pro' AND a.model = b.model GROUP BY 1, 2 HAVING count(*) >= 3) h ON h.benchmark = p.benchmark",
     "ag25_tag_counts": "SELECT tag, count(DISTINCT benchmark) AS benchmarks FROM tw GROUP BY 1",
-    "ag38_subset_ranking": f"SELECT model, round(a, 6) AS subset_mean, round(b, 6) AS full_mean, row_number() OVER (ORDER BY a DESC, model) AS subset_place, row_number() OVER (ORDER BY b DESC, model) AS full_place, full_place - subset_place AS shift FROM (SELECT model, avg(score) FILTER (benchmark IN {_TOP3}) AS a, avg(score) AS b FROM y GROUP BY 1 HAVING count(*) FILTER (benchmark IN {_TOP3}) = 3)",
     "ag39_axis_means": "SELECT tag, round(avg(weight), 6) AS mean FROM tw GROUP BY 1",
     "ag42_progress": f"SELECT run_id, b * m AS planned, coalesce(done, 0) AS done FROM (SELECT run_id, count(DISTINCT benchmark) AS b FROM bench_split GROUP BY 1) JOIN (SELECT run_id, count(DISTINCT model) AS m FROM model_split GROUP BY 1) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS done FROM (SELECT DISTINCT run_id, benchmark, model FROM scores WHERE {_OK}) SEMI JOIN bench_split USING (run_id, benchmark) SEMI JOIN model_split USING (run_id, model) GROUP BY 1) USING (run_id)",
-    "ag44_iteration_decisions": f"SELECT run_id, round(m, 6) AS mean, CASE WHEN best IS NULL OR m > best + 1e-12 THEN 'accepted' ELSE 'rejected' END AS decision FROM (SELECT *, max(m) OVER (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT run_id, round(avg(score), 8) AS m FROM scores WHERE {_OK} AND score <= 1 GROUP BY 1))",
     "wn5_last_wins": "SELECT run_id, benchmark, model, count(*) AS n, epoch_us(max(loaded_at)) AS at FROM scores GROUP BY 1, 2, 3",
     "wn9_item_index": "SELECT run_id, entry_id, row_number() OVER (PARTITION BY run_id ORDER BY entry_id) - 1 AS i FROM bench_split",
     "tk7_relevance": "SELECT benchmark, round(coalesce(dot / nullif(n * sqrt(1.25), 0), 0), 6) AS relevance FROM (SELECT benchmark, sum(weight * CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 ELSE 0 END) AS dot, sqrt(sum(weight * weight)) AS n FROM tw GROUP BY 1)",
@@ -378,7 +343,7 @@ _SELECTS = {
     "tk10_model_fit": "SELECT model, round(fit, 5) AS fit FROM (SELECT model, sum(w * weight) / 1.5 AS fit FROM (SELECT model, tag, sum(score_pct * weight) / sum(weight) AS weight, CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 END AS w FROM ns JOIN tw USING (benchmark) WHERE weight <> 0 GROUP BY 1, 2) WHERE w IS NOT NULL GROUP BY 1) ORDER BY fit DESC, model LIMIT 10",
     "tk11_missing_last": "SELECT id, row_number() OVER (ORDER BY top DESC NULLS LAST, id) AS place FROM benchmarks LEFT JOIN (SELECT benchmark, max(score) AS top FROM y GROUP BY 1) t ON t.benchmark = id",
     "tk16_surrogate": "SELECT benchmark, model, round(predicted, 5) AS predicted FROM y JOIN (SELECT a AS benchmark, model, sum(sim * score) / sum(sim) AS predicted FROM (SELECT a, b, sim FROM (SELECT p AS a, q AS b, round(s, 8) AS sim FROM ts UNION ALL SELECT q, p, round(s, 8) FROM ts) QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3) n JOIN y ON y.benchmark = n.b GROUP BY 1, 2) z USING (benchmark, model)",
-    "tk17_related": "SELECT tag, benchmark, row_number() OVER (PARTITION BY tag ORDER BY weight DESC, benchmark) AS place FROM tw QUALIFY place <= 6",
+    "tk17_related": "SELECT tag, benchmark, row_number() OVER (PARTITION BY tag ORDER BY weight DESC, benchmark) AS place FROM (SELECT tag, benchmark, round(weight / max(weight) OVER (PARTITION BY tag), 6) AS weight FROM tw) WHERE weight >= 0.75 QUALIFY place <= 6",
     "st1_union": "SELECT run_id, kind, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT run_id, benchmark AS name, 'benchmark' AS kind FROM bench_split UNION ALL SELECT run_id, model, 'model' FROM model_split) GROUP BY 1, 2",
     "st2_intersection": "SELECT model FROM scores INTERSECT SELECT model FROM model_split",
     "st3_difference": "SELECT id FROM benchmarks EXCEPT SELECT benchmark FROM bench_split",
@@ -387,7 +352,6 @@ _SELECTS = {
     "st7_alias_union": "SELECT id, len(list_distinct(list_append(coalesce(aliases, []), name))) AS names FROM models",
     "sp1_ratio_split": "SELECT id, CASE WHEN i <= round(n * 0.6) THEN 'train' WHEN i <= round(n * 0.8) THEN 'dev' ELSE 'test' END AS bucket FROM (SELECT id, row_number() OVER (ORDER BY md5('7|' || id), id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM benchmarks))",
     "sp3_stratified_folds": "SELECT id, category, ((row_number() OVER (PARTITION BY category ORDER BY md5('7|' || id), id) - 1 + ('0x' || md5('7|' || coalesce(category, ''))[:4])::INT) % 5)::INT AS fold FROM benchmarks",
-    "sp5_model_split": "SELECT id, CASE WHEN i <= round(n * 0.75) THEN 'seen' ELSE 'held' END AS bucket FROM (SELECT id, row_number() OVER (ORDER BY md5('11|' || id), id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM models))",
     "sp7_sampled_items": "SELECT benchmark_id, record_id FROM score_records WHERE benchmark_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY benchmark_id ORDER BY md5('3|' || record_id), record_id) <= 5",
     "pj1_name_key": "SELECT id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM models",
     "pj10_percent": f"SELECT record_id, CASE WHEN score > 0 AND score <= 1 THEN floor(round(score * 100, 6) * 10 + 0.5) / 10 ELSE floor(score * 10 + 0.5) / 10 END AS percent FROM score_records WHERE {_OK}",
@@ -402,7 +366,7 @@ _SELECTS = {
     "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', floor(score * 10 + 0.5 + 1e-9) / 10) ELSE printf('%.2f', floor(score * 100 + 0.5 + 1e-9) / 100) END AS shown FROM score_records WHERE {_OK} AND score < 1e6",
     "fl1_filtered": "SELECT b.id AS benchmark, coalesce(n, 0) AS n, concat_ws(',', CASE WHEN coalesce(n, 0) < 10 THEN 'few_models' END, CASE WHEN contains(note, 'deprecated') THEN 'deprecated' END) AS reasons FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS n FROM y GROUP BY 1) c ON c.benchmark = b.id",
     "fl9_phrases": "SELECT doc_id, len(regexp_extract_all(w, ' on  the ')) AS n, len(regexp_extract_all(w, ' (?:no|not|nobody|nothing) (?: [a-z0-9]+ ){0,3} on  the ')) AS negated FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ' AS w FROM documents) WHERE contains(w, ' on  the ')",
-    "fl6_core_columns": "SELECT benchmark FROM scores GROUP BY 1 HAVING count(DISTINCT model) >= 6",
     "fl18_provenance": f"SELECT concat_ws(',', CASE WHEN source IS NULL THEN 'no_source' END, CASE WHEN source IS NOT NULL AND NOT coalesce(regexp_matches(source.url, '^https?://[^/\\s]+\\.[^/\\s]+'), false) THEN 'bad_url' END, CASE WHEN source IS NOT NULL AND day IS NULL THEN 'bad_date' END) AS reasons, count(*) AS n FROM (SELECT source, {_DAY} AS day FROM (SELECT source, trim(source.published) AS x FROM score_records)) GROUP BY 1",
 }
-SQL = {k: f"WITH {BASE} {v}" for k, v in _SELECTS.items()}
+_PERCENT = "yp AS (SELECT benchmark, model, CASE WHEN scale = 'rating' THEN score ELSE round(score * 100, 5) END AS score FROM y JOIN benchmarks b ON b.id = benchmark)"
+SQL = {k: f"WITH {BASE}, {_PERCENT} {v}" for k, v in _SELECTS.items()}

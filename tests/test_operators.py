@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import semantics
 from rankloom.operators import align as A
 from rankloom.operators import board as B
+from rankloom.operators import selection as S
+from rankloom.operators import study as U
 from rankloom.operators import texts as X
 from rankloom.sources import readers as R
 from rankloom.streaming import log
@@ -64,8 +66,16 @@ def test_merge_mixed_and_dated(spark):
         record(4, 4.0, model="mix", source=source("tech_report")),
         record(5, None, model="none"),
     ]
-    got = {r.model_id: (r.score, r.variants) for r in B.merged(spark.createDataFrame(rows, RECORDS), kinds).collect()}
-    assert got == {"m": (1.0, 1), "mix": (4.0, 1)}
+    rows += [record(6, 3.0, model="host", source=source("tech_report", "https://www.again.example/x")), record(7, 2.0, model="host", source=source("manual", "https://own.example/x")), record(8, 1.0, model="host", source=source("manual", "https://own.example/x"), extra='{"user_correction": true}')]
+    rows += [record(9, 5.0, model="same", variants=[(5.0, " ", None), (5.0, None, None), None, (5.25, "x", None), (5.2, "X ", None), (9.0, "y", None), (8.0, "y", None)])]
+    r = spark.createDataFrame(rows, RECORDS)
+    got = {r.model_id: (r.score, r.variants) for r in B.merged(r, kinds, ("again.example",)).collect()}
+    assert got == {"m": (1.0, 1), "mix": (4.0, 1), "host": (1.0, 2), "same": (9.0, 4)}
+    order = {m: [x.record_id for x in sorted((x for x in B.variants(r, kinds, ("again.example",)).collect() if x.model_id == m), key=lambda x: x.place)] for m in ("host", "m")}
+    assert order == {"host": [8, 7, 6], "m": [1, 2]}
+    kept = {(x.config, x.score) for x in B.deduplicated(r, kinds).collect() if x.model_id == "same"}
+    assert kept == {("", 5.0), ("x", 5.25)}
+    assert B.merged(r.limit(0), kinds).count() == 0
 
 
 def test_relevance(spark):
@@ -76,18 +86,97 @@ def test_relevance(spark):
         B.relevance(tags, {})
     with pytest.raises(ValueError):
         B.relevance(tags, {"t9": 1.0})
-    assert B.greedy_cover(tags, 2) == ["A", "B"] and len(B.k_medoids(tags, 2)) == 2
+    assert B.greedy_cover(tags, 2) == ["A", "B"] and all(len(B.k_medoids(tags, k, seed)) == k for k in (1, 2, 3) for seed in range(5))
 
 
 def test_resampling(spark):
     rng = np.random.default_rng(1)
     s = rng.random(60)
-    pairs = spark.createDataFrame([(f"p{i:02}", "q", float(v), float(v + rng.normal() * 0.1)) for i, v in enumerate(s)], "p string, q string, s double, r double")
-    boot = B.bootstrap(pairs, 40, 3).toPandas()
-    assert 50 < boot.n.mean() < 70 and boot.rho.between(0.8, 1).all()
-    p = B.permutation_p(B.permutation_null(pairs, 99, 3)).first()
-    assert p.draws == 99 and p.p_value == pytest.approx(0.01) and abs(p.null_sd - 60**-0.5) < 0.05
-    assert B.sign_flip([1.0, 1.0, 1.0]) == pytest.approx(3 / 9)
+    pairs = spark.createDataFrame([(f"p{i // 12}", f"q{i:02}", float(v), float(v + rng.normal() * 0.1)) for i, v in enumerate(s)], "p string, q string, s double, r double")
+    boot = U.pair_bootstrap(pairs, 40, 3).toPandas()
+    assert (boot.n == 60).all() and boot.rho_p.between(0.8, 1).all() and len(set(boot.l_align)) > 30
+    block = U.block_bootstrap(pairs, 40, 3).toPandas()
+    assert block.n.nunique() > 10 and block.rho_p.dropna().between(0.5, 1).all()
+    p = {r.metric: r for r in U.permutation_test(pairs, 999, 3).collect()}
+    assert p["rho_p"].draws == 999 and p["rho_p"].p_two_sided == pytest.approx(0.001) and p["l_align"].p_low == pytest.approx(0.001) and abs(p["rho_s"].null_sd - 60**-0.5) < 0.02
+    deltas = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", None)], "name string, delta double")
+    assert tuple(U.sign_flips(deltas).first()) == (3, 1.0, pytest.approx(3 / 9))
+    assert all(r.n == 0 and r.rho_p is None for r in U.pair_bootstrap(pairs.limit(0), 3, 1).collect())
+
+
+def test_probes_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    y = {(b, m): float(rng.integers(0, 4)) for b in "ABCD" for m in "tuvwxyz" if rng.random() < 0.9}
+    tags = spark.createDataFrame([(b, t, float(w)) for b in "ABCD" for t, w in zip("pq", rng.random(2))], "benchmark string, tag string, weight double")
+    frame = lambda cells: spark.createDataFrame([(b, m, v) for (b, m), v in cells.items()], "benchmark string, model string, score double")
+    sim = A.tag_similarity(tags)
+    got = {r.dropped: (r.n_pairs, round(r.l_align, 4)) for r in U.probes(A.common_scores(frame(y)), sim, 4).collect()}
+    for m in "tux":
+        rest = A.aligned(sim, A.rank_similarity(frame({k: v for k, v in y.items() if k[1] != m}), 4))
+        want = A.alignment_loss(rest).first()
+        assert got[m] == (want.n_pairs, pytest.approx(want.l_align, abs=1e-4))
+
+
+def test_splits(spark):
+    names = spark.createDataFrame([(f"b{i:02}",) for i in range(23)], "benchmark string")
+    folds = U.plain_folds(names, "benchmark", 5, 1).toPandas().fold.value_counts()
+    assert sorted(folds) == [4, 4, 5, 5, 5]
+    fam = spark.createDataFrame([(f"{f}-{i}",) for f, n in (("a", 7), ("b", 2), ("c", 1), ("d", 1), ("e", 5)) for i in range(n)], "id string")
+    rows = U.family_split(fam, "id", F.substring_index("id", "-", 1), 0.75, 3).collect()
+    assert sum(r.scope == "seen" for r in rows) == 12 and {r.scope for r in rows if r.id.startswith("b")} == {"seen", "held"}
+    pairs = spark.createDataFrame([(f"b{i:02}", f"b{j:02}", -0.9 if i % 2 == j % 2 else 0.5) for i in range(8) for j in range(i + 1, 8)], "p string, q string, r double")
+    got = U.balanced_folds(pairs, names.limit(8), 4, 1, 200).toPandas()
+    assert (got.fold.value_counts() == 2).all() and got.total.iloc[0] == 0
+    with pytest.raises(ValueError):
+        U.balanced_folds(pairs, names.limit(1), 2, 1)
+
+
+def test_gates_and_replay(spark):
+    rows = [(0, 0, 0.5, 0.40, 0.3, 0.3, 0.3, 0.1, 5), (0, 1, 0.5, 0.30, 0.3, 0.3, 0.3, -0.1, 5), (0, 2, 0.5, 0.30, 0.3, 0.3, 0.2, 0.2, 5), (0, 3, 0.5, 0.30, 0.3, 0.3, 0.4, 0.2, 5), (0, 4, 0.5, None, 0.3, 0.3, 0.4, 0.2, 5), (0, 5, 0.5, float("nan"), 0.3, 0.3, 0.9, 0.2, 5)]
+    c = spark.createDataFrame(rows, "fold int, iter int, train_l double, dev_l double, train_rho double, dev_rho double, dev_rho_p double, delta_tag double, tag_count int")
+    got = [(r.improved, r.reason, r.stall, r.best) for r in S.replay(c).orderBy("iter").collect()]
+    assert got == [(True, "new_best", 0, 0), (False, "delta_tag_gate_failed", 1, 0), (True, "new_best", 0, 2), (True, "new_best", 0, 3), (False, "not_better_than_current_best", 1, 3), (False, "not_better_than_current_best", 2, 3)]
+    one = spark.range(1)
+    gate = lambda x, t: one.select(S.passes_delta(F.lit(x).cast("double"), t)).first()[0]
+    assert [gate(0.0, 0.0), gate(0.1, 0.0), gate(-0.1, -0.1), gate(float("nan"), 0.0), gate(None, 0.0)] == [False, True, True, False, False]
+    assert S.config_faults({}) and len(S.config_faults({"min_common_models": 6, **{f"min_{x}_{y}": 10 for x in ("train", "dev", "test") for y in ("valid_pairs", "effective_benchmarks")}, "require_held_model_test": True, "score_model_scope": "seen", "fallback_to_seed": False, "allow_uniform_fallback": False, "json_contract_strict": True})) == 0
+    ranged = S.running_best(spark.createDataFrame([(f"r{i:03}", float(i * 7 % 50)) for i in range(100)], "run_id string, mean double"), "run_id", "mean", 13)
+    best = None
+    for r in ranged.orderBy("run_id").collect():
+        assert r.before == best
+        best = max(best or 0.0, r["mean"]) if best is not None else r["mean"]
+
+
+def test_matrix_work(spark):
+    rng = np.random.default_rng(2)
+    a = rng.random((6, 3))
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    long = lambda m, *seed: [(*seed, f"b{i}", f"x{j}", float(m[i, j])) for i in range(6) for j in range(3)]
+    ref = spark.createDataFrame(long(a), "benchmark string, axis string, weight double")
+    runs = spark.createDataFrame(long(a @ q, 1) + long(rng.random((6, 3)), 2), "seed int, benchmark string, axis string, weight double")
+    got = {r.seed: r for r in U.procrustes(runs, "seed", ref).collect()}
+    assert got["1"].residual < 1e-9 and got["1"].correlation == pytest.approx(1) and got["2"].residual > 0.1
+    tags = ref.withColumnRenamed("axis", "tag")
+    pairs = spark.createDataFrame([(f"b{i}", f"b{j}", 0.2 if (i + j) % 2 else 0.9) for i in range(6) for j in range(i + 1, 6)], "p string, q string, r double")
+    fit = U.optimized_weights(tags, pairs, starts=2).collect()
+    assert all(r.loss < 0.6 * r.initial_loss for r in fit if r.start == 1) and all(0 <= w.weight <= 1 for r in fit for w in r.weights)
+    grid = {r.effect: r.power for r in U.power_grid(spark, [10], [20], [0.0, 0.9], 30).collect()}
+    assert grid[0.9] > 0.9 and grid[0.0] < 0.3
+
+
+def test_contamination(spark):
+    y = scores(spark, {"A": {f"m{i}": v for i, v in enumerate((96, 97, 98, 99, 95))}, "A-pro": {f"m{i}": 60 for i in range(3)}, "B": {"m0": 1, "m1": 2}, "C": {"m0": 10, "m1": 20, "m2": 30}})
+    hard = spark.createDataFrame([("A", "A-pro"), ("C", "C")], "benchmark string, hard string")
+    got = {r.benchmark: r for r in B.contamination(y, hard).collect()}
+    assert set(got) == {"A", "A-pro", "C"} and got["A"].saturated and got["A"].risk == "high" and got["A"].hard_pairs == 3 and got["C"].risk == "low" and got["C"].ceiling == 0
+
+
+def test_corrections_all_or_nothing(spark):
+    y = scores(spark, {"A": {"x": 0.5, "y": 0.6}})
+    fix = lambda *rows: spark.createDataFrame(rows, "benchmark string, model string, old double, new double")
+    assert {(r.model, r.score) for r in B.all_corrected(y, fix(("A", "x", 0.5, 0.7))).collect()} == {("x", 0.7), ("y", 0.6)}
+    with pytest.raises(ValueError):
+        B.all_corrected(y, fix(("A", "x", 0.5, 0.7), ("A", "z", 0.5, 0.7)))
 
 
 def test_graph_and_texts(spark):
@@ -95,11 +184,26 @@ def test_graph_and_texts(spark):
     got = {}
     for r in X.min_label(pairs).collect():
         got.setdefault(r.component, set()).add(r.name)
+        assert r.size == {"a": 3, "x": 2, "n00": 21}[r.component]
     assert got["a"] == {"a", "b", "c"} and got["x"] == {"x", "y"} and len(got["n00"]) == 21
     one = spark.range(1)
-    base, tag = X.split_name(F.lit("Some-Model-2 high (16K)"))
-    r = one.select(base.alias("b"), tag.alias("t"), X.config_tokens(F.lit("CoT, 0-shot; cot,,")).alias("c"), X.token_f1(F.lit("the cat cat"), F.lit("cat the dog")).alias("f"), X.choice_letter(F.lit("B or C? The answer is (C).")).alias("l"), X.last_number(F.lit("1,200 and then 3.5 apples")).alias("n")).first()
-    assert (r.b, r.t, r.c, round(r.f, 4), r.l, r.n) == ("Some-Model-2", "high, 16K", "CoT, 0-shot", 0.6667, "C", 3.5)
+    names = {"openai/Some-Model-2_high-32k (16K thinking)": ("Some-Model-2", "high, 32K, 16K thinking"), "m-2025-08-07-preview": ("m-2025-08-07", None), "m-2025-08-07": ("m", None), "grok-4-20": ("grok-4-20", None), "a-exp_max": ("a", "max"), " x ": ("x", None), "": ("", None)}
+    rows = spark.createDataFrame([(x,) for x in names], "x string")
+    base, tag = X.split_name(F.col("x"))
+    assert {r.x: (r.b, r.t) for r in rows.select("x", base.alias("b"), tag.alias("t")).collect()} == names
+    tokens = {"CoT, 0-shot, cot": "CoT, 0-shot", "No Tool, with tools,no tools": "no tools, with tools", "Pass@1": "pass@1", "": "default", None: "default"}
+    assert {r.x: r.t for r in spark.createDataFrame([(x,) for x in tokens], "x string").select("x", X.config_tokens(F.col("x")).alias("t")).collect()} == tokens
+    g = lambda c: one.select(c.alias("v")).first().v
+    L = F.lit
+    assert g(X.token_f1(L("the cat cat"), L("cat the dog"))) == pytest.approx(0.5) and g(X.token_f1(L("the"), L(None).cast("string"))) == 1.0
+    assert g(X.grade_letter(L("B or C?\nAnswer: (c)"), L("C"))) == 1.0 and g(X.grade_letter(L("A\nD"), L("A"))) == 0.0
+    assert g(X.grade_short(L("Answer: No, it does not."), L("No"))) == 1.0 and g(X.grade_short(L("answer - ] ]"), L("]]"))) == 1.0 and g(X.grade_short(L("Answer: b"), L("(B)"))) == 1.0 and g(X.grade_short(L("Nothing"), L("No"))) == 0.0
+    assert g(X.grade_spans(L("Answer: Two empires"), F.array(L("2"), L("x")))) == 1.0 and g(X.grade_spans(L("Answer: red fox"), F.array(L("fox"), L("the red fox")))) == 1.0
+    assert g(X.grade_boxed(L("so \\boxed{1} and \\boxed{\\dfrac{1}{2}}"), L("\\frac{1}{2}"))) == 1.0 and g(X.grade_boxed(L("Answer: 3.0"), L("3"))) == 1.0
+    assert g(X.grade_last_number(L("1,200 and then 3.5 apples"), L("3.5"))) == 1.0 and g(X.last_number(L("none"))) == ""
+    edges = spark.createDataFrame([("r", "a"), ("r", "b"), *[(f"n{i}", f"n{i + 1}") for i in range(9)]], "parent string, child string")
+    paths = {(r.ancestor, r.node): r.distance for r in X.closure(edges).collect()}
+    assert paths["n0", "n9"] == 9 and paths["r", "b"] == 1 and paths["a", "a"] == 0 and len(paths) == 2 + 45 + 13
 
 
 def test_readers(spark, tmp_path):
@@ -134,4 +238,4 @@ def test_error_modes_count_every_flagged_pair(spark, monkeypatch):
     s = F.col("id") / 59_999
     pairs = spark.range(60_000).select(F.col("id").cast("string").alias("p"), F.lit("z").alias("q"), s.alias("s"), (1 - 2 * s).alias("r"), (1 - s).alias("r01"))
     monkeypatch.setattr(alignment, "pair_table", lambda *_: pairs)
-    assert {r.kind: r.n for r in alignment.ag41_error_modes(spark, "").collect()} == {"false_sim": 12_000, "false_dis": 12_000}
+    assert tuple(alignment.ag41_error_modes(spark, "").first()) == (12_000, 12_000, "mixed")
