@@ -44,12 +44,14 @@ def level_weight(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.lower(F.trim(c))), F.lit(0.0))
 
 
+# Least weights of the levels.
 def weight_level(c: Column) -> Column:
     return F.when(c >= 0.875, "dominant").when(c >= 0.625, "strong").when(c >= 0.375, "medium").when(c >= 0.125, "weak").otherwise("absent")
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """Within bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.cleaning import name_key
 from rankloom.functions.semantics import reasons
 from rankloom.operators.board import host_of
-from rankloom.runtime import small
+from rankloom.operators.align import listed
+from rankloom.runtime import small, stash
 
 # Tabs that show all of their benchmarks, and models from which a benchmark is shown in any other tab.
 OVERVIEWS, CORE_MODELS = ("all", "deterministic", "non_deterministic"), 6
@@ -199,3 +200,14 @@ def new_benchmarks(records: DataFrame, benchmarks: DataFrame, category: Column,
     names = records.where("trim(benchmark_id) <> ''").groupBy(F.trim("benchmark_id").alias("name")).agg(F.lit(1).alias("_one"))
     fresh = names.join(small(known), name_key(F.col("name")) == F.col("_key"), "left_anti")
     return fresh.select(slug.alias("id"), "name", category.alias("category"), F.when(unsteady, "non_deterministic").otherwise("deterministic").alias("type")).where("id <> ''").groupBy("id").agg(F.min(F.struct("name", "category", "type")).alias("x")).select("id", "x.*")
+
+
+def placed(rows: DataFrame, group: list[str], order: list[str], block_rows: int = 250_000) -> DataFrame:
+    """``rows`` with ``place``: their number (from 0) in the order within their group, in two steps over ranges, so that a group may hold any share of the rows."""
+    n = max(1, -(-rows.count() // block_rows))
+    ranged = stash(rows.repartitionByRange(n, *group, *order).withColumn("_block", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(*group, "_block").orderBy(*order)) - 1
+    return ranged.withColumn("_i", inside).join(sizes.select(*group, "_block", offset.alias("_o")), [*group, "_block"]).withColumn("place", F.col("_i") + F.col("_o")).drop("_block", "_i", "_o")
+

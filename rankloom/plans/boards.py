@@ -253,11 +253,6 @@ def pj12_size_class(s, d):
     return t(s, d, "models").select("id", b.alias("params_b"), F.when(b <= 15, "small").when(b <= 72, "medium").when(b > 72, "large").otherwise("unknown").alias("size_class"))
 
 
-def pj17_level_weight(s, d):
-    q = t(s, d, "lineitem").select(F.when(F.col("l_quantity") < 10, "Weak ").when(F.col("l_quantity") < 20, "MEDIUM").when(F.col("l_quantity") < 30, "strong").when(F.col("l_quantity") < 40, "dominant").otherwise("odd").alias("level"))
-    return q.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", "n", level_weight(F.col("level")).alias("weight"))
-
-
 def pj18_weight_level(s, d):
     return tag_weights(s, d).groupBy(weight_level(F.col("weight")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -266,15 +261,6 @@ def pj21_unit_similarity(s, d):
     return pair_table(s, d).select("p", "q", F.round((F.col("r") + 1) / 2, 7).alias("r01"))
 
 
-def pj22_buckets(s, d):
-    gap = F.abs(F.col("s") - F.col("r01"))
-    return pair_table(s, d).groupBy(F.when(gap < 0.1, "small").when(gap < 0.3, "medium").otherwise("large").alias("loss_bucket"), F.when(F.col("s") > F.col("r01"), "over").otherwise("under").alias("sign")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def pj26_content_hash(s, d):
-    return t(s, d, "models").select("id", F.substring(F.sha2(F.concat_ws("|", "id", "name", "vendor"), 256), 1, 16).alias("key"))
-
-
 def pj32_source_host(s, d):
     host = F.regexp_replace(F.lower(F.regexp_extract("source.url", r"^[a-z]+://([^/]+)", 1)), r"^www\.", "")
     return t(s, d, "score_records").select(F.coalesce(F.nullif(host, F.lit("")), F.nullif(kind_key(F.col("source.kind")), F.lit("")), F.lit("none")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -357,11 +343,8 @@ _SELECTS = {
     "pj10_percent": f"SELECT record_id, CASE WHEN score > 0 AND score <= 1 THEN floor(round(score * 100, 6) * 10 + 0.5) / 10 ELSE floor(score * 10 + 0.5) / 10 END AS percent FROM score_records WHERE {_OK}",
     "pj11_published_day": f"SELECT record_id, day::VARCHAR AS day FROM (SELECT record_id, {_DAY} AS day FROM (SELECT record_id, trim(source.published) AS x FROM score_records)) WHERE day IS NOT NULL",
     "pj12_size_class": "SELECT id, b AS params_b, CASE WHEN b <= 15 THEN 'small' WHEN b <= 72 THEN 'medium' WHEN b > 72 THEN 'large' ELSE 'unknown' END AS size_class FROM (SELECT id, try_cast(regexp_extract(id, '-(\\d+)b(?:-|$)', 1) AS INT) AS b FROM models)",
-    "pj17_level_weight": "SELECT level, n, CASE lower(trim(level)) WHEN 'weak' THEN 0.25 WHEN 'medium' THEN 0.5 WHEN 'strong' THEN 0.75 WHEN 'dominant' THEN 1.0 ELSE 0.0 END::DOUBLE AS weight FROM (SELECT CASE WHEN l_quantity < 10 THEN 'Weak ' WHEN l_quantity < 20 THEN 'MEDIUM' WHEN l_quantity < 30 THEN 'strong' WHEN l_quantity < 40 THEN 'dominant' ELSE 'odd' END AS level, count(*) AS n FROM lineitem GROUP BY 1)",
     "pj18_weight_level": "SELECT CASE WHEN weight >= 0.875 THEN 'dominant' WHEN weight >= 0.625 THEN 'strong' WHEN weight >= 0.375 THEN 'medium' WHEN weight >= 0.125 THEN 'weak' ELSE 'absent' END AS level, count(*) AS n FROM tw GROUP BY 1",
     "pj21_unit_similarity": "SELECT p, q, round((r + 1) / 2, 7) AS r01 FROM pt",
-    "pj22_buckets": "SELECT CASE WHEN abs(s - r01) < 0.1 THEN 'small' WHEN abs(s - r01) < 0.3 THEN 'medium' ELSE 'large' END AS loss_bucket, CASE WHEN s > r01 THEN 'over' ELSE 'under' END AS sign, count(*) AS n FROM pt GROUP BY 1, 2",
-    "pj26_content_hash": "SELECT id, sha256(concat_ws('|', id, name, vendor))[:16] AS key FROM models",
     "pj32_source_host": "SELECT coalesce(nullif(regexp_replace(lower(regexp_extract(source.url, '^[a-z]+://([^/]+)', 1)), '^www\\.', ''), ''), nullif(regexp_replace(lower(trim(source.kind)), '[ _-]+', '_', 'g'), ''), 'none') AS label, count(*) AS n FROM score_records GROUP BY 1",
     "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', floor(score * 10 + 0.5 + 1e-9) / 10) ELSE printf('%.2f', floor(score * 100 + 0.5 + 1e-9) / 100) END AS shown FROM score_records WHERE {_OK} AND score < 1e6",
     "fl1_filtered": "SELECT b.id AS benchmark, coalesce(n, 0) AS n, concat_ws(',', CASE WHEN coalesce(n, 0) < 10 THEN 'few_models' END, CASE WHEN contains(note, 'deprecated') THEN 'deprecated' END) AS reasons FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS n FROM y GROUP BY 1) c ON c.benchmark = b.id",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.plans import alignment, boards, extras, preparation, records, study
+from rankloom.plans import alignment, boards, extras, preparation, records, rules, study
 
-_MODULES = (alignment, boards, extras, preparation, records, study)
+_MODULES = (alignment, boards, extras, preparation, records, study, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

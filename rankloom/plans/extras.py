@@ -23,11 +23,6 @@ def sc4_scaled(s, d):
     return t(s, d, "score_records").select("record_id", R.scaled_fraction(F.col("score")).alias("fraction")).where("fraction IS NOT NULL AND NOT isnan(fraction)")
 
 
-def sc6_reviewed(s, d):
-    """Usable rows of a log with blanks: runs' entries that have a bucket."""
-    return t(s, d, "bench_split").where(usable_text(F.col("bucket"))).select("entry_id", F.lower(F.trim("bucket")).alias("bucket"))
-
-
 def sc12_last_per_key(s, d):
     """The last record of a model and benchmark over all runs."""
     r = t(s, d, "score_records").where("model_id <> '' AND benchmark_id IS NOT NULL")
@@ -38,11 +33,6 @@ def sc22_latest_file(s, d):
     return R.latest(t(s, d, "raw_drops").select(F.col("file_name").alias("path")), F.regexp_extract("path", r"^([a-z]+)-", 1))
 
 
-def sk1_pair_json(s, d):
-    """Pairs keyed p||q."""
-    return pair_table(s, d).select(F.concat_ws("||", "p", "q").alias("key"), "s", "r")
-
-
 def pj2_slug(s, d):
     """Three ways to make an id of a benchmark's name: for benchmarks, of plain words, and with blanks joined only."""
     return t(s, d, "benchmarks").select("id", X.benchmark_slug(F.col("name")).alias("slug"), X.plain_slug(F.col("name")).alias("plain"), F.regexp_replace(F.lower(F.trim("name")), " ", "-").alias("joined"))
@@ -83,13 +73,6 @@ def fl7_any_all(s, d):
     return t(s, d, "models").select("id", F.exists(a, lambda x: x.rlike("^[a-z0-9.-]+$")).alias("has_short"), F.exists(a, lambda x: x.rlike("^[A-Z]")).alias("has_code"), F.size(a).alias("n"))
 
 
-def fl12_vocabulary(s, d):
-    """What is wrong with a catalog entry: no description, no source, the same name twice."""
-    n = F.count(F.lit(1)).over(W.partitionBy(F.lower("name")))
-    why = reasons((F.col("description").isNull(), "no_description"), (F.col("source_url").isNull(), "no_source"), (n > 1, "same_name"))
-    return t(s, d, "benchmarks").select("id", F.array_join(why, ",").alias("reasons"))
-
-
 def gr1_components(s, d):
     """Components of the benchmarks over pairs with rank similarity of 0.9 or more, with their sizes; the greatest is place 1."""
     c = X.min_label(pair_table(s, d).where("r >= 0.9"))
@@ -160,13 +143,10 @@ _BLANK = "('', '-', '--', '?', '.', 'n/a', 'na', 'none', 'null', 'nil', 'nan', '
 _SELECTS = {
     "sc1_score_map": "SELECT benchmark, model, score FROM y",
     "sc4_scaled": "SELECT record_id, fraction FROM (SELECT record_id, CASE WHEN score > 1 AND score <= 100 THEN score / 100 ELSE score END AS fraction FROM score_records WHERE NOT isnan(score)) WHERE fraction BETWEEN 0 AND 1",
-    "sc6_reviewed": f"SELECT entry_id, lower(trim(bucket)) AS bucket FROM bench_split WHERE lower(trim(bucket)) NOT IN {_BLANK}",
     "sc12_last_per_key": "SELECT model_id, benchmark_id, record_id FROM score_records WHERE model_id <> '' AND benchmark_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model_id, benchmark_id ORDER BY ingested_at DESC, record_id DESC) = 1",
     "sc22_latest_file": "SELECT regexp_extract(file_name, '^([a-z]+)-', 1) AS stem, max(file_name) AS path FROM raw_drops GROUP BY 1",
-    "sk1_pair_json": "SELECT p || '||' || q AS key, s, r FROM pt",
     "pj25_vendor": "SELECT vendor, sum(n)::BIGINT AS n FROM (SELECT regexp_extract(lower(model_id), '^([a-z]+)', 1) AS family, count(*) AS n FROM score_records GROUP BY 1) JOIN (SELECT regexp_extract(lower(id), '^([a-z]+)', 1) AS family, min(vendor) AS vendor FROM models GROUP BY 1) USING (family) GROUP BY 1",
     "fl7_any_all": "SELECT id, len(list_filter(coalesce(aliases, []), lambda x: regexp_matches(x, '^[a-z0-9.-]+$'))) > 0 AS has_short, len(list_filter(coalesce(aliases, []), lambda x: regexp_matches(x, '^[A-Z]'))) > 0 AS has_code, len(coalesce(aliases, [])) AS n FROM models",
-    "fl12_vocabulary": "SELECT id, concat_ws(',', CASE WHEN description IS NULL THEN 'no_description' END, CASE WHEN source_url IS NULL THEN 'no_source' END, CASE WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN 'same_name' END) AS reasons FROM benchmarks",
     "ag11_item_profiles": "SELECT o_orderpriority AS benchmark, l_returnflag AS tag, round(coalesce(avg(floor(l_quantity / 13) / 4) FILTER (l_linestatus = 'F'), 0), 6)::DOUBLE AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
     "tk15_best_iteration": "SELECT metric, arg_max(run_id, [m::VARCHAR, run_id]) AS run_id FROM (SELECT lower(trim(metric)) AS metric, run_id, round(avg(score), 8) AS m FROM scores WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND metric IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
 }

@@ -44,7 +44,7 @@ def commented_json(text: Column, schema: str) -> Column:
 
 
 def zip_members(files: DataFrame) -> DataFrame:
-    """(path, member, size, text) of the members of ZIP archives read as binaryFile; broken archives give no rows."""
+    """(path, member, size, text) of the members of ZIP archives read as binaryFile; a broken archive gives one row with a null member."""
 
     def run(batches):
         for pdf in batches:
@@ -54,7 +54,7 @@ def zip_members(files: DataFrame) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         out += [(path, i.filename, i.file_size, z.read(i).decode("utf-8", "replace")) for i in z.infolist() if not i.is_dir()]
                 except zipfile.BadZipFile:
-                    pass
+                    out.append((path, None, None, None))
             yield pd.DataFrame(out, columns=["path", "member", "size", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, size bigint, text string")
@@ -70,19 +70,69 @@ def table_rows(html: Column) -> Column:
     return F.filter(F.transform(rows, one), lambda x: x["score"].isNotNull() & (x["name"] != ""))
 
 
-def strides(total: int, n: int, most: int = 100, chunks: int = 10) -> list[tuple[int, int]]:
-    """(offset, length) of evenly spread chunks that sample n of total rows."""
-    n = min(n, total)
-    if n <= 0:
-        return []
-    parts = min(chunks, max(1, -(-n // most)) if n > most * chunks else max(1, min(chunks, n)))
-    each = min(most, -(-n // parts))
-    gap = total / parts
-    return [(int(i * gap), min(each, total - int(i * gap))) for i in range(parts)]
+def all_ranges(total: Column, most: int = 100) -> Column:
+    """ARRAY of (start, length) that covers ``total`` rows, ``most`` at a time; empty if there are none."""
+    starts = F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(total - 1, F.lit(0)).cast("bigint"), F.lit(most).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.least(F.lit(most), total - i).cast("int").alias("length")))
 
 
-def full_ranges(total: int, most: int) -> list[tuple[int, int]]:
-    return [(at, min(most, total - at)) for at in range(0, total, most)]
+def sample_ranges(total: Column, n: int, most: int = 100, chunks: int = 10) -> Column:
+    """ARRAY of (start, length): evenly strided chunks that sample n of ``total`` rows; all rows if there are no more than n.
+
+    An unknown total (0 or less) gives the first rows.
+    """
+    k = max(1, min(chunks, -(-n // most)))
+    size = max(1, min(most, n // k))
+    stride, last = F.greatest(F.lit(1), F.floor(total / k)), F.greatest(F.lit(0), total - size)
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.least(i * stride, last).cast("bigint").alias("start"), F.lit(size).alias("length")))
+    first = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(min(n, most)).alias("length")))
+    return F.when(total <= 0, first).when(total <= n, all_ranges(total, most)).otherwise(chunk)
+
+
+def without_columns(df: DataFrame, skip: tuple[str, ...]) -> DataFrame:
+    """A table without some columns, whatever their case; Parquet then doesn't read them."""
+    low = {x.lower() for x in skip}
+    return df.select(*[c for c in df.columns if c.lower() not in low])
+
+
+def last_in_files(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by file and line (the columns of ``order``)."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def yaml_blocks(text: Column) -> Column:
+    """The blocks of a YAML list: each starts with '- ' at the beginning of a line."""
+    return F.filter(F.split(text, r"\n(?=- )"), lambda b: b.startswith("- "))
+
+
+def yaml_field(block: Column, key: str) -> Column:
+    """A plain or quoted value of a key of a block, null if the block has none."""
+    pattern = rf"(?m)^[- ] *{key}:[ ]*['\"]?(.*?)['\"]?[ ]*$"
+    return F.when(block.rlike(pattern), F.regexp_extract(block, pattern, 1))
+
+
+def payload_objects(html: Column, keys: tuple[str, ...]) -> Column:
+    """ARRAY of STRUCT of the flat objects with the first of ``keys`` in a payload that scripts push in quoted pieces."""
+    pieces = F.regexp_extract_all(html, F.lit(r'push\(\[1,"((?:[^"\\]|\\.)*)"\]\)'), 1)
+    text = F.replace(F.array_join(pieces, ""), F.lit('\\"'), F.lit('"'))
+    found = F.regexp_extract_all(text, F.lit(rf'\{{"{keys[0]}":[^{{}}]*\}}'), 0)
+    return F.transform(found, lambda x: F.struct(*[F.get_json_object(x, f"$.{k}").alias(k) for k in keys]))
+
+
+def plan_faults(plan: DataFrame, scopes: tuple[str, ...], header: tuple[str, ...] = ("scope", "benchmark", "model")) -> DataFrame:
+    """Rows of a plan with ``fault``: 'scope' if it is unknown, 'doubled' if a cell stands there again, else 'none'. Raises for another header."""
+    if tuple(plan.columns) != header:
+        raise ValueError(f"the header is {plan.columns}, not {list(header)}")
+    n = plan.groupBy(*header).agg(F.count(F.lit(1)).alias("_n"))
+    return n.select(*header, F.explode(F.array_repeat(F.when(~F.col("scope").isin(*scopes), "scope").when(F.col("_n") > 1, "doubled").otherwise("none"), F.col("_n").cast("int"))).alias("fault"))
+
+
+def score_files(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    """Records of all score files of several folders: JSON arrays; drafts and names with a leading '_' are left out."""
+    text = spark.read.text(folders, wholetext=True, pathGlobFilter="*.json").withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    kept = text.where(~F.startswith("_file", F.lit("_")) & ~F.endswith("_file", F.lit(".draft.json")))
+    return kept.select("_file", F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r")).select(F.col("_file").alias("file"), "r.*")
 
 
 def latest(files: DataFrame, stem: Column) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from rankloom.functions import semantics
 from rankloom.operators import align as A
 from rankloom.operators import board as B
+from rankloom.operators import rules as L
 from rankloom.operators import selection as S
 from rankloom.operators import study as U
 from rankloom.operators import texts as X
+from rankloom.operators import views as V
 from rankloom.sources import readers as R
 from rankloom.streaming import log
 from tests.schemas import RECORDS, record, source
@@ -213,14 +215,22 @@ def test_readers(spark, tmp_path):
         z.writestr("x/y.txt", "hello")
     (tmp_path / "b.zip").write_bytes(b"no archive")
     got = R.zip_members(spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))).collect()
-    assert [(r.member, r.text) for r in got] == [("x/y.txt", "hello")]
+    assert {(r.path[-5:], r.member, r.text) for r in got} == {("a.zip", "x/y.txt", "hello"), ("b.zip", None, None)}
     (tmp_path / "c.csv").write_text('a,b\n"x ""y""\nz",1\nlone\n')
     assert [tuple(r) for r in R.csv_table(spark, str(tmp_path / "c.csv")).collect()] == [('x "y"\nz', "1"), ("lone", "")]
     (tmp_path / "d.jsonl").write_text('﻿{"a": 1}\n\n{broken\n')
     assert [(r.a, r._corrupt is None) for r in R.json_lines(spark, str(tmp_path / "d.jsonl"), "a int").collect()] == [(1, True), (None, False)]
     html = spark.createDataFrame([("<table><tr><th>n</th></tr><tr><td><b>M1</b></td><td>0.5</td></tr><tr><td>M2</td><td>61.5 %</td></tr></table>",)], "h string")
     assert [tuple(x) for x in html.select(R.table_rows(F.col("h")).alias("r")).first().r] == [("M1", 50.0), ("M2", 61.5)]
-    assert R.full_ranges(250, 100) == [(0, 100), (100, 100), (200, 50)] and sum(n for _, n in R.strides(10_000, 500)) >= 500
+    ranges = lambda c: [tuple(x) for x in spark.range(1).select(c.alias("r")).first().r]
+    assert ranges(R.all_ranges(F.lit(250))) == [(0, 100), (100, 100), (200, 50)] and ranges(R.all_ranges(F.lit(0))) == []
+    assert ranges(R.sample_ranges(F.lit(10_000), 500)) == [(i * 2000, 100) for i in range(5)] and ranges(R.sample_ranges(F.lit(0), 30)) == [(0, 30)] and ranges(R.sample_ranges(F.lit(150), 200)) == [(0, 100), (100, 50)]
+    for name, text in (("a.json", '[{"model_id": "m", "score": 1.5}]'), ("_b.json", '[{"model_id": "x"}]'), ("c.draft.json", '[{"model_id": "x"}]'), ("d.txt", "x"), ("e.json", "{broken")):
+        (tmp_path / "scores").mkdir(exist_ok=True)
+        (tmp_path / "scores" / name).write_text(text)
+    assert [tuple(r) for r in R.score_files(spark, [str(tmp_path / "scores")], "model_id string, score double").collect()] == [("a.json", "m", 1.5)]
+    with pytest.raises(ValueError):
+        R.plan_faults(spark.createDataFrame([("a",)], "scope string"), ("a",))
 
 
 def test_stream_keeps_latest(spark, tmp_path):
@@ -229,7 +239,57 @@ def test_stream_keeps_latest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         q = log.keep_latest(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["k"], "at", str(tmp_path / "state"), str(tmp_path / "check"))
         q.awaitTermination(60)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state/batch=1")).select("k", "v").collect()} == {("a", "z"), ("b", "y")}
+    assert {tuple(r) for r in log.latest_state(spark, str(tmp_path / "state")).select("k", "v").collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_dropped_files_come_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "one"), ("b", "two"), ("c", "one")):
+        (tmp_path / "in" / name).write_text(text)
+    files = log.dropped_files(spark, str(tmp_path / "in")).select("sha")
+    q = files.writeStream.format("memory").queryName("drops").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("drops").count() == 2
+
+
+def test_rules(spark):
+    one = spark.range(1)
+    g = lambda c: one.select(c.alias("v")).first().v
+    w = lambda x: L.words(F.lit(x))
+    assert g(L.has_phrase(w("A Multiple-Choice test"), "multiple choice")) and not g(L.has_phrase(w("multiplechoice"), "multiple choice")) and not g(L.has_phrase(w(None), "a"))
+    assert not g(L.has_unnegated(w("it is not a multiple choice"), "multiple choice")) and g(L.has_unnegated(w("not here, but in the end a multiple choice"), "multiple choice"))
+    assert g(L.leaks_score(w("the model got a score"))) and not g(L.leaks_score(w("the score of the game"))) and not g(L.leaks_score(w("never a model score")))
+    faults = lambda xs, n: g(L.pattern_faults(F.array(*map(F.lit, xs)), F.lit(n)))
+    assert faults(["picks the selected option", "reads gpqa items", "adds numbers"], "GPQA Diamond") == ["leaks:0:selected_option", "names_benchmark:1"]
+    assert g(L.pattern_faults(F.lit(None).cast("array<string>"), F.lit(None).cast("string"))) == []
+    assert g(L.rationale_faults(F.lit("Strong"), F.lit("there is no evidence"), F.lit("x"))) == ["contradicts:strong:no evidence"] and g(L.rationale_faults(F.lit("absent"), F.lit("no evidence"), F.lit("x"))) == []
+    c = lambda x: g(L.contract_faults(F.lit(x), ("a", "b"), ("c",), ("z",), ("c",), ("a",)))
+    assert c('{"a": "x", "b": 1, "c": [1]}') == [] and c('{"a": " ", "z": 1, "q": 2, "c": {}}') == ["missing:b", "banned:z", "extra:q", "no_list:c", "empty:a"] and c("[1]") == ["no_object"] and c(None) == ["no_object"]
+    p = lambda x: g(L.prompt_faults(F.lit(x), ("tag",), ("MATH",), (("metric", "correlation"),), 100, 3))
+    assert p("tag by what is read. Do not mention correlation.") == [] and p("tag; never ignore correlation 0.75") == ["score_literal", "metric"] and p("MATH tag") == ["names:MATH"] and p("") == ["empty", "missing:tag"] and p("tag " * 90) == ["too_long"]
+    t = lambda v, s: g(L.taxonomy_faults(F.array(*map(F.lit, v)), F.array(*map(F.lit, s)), 1))
+    assert t("ab", "ab") == [] and t("abcde", "ab") == ["too_many_new"] and t("a", "ab") == ["seed_missing", "smaller_than_seed"] and t("abb", "ab") == ["duplicate_ids"]
+    w8, drift = L.coerced_weights(F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("x"), F.lit("q"), F.lit("1")), ("a", "b", "c"))
+    assert g(w8) == {"a": 1.0, "b": 0.0, "c": 0.0} and g(drift) == ["no_number:b", "dropped:1", "filled:1"]
+    assert [g(L.level_of(F.lit(x))) for x in (" HIGH", "3", "2.0", "odd", None)] == ["strong", "medium", "weak", "absent", "absent"]
+    assert g(L.snippet(F.lit("Long words here that go on. Observable evidence includes x"), 17)) == "Long words here." and g(L.snippet(F.lit(" "), 9)) == ""
+    assert g(L.anonymous(F.lit("Benchmark: q\nUses (X+) and (x+)."), F.lit("(x+)"), F.lit("B1"))) == "Benchmark: B1\nUses B1 and B1."
+    assert g(L.repo_name(F.lit("..My Repo!!"))) == "my-repo" and g(L.repo_name(F.lit("--"))) is None
+    assert [L.salvaged(x)[0] for x in ('[1]', 'so ```json\n{"a": 1}\n``` there', 'x {"a": {"b": 2}} y', '[{"a": 1}, {"a": 2}, {"a"', "none", None, "[" * 200_000)] == ["whole", "fenced", "object", "rows", "none", "none", "none"]
+
+
+def test_views(spark):
+    models = spark.createDataFrame([("a", "Base", "V", ["A-1"]), ("b", "Base (high)", "v ", None), ("c", "Other (2024)", "V", ["A-1"]), ("d", "Odd (16K, thinking)", "V", [])], "id string, name string, vendor string, aliases array<string>")
+    groups = {r.model_id: (r.group_id, r.config) for r in V.model_groups(models).collect()}
+    assert groups == {"a": ("a", None), "b": ("a", "high"), "c": ("c", None), "d": ("d", "16K, thinking")}
+    rows = spark.createDataFrame([("B", "A-1", 1.0, 2), ("B", "a", 2.0, 1), ("_m", "a", 3.0, 1), ("B", None, 1.0, 3), ("C", " A-1 ", None, 1)], "benchmark string, model string, score double, place int")
+    assert {tuple(r) for r in V.leaderboard(rows.where("model is not null"), V.alias_table(models)).collect()} == {("B", "a", 2.0)}
+    assert {tuple(r) for r in V.leaderboard(rows.where("model is not null"), V.alias_table(models), [], ["b"]).collect()} == set()
+    names = spark.createDataFrame([("BASE",), ("a_1",), ("base(high)",), ("?",), ("",)], "x string")
+    assert {r.x: r.resolved for r in V.resolved(names, "x", models).collect()} == {"BASE": "a", "a_1": "a", "base(high)": "b", "?": None, "": None}
+    big = spark.range(100).select((F.col("id") % 2).alias("g"), "id")
+    got = {(r.g, r.id): r.place for r in V.placed(big, ["g"], ["id"], 13).collect()}
+    assert all(p == i // 2 for (_, i), p in got.items()) and len(got) == 100
 
 
 def test_error_modes_count_every_flagged_pair(spark, monkeypatch):
