@@ -6,6 +6,7 @@ of their size.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +81,33 @@ def deduplicated(records: DataFrame, source_kinds: DataFrame, spread: float = 0.
     return g.where((F.col("n") == 1) | (F.col("gap") <= spread)).select(*GROUP, "config", F.col("best.score").alias("score"), F.col("n").alias("distinct_scores"))
 
 
+def chunked(rows: DataFrame, group: str, order: str, size: str, most: int, room: int) -> DataFrame:
+    """(group, chunks, items): rows of a group in order fill chunks of at most ``most`` rows and ``room`` in size; a full one is flushed.
+
+    Each border hangs on the one before, so a group is one run through its rows in order; they stream through their task in
+    batches (three columns, sorted with spilling) and nothing of a group is held but the open chunk.
+    """
+
+    def run(batches):
+        at, chunks, k, total, n = None, 0, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for g, x in zip(pdf[group], pdf[size]):
+                if g != at:
+                    if at is not None:
+                        out.append((at, chunks, n))
+                    at, chunks, k, total, n = g, 1, 0, 0, 0
+                if k and (k >= most or total + x > room):
+                    chunks, k, total = chunks + 1, 0, 0
+                k, total, n = k + 1, total + x, n + 1
+            yield pd.DataFrame(out, columns=[group, "chunks", "items"])
+        if at is not None:
+            yield pd.DataFrame([(at, chunks, n)], columns=[group, "chunks", "items"])
+
+    ordered = rows.select(group, order, size).repartition(group).sortWithinPartitions(group, order)
+    return ordered.mapInPandas(run, f"{group} string, chunks bigint, items bigint")
+
+
 def heat(scores: DataFrame) -> DataFrame:
     """Cells with the least and greatest score of their column and where they lie between (0.5 if constant)."""
     w = W.partitionBy("benchmark")

@@ -11,6 +11,7 @@ from rankloom.operators import board as B
 from rankloom.plans.alignment import BASE, matrix, pair_table, tag_weights
 from rankloom.runtime import small
 from rankloom.runtime import table as t
+from rankloom.sources.readers import scaled_fraction
 
 _RHO = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
 
@@ -30,9 +31,9 @@ def mg7_model_scores(s, d):
 
 
 def jn9_merged_sources(s, d):
-    """Matrix cells with records (percent) standing in for cells that the matrix lacks; names meet by key."""
+    """Matrix cells with records (percent above 1 to 100, else fractions) standing in for cells that the matrix lacks; names meet by key."""
     y = matrix(s, d).select(name_key(F.col("benchmark")).alias("bk"), name_key(F.col("model")).alias("mk"), F.lit(1).alias("place"), "score")
-    r = t(s, d, "score_records").where(usable_score(F.col("score")) & F.col("score").between(1, 100)).select(name_key(F.col("benchmark_id")).alias("bk"), name_key(F.col("model_id")).alias("mk"), F.lit(2).alias("place"), (F.col("score") / 100).alias("score")).where("bk <> '' AND mk <> ''")
+    r = t(s, d, "score_records").where(usable_score(F.col("score"))).select(name_key(F.col("benchmark_id")).alias("bk"), name_key(F.col("model_id")).alias("mk"), F.lit(2).alias("place"), scaled_fraction(F.col("score")).alias("score")).where("bk <> '' AND mk <> '' AND score IS NOT NULL")
     r = r.groupBy("bk", "mk", "place").agg(F.max("score").alias("score"))
     return y.unionByName(r).groupBy("bk", "mk").agg(F.min(F.struct("place", "score")).alias("x")).select("bk", "mk", F.col("x.place").alias("place"), F.round("x.score", 5).alias("score"))
 
@@ -132,19 +133,9 @@ def wn5_last_wins(s, d):
 
 
 def wn7_chunks(s, d):
-    """Greedy chunks of a source's documents in order: at most 8 documents and 10,000 characters, reset at each flush.
-
-    A fold over the documents of a source and month, so no array holds more than a month of one source.
-    """
-    docs = t(s, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.date_format("issue_date", "yyyy-MM"), F.lit("")).alias("month"), "doc_id", F.coalesce(F.col("n_chars"), F.lit(0)).alias("n"))
-    g = docs.groupBy("source", "month").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("items"))
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("chars"))
-
-    def step(a, x):
-        full = (a["k"] > 0) & ((a["k"] >= 8) | (a["chars"] + x["n"] > 10_000))
-        return F.struct(F.when(full, a["c"] + 1).otherwise(a["c"]).alias("c"), F.when(full, 1).otherwise(a["k"] + 1).alias("k"), F.when(full, x["n"].cast("bigint")).otherwise(a["chars"] + x["n"]).alias("chars"))
-
-    return g.select("source", "month", (F.aggregate("items", zero, step)["c"] + 1).alias("chunks"), F.size("items").alias("docs"))
+    """Greedy chunks of a source's documents in order: at most 8 documents and 10,000 characters, reset at each flush."""
+    docs = t(s, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce(F.col("n_chars"), F.lit(0)).cast("bigint").alias("n"))
+    return B.chunked(docs, "source", "doc_id", "n", 8, 10_000)
 
 
 def wn9_item_index(s, d):
@@ -268,7 +259,7 @@ def pj32_source_host(s, d):
 
 def pj34_display(s, d):
     c = F.col("score")
-    return t(s, d, "score_records").where(usable_score(c) & (c < 1e6)).select("record_id", F.when(c == F.floor(c), c.cast("bigint").cast("string")).when(c >= 100, F.format_string("%.1f", F.floor(c * 10 + 0.5 + 1e-9) / 10)).otherwise(F.format_string("%.2f", F.floor(c * 100 + 0.5 + 1e-9) / 100)).alias("shown"))
+    return t(s, d, "score_records").where(usable_score(c)).select("record_id", F.when(c == F.floor(c), c.cast("bigint").cast("string")).when(c >= 100, F.format_string("%.1f", F.floor(c * 10 + 0.5 + 1e-9) / 10)).otherwise(F.format_string("%.2f", F.floor(c * 100 + 0.5 + 1e-9) / 100)).alias("shown"))
 
 
 def fl1_filtered(s, d):
@@ -297,7 +288,7 @@ def fl9_phrases(s, d):
     return w.select("doc_id", n.alias("n"), negated.alias("negated")).where("n > 0")
 
 
-_HELP = {"matrix", "pair_table", "tag_weights", "small", "t", "kind_key", "name_key", "publication_day", "usable_score", "half_up_tenth", "level_weight", "reasons", "weight_level"}
+_HELP = {"scaled_fraction", "matrix", "pair_table", "tag_weights", "small", "t", "kind_key", "name_key", "publication_day", "usable_score", "half_up_tenth", "level_weight", "reasons", "weight_level"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] != "_" and k not in _HELP}
 
 _DAY = "coalesce(CASE WHEN regexp_full_match(x, '\\d{4}-\\d{2}-\\d{2}(T.*)?') THEN try_cast(x[:10] AS DATE) END, CASE WHEN regexp_full_match(x, '\\d{4}-\\d{2}') THEN try_cast(x || '-15' AS DATE) END, CASE WHEN regexp_full_match(x, '\\d{4}/\\d{2}/\\d{2}') THEN try_cast(replace(x, '/', '-') AS DATE) END, try_strptime(x, ['%Y%m%d', '%d %b %Y', '%B %d, %Y'])::DATE, try_strptime('15 ' || x, '%d %B %Y')::DATE)"
@@ -307,7 +298,7 @@ _TOP3 = "(SELECT benchmark FROM y GROUP BY 1 ORDER BY count(*) DESC, benchmark L
 _SELECTS = {
     "mg6_trend_series": "SELECT benchmark, model, day::VARCHAR AS day, score FROM y JOIN (SELECT id, CASE WHEN length(release_date) = 7 THEN try_cast(release_date || '-15' AS DATE) ELSE try_cast(release_date AS DATE) END AS day FROM models) m ON m.id = model WHERE day IS NOT NULL QUALIFY count(*) OVER (PARTITION BY benchmark) >= 5",
     "mg7_model_scores": "SELECT model, category, count(*) AS n, round(avg(score), 8) AS mean FROM y JOIN benchmarks b ON b.id = benchmark GROUP BY 1, 2",
-    "jn9_merged_sources": f"SELECT bk, mk, min(place) AS place, round(arg_min(score, place), 5) AS score FROM (SELECT regexp_replace(lower(benchmark), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS mk, 1 AS place, score FROM y UNION ALL SELECT bk, mk, 2, max(score) FROM (SELECT regexp_replace(lower(benchmark_id), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model_id), '[^a-z0-9]+', '', 'g') AS mk, score / 100 AS score FROM score_records WHERE {_OK} AND score BETWEEN 1 AND 100) WHERE bk <> '' AND mk <> '' GROUP BY 1, 2) GROUP BY 1, 2",
+    "jn9_merged_sources": f"SELECT bk, mk, min(place) AS place, round(arg_min(score, place), 5) AS score FROM (SELECT regexp_replace(lower(benchmark), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS mk, 1 AS place, score FROM y UNION ALL SELECT bk, mk, 2, max(score) FROM (SELECT regexp_replace(lower(benchmark_id), '[^a-z0-9]+', '', 'g') AS bk, regexp_replace(lower(model_id), '[^a-z0-9]+', '', 'g') AS mk, CASE WHEN score > 1 AND score <= 100 THEN score / 100 ELSE score END AS score FROM score_records WHERE {_OK}) WHERE bk <> '' AND mk <> '' AND score BETWEEN 0 AND 1 GROUP BY 1, 2) GROUP BY 1, 2",
     "jn10_exact_then_fuzzy": "SELECT benchmark_id, n, coalesce(b.id, k.id) AS matched FROM (SELECT benchmark_id, count(*) AS n FROM score_records WHERE benchmark_id IS NOT NULL GROUP BY 1) r LEFT JOIN benchmarks b ON b.id = benchmark_id LEFT JOIN (SELECT regexp_replace(lower(id), '[^a-z0-9]+', '', 'g') AS key, min(id) AS id FROM benchmarks GROUP BY 1) k ON k.key = regexp_replace(lower(benchmark_id), '[^a-z0-9]+', '', 'g')",
     "jn11_corrections": "SELECT benchmark, model, round(CASE WHEN md5(benchmark || model)[1] = '0' THEN score + 0.01 ELSE score END, 6) AS score, md5(benchmark || model)[1] = '0' AS corrected FROM y",
     "jn11_mismatches": "SELECT benchmark, CASE WHEN h = '0' THEN model ELSE model || '?' END AS model, CASE WHEN h = '1' THEN 'cell not found' ELSE 'another value' END AS reason FROM (SELECT *, md5(benchmark || model)[1] AS h FROM y) WHERE h = '1' OR (h = '0' AND model < 'm')",
@@ -323,6 +314,7 @@ _SELECTS = {
     "ag39_axis_means": "SELECT tag, round(avg(weight), 6) AS mean FROM tw GROUP BY 1",
     "ag42_progress": f"SELECT run_id, b * m AS planned, coalesce(done, 0) AS done FROM (SELECT run_id, count(DISTINCT benchmark) AS b FROM bench_split GROUP BY 1) JOIN (SELECT run_id, count(DISTINCT model) AS m FROM model_split GROUP BY 1) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS done FROM (SELECT DISTINCT run_id, benchmark, model FROM scores WHERE {_OK}) SEMI JOIN bench_split USING (run_id, benchmark) SEMI JOIN model_split USING (run_id, model) GROUP BY 1) USING (run_id)",
     "wn5_last_wins": "SELECT run_id, benchmark, model, count(*) AS n, epoch_us(max(loaded_at)) AS at FROM scores GROUP BY 1, 2, 3",
+    "wn7_chunks": ", d AS MATERIALIZED (SELECT coalesce(source, '') AS source, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS i FROM documents) SELECT source, max(c)::BIGINT AS chunks, max(i)::BIGINT AS items FROM (WITH RECURSIVE w AS (SELECT source, i, 1 AS c, 1 AS k, n::BIGINT AS chars FROM d WHERE i = 1 UNION ALL SELECT w.source, d.i, CASE WHEN w.k >= 8 OR w.chars + d.n > 10000 THEN w.c + 1 ELSE w.c END, CASE WHEN w.k >= 8 OR w.chars + d.n > 10000 THEN 1 ELSE w.k + 1 END, CASE WHEN w.k >= 8 OR w.chars + d.n > 10000 THEN d.n ELSE w.chars + d.n END FROM w JOIN d ON d.source = w.source AND d.i = w.i + 1) SELECT * FROM w) GROUP BY 1",
     "wn9_item_index": "SELECT run_id, entry_id, row_number() OVER (PARTITION BY run_id ORDER BY entry_id) - 1 AS i FROM bench_split",
     "tk7_relevance": "SELECT benchmark, round(coalesce(dot / nullif(n * sqrt(1.25), 0), 0), 6) AS relevance FROM (SELECT benchmark, sum(weight * CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 ELSE 0 END) AS dot, sqrt(sum(weight * weight)) AS n FROM tw GROUP BY 1)",
     "tk8_utility": "SELECT benchmark, round(relevance, 6) AS relevance, round(breadth, 6) AS breadth, round(0.72 * relevance + 0.2 * breadth, 6) AS utility FROM (SELECT benchmark, coalesce(sum(weight) FILTER (tag IN ('manual', 'github_repo')), 0) / 2 AS relevance, count(*) FILTER (weight >= 0.5) / (SELECT count(DISTINCT tag) FROM tw) AS breadth FROM tw GROUP BY 1) WHERE 0.72 * relevance + 0.2 * breadth > 0.05",
@@ -346,7 +338,7 @@ _SELECTS = {
     "pj18_weight_level": "SELECT CASE WHEN weight >= 0.875 THEN 'dominant' WHEN weight >= 0.625 THEN 'strong' WHEN weight >= 0.375 THEN 'medium' WHEN weight >= 0.125 THEN 'weak' ELSE 'absent' END AS level, count(*) AS n FROM tw GROUP BY 1",
     "pj21_unit_similarity": "SELECT p, q, round((r + 1) / 2, 7) AS r01 FROM pt",
     "pj32_source_host": "SELECT coalesce(nullif(regexp_replace(lower(regexp_extract(source.url, '^[a-z]+://([^/]+)', 1)), '^www\\.', ''), ''), nullif(regexp_replace(lower(trim(source.kind)), '[ _-]+', '_', 'g'), ''), 'none') AS label, count(*) AS n FROM score_records GROUP BY 1",
-    "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', floor(score * 10 + 0.5 + 1e-9) / 10) ELSE printf('%.2f', floor(score * 100 + 0.5 + 1e-9) / 100) END AS shown FROM score_records WHERE {_OK} AND score < 1e6",
+    "pj34_display": f"SELECT record_id, CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR WHEN score >= 100 THEN printf('%.1f', floor(score * 10 + 0.5 + 1e-9) / 10) ELSE printf('%.2f', floor(score * 100 + 0.5 + 1e-9) / 100) END AS shown FROM score_records WHERE {_OK}",
     "fl1_filtered": "SELECT b.id AS benchmark, coalesce(n, 0) AS n, concat_ws(',', CASE WHEN coalesce(n, 0) < 10 THEN 'few_models' END, CASE WHEN contains(note, 'deprecated') THEN 'deprecated' END) AS reasons FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS n FROM y GROUP BY 1) c ON c.benchmark = b.id",
     "fl9_phrases": "SELECT doc_id, len(regexp_extract_all(w, ' on  the ')) AS n, len(regexp_extract_all(w, ' (?:no|not|nobody|nothing) (?: [a-z0-9]+ ){0,3} on  the ')) AS negated FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ' AS w FROM documents) WHERE contains(w, ' on  the ')",
     "fl18_provenance": f"SELECT concat_ws(',', CASE WHEN source IS NULL THEN 'no_source' END, CASE WHEN source IS NOT NULL AND NOT coalesce(regexp_matches(source.url, '^https?://[^/\\s]+\\.[^/\\s]+'), false) THEN 'bad_url' END, CASE WHEN source IS NOT NULL AND day IS NULL THEN 'bad_date' END) AS reasons, count(*) AS n FROM (SELECT source, {_DAY} AS day FROM (SELECT source, trim(source.published) AS x FROM score_records)) GROUP BY 1",
