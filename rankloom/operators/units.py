@@ -28,6 +28,8 @@ from rankloom.runtime import small, stash
 TRAIN_ROWS, CALIBRATION_ROWS = 4_000, 2_000
 #: Calibrated probability from which a prediction is converted.
 CONFIDENT = 0.9
+#: Change of a scale's share that ends the search for the shares.
+SETTLED = 1e-6
 #: Scales that a row without any telling text may be on: percent, fraction, per mille, ten points, basis points, five points.
 #: A count of tasks needs its total, which only the text can tell.
 SCALES = (100, 1, 1000, 10, 10000, 5)
@@ -210,7 +212,7 @@ def _shift(probabilities: DataFrame, trained: np.ndarray, rounds: int = 30) -> n
     """Weight of each class: its share among the untold rows, by expectation maximisation, over its share in training.
 
     ``probabilities`` has a column for each class and all untold rows. A round sums over them where they lie; only the
-    sums reach the driver.
+    sums reach the driver. Rounds end once no share moves by more than SETTLED.
     """
     prior = trained / trained.sum()
     share = prior.copy()
@@ -220,7 +222,9 @@ def _shift(probabilities: DataFrame, trained: np.ndarray, rounds: int = 30) -> n
         n, *sums = parts.agg(F.count("*"), *[F.sum(F.col(f"q{i}") / F.col("_all")) for i in range(len(q))]).first()
         if not n:
             break
-        share = np.maximum(np.array(sums, dtype=float) / n, 1e-6)
+        before, share = share, np.maximum(np.array(sums, dtype=float) / n, 1e-6)
+        if np.abs(share - before).max() < SETTLED:
+            break
     return share / np.maximum(prior, 1e-9)
 
 
