@@ -81,10 +81,11 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def p8_rules(s: SparkSession, d: str) -> DataFrame:
-    """Of each wanted source: documents used more often than allowed, and whether any is used."""
-    mix = p8_mix(s, d).groupBy(F.col("domain").alias("source")).agg(F.max("copies").alias("most"))
+    """Of each wanted source: whether a document is used more often than allowed, and how many are used that another source is recorded for."""
+    other = F.col("source").isNotNull() & (F.trim("source") != "") & (F.col("source") != F.col("domain"))
+    mix = p8_mix(s, d).groupBy(F.col("domain").alias("source")).agg(F.max("copies").alias("most"), F.count_if(other).alias("strangers"))
     j = t(s, d, "mix_targets").join(mix, "source", "left")
-    return j.select("source", F.coalesce(F.col("most") > F.col("max_repeats"), F.lit(False)).alias("over_cap"), F.col("most").isNotNull().alias("used"))
+    return j.select("source", F.coalesce(F.col("most") > F.col("max_repeats"), F.lit(False)).alias("over_cap"), F.coalesce("strangers", F.lit(0)).alias("strangers"))
 
 
 def p9_found(s: SparkSession, d: str) -> DataFrame:
@@ -133,8 +134,30 @@ SELECT unit_kind, count(*) AS entries, 0::BIGINT AS torn, 0::BIGINT AS unplaced
   SELECT entry_id, 'benchmark' AS unit_kind FROM bench_split UNION ALL SELECT entry_id, 'model' FROM model_split) WHERE entry_id IS NOT NULL GROUP BY 1
 """
 _P7_RULES = "SELECT job, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS overfull, 0::BIGINT AS torn FROM pack_sizes"
-_P8_RULES = "SELECT source, false AS over_cap, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS used FROM mix_targets"
+_P8_RULES = "SELECT source, false AS over_cap, 0::BIGINT AS strangers FROM mix_targets"
+
+
+_SQUEEZE = "regexp_replace(lower({0}), '[^a-z0-9{1}]+', '', 'g')"
+_LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in sorted(xs)) + ")"
+# the page of a link: no scheme, query, port or 'www.', no branch, index page or suffix of a repository
+_PAGE = """
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(u, '^\\s+|\\s+$', '', 'g')), '(?i)^(?:[a-z][a-z0-9+.\\-]*:)?//', ''), '[?#].*$', '') AS s FROM ent),
+parted AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(s, '^([^/]*)', 1)), '^www\\d?\\.', ''), ':\\d+$', '') AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(s, '^[^/]*(/.*)$', 1), '/{2,}', '/', 'g'), '/(?:tree|blob)/(?:main|master)/?$', ''), '/+$', ''), '(?i)(?:\\.git|/index\\.html?)$', '') AS path FROM bare)
+"""
+_P3_KEYS = f"""
+ent AS (
+  SELECT entry_id AS node, 'b' AS kind, coalesce('r' || run_id, '-') AS run, maintainer AS a, source_url AS u, benchmark AS n, derived_from AS o FROM bench_split WHERE entry_id IS NOT NULL
+  UNION ALL SELECT entry_id, 'm', coalesce('r' || run_id, '-'), team, report_url, model, base_model FROM model_split WHERE entry_id IS NOT NULL
+), {_PAGE.strip()}, keys AS (
+  SELECT node, kind || run || '|author|' || v AS key FROM (SELECT node, kind, run, {_SQUEEZE.format("regexp_replace(x, '" + chr(92) + "bet al" + chr(92) + "b" + chr(92) + ".?', '', 'g')", "")} AS v FROM (SELECT *, unnest(string_split_regex(regexp_replace(lower(a), '\\s+and\\s+|\\s+et\\s+|\\s+with\\s+', ';', 'g'), '[;/&+,|]')) AS x FROM ent WHERE lower(trim(regexp_replace(a, '^\\s+|\\s+$', '', 'g'))) NOT IN {_BLANK})) WHERE v NOT IN {_LIST(components.NOBODY)}
+  UNION ALL SELECT node, kind || run || '|source|' || host || path FROM parted WHERE contains(host, '.') AND length(path) > 1
+  UNION ALL SELECT node, kind || run || '|entity|' || {_SQUEEZE.format('x', '.')} FROM (SELECT *, unnest([n, o]) AS x FROM ent) WHERE x IS NOT NULL AND {_SQUEEZE.format('x', '.')} NOT IN {_LIST(components.NO_ENTITY)} AND lower(trim(x)) NOT IN {_BLANK}
+), low AS (SELECT key, min(node) AS lo FROM keys GROUP BY 1 HAVING min(node) < max(node)
+), edges AS MATERIALIZED (SELECT DISTINCT node AS x, lo AS z FROM keys JOIN low USING (key) WHERE node <> lo UNION SELECT DISTINCT lo, node FROM keys JOIN low USING (key) WHERE node <> lo
+), comp AS (SELECT node, min(seen) AS component FROM (WITH RECURSIVE w AS (SELECT x AS node, x AS seen FROM edges UNION SELECT e.z, w.seen FROM w JOIN edges e ON e.x = w.node) SELECT * FROM w) GROUP BY 1)
+"""
+_P3_FOUND = f"WITH {_P3_KEYS.strip()} SELECT component AS entry_a, node AS entry_b FROM comp WHERE node <> component"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_rules": _P3_RULES, "p7_rules": _P7_RULES, "p8_rules": _P8_RULES}
+    return {"p1_found": _P1, "p3_found": _P3_FOUND, "p3_rules": _P3_RULES, "p7_rules": _P7_RULES, "p8_rules": _P8_RULES}
