@@ -91,7 +91,7 @@ def ag19_weighted_composite(s, d):
 def ag20_suite_score(s, d):
     y = matrix(s, d)
     top = y.groupBy("benchmark").agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("w"), "benchmark").limit(4).select("benchmark")
-    return y.join(F.broadcast(top), "benchmark").groupBy("model").agg(F.avg("score").alias("x"), F.count(F.lit(1)).alias("n")).where("n = 4").select("model", F.round("x", 6).alias("expected"))
+    return y.join(F.broadcast(top), "benchmark").groupBy("model").agg(F.avg("score").alias("x"), F.count(F.lit(1)).alias("n")).where("n = 4").select("model", F.round("x", 5).alias("expected"))
 
 
 def ag22_coverage_by_category(s, d):
@@ -306,7 +306,7 @@ _SELECTS = {
     "jn17_vendor_default": "SELECT coalesce(vendor, 'Unknown') AS vendor, count(*) AS n FROM score_records LEFT JOIN models m ON m.id = model_id GROUP BY 1",
     "ag14_value_counts": "SELECT lower(trim(config)) AS config, count(*) AS n FROM score_records GROUP BY 1",
     "ag19_weighted_composite": "SELECT model, round(sum(score * w) / sum(w), 4) AS composite FROM y JOIN (SELECT benchmark, count(*) AS w FROM y GROUP BY 1 ORDER BY w DESC, benchmark LIMIT 4) t USING (benchmark) GROUP BY 1 HAVING count(*) = 4",
-    "ag20_suite_score": "SELECT model, round(avg(score), 6) AS expected FROM y WHERE benchmark IN (FROM top4) GROUP BY 1 HAVING count(*) = 4",
+    "ag20_suite_score": "SELECT model, round(avg(score), 5) AS expected FROM y WHERE benchmark IN (FROM top4) GROUP BY 1 HAVING count(*) = 4",
     "ag22_coverage_by_category": "SELECT category, count(*) AS benchmarks, count(*) FILTER (cells IS NULL) AS orphans, coalesce(sum(cells), 0)::BIGINT AS cells FROM benchmarks b LEFT JOIN (SELECT benchmark, count(*) AS cells FROM y GROUP BY 1) c ON c.benchmark = b.id GROUP BY 1",
     "ag23_heat": "SELECT benchmark, model, round(score, 7) AS score, round(lo, 7) AS lo, round(hi, 7) AS hi, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END, 7) AS shade FROM (SELECT *, min(score) OVER (PARTITION BY benchmark) AS lo, max(score) OVER (PARTITION BY benchmark) AS hi FROM y)",
     "ag24_contamination": "SELECT p.benchmark, n, round(middle, 6) AS middle, round(top, 6) AS top, ceiling, n >= 5 AND ceiling >= 3 AND middle >= 0.85 * top AS saturated, h.hard, round(gap, 6) + 0.0 AS hard_gap, pairs AS hard_pairs, CASE WHEN (n >= 5 AND ceiling >= 3 AND middle >= 0.85 * top AND ceiling / n >= 0.3) OR coalesce(gap > 15, false) THEN 'high' WHEN ceiling >= 2 OR coalesce(gap > 8, false) THEN 'medium' ELSE 'low' END AS risk FROM (SELECT benchmark, count(*) AS n, median(score) AS middle, any_value(top) AS top, count(*) FILTER (top >= 50 AND score >= 0.95 * top) AS ceiling FROM (SELECT *, max(score) OVER (PARTITION BY benchmark) AS top FROM yp) GROUP BY 1 HAVING count(*) >= 3) p LEFT JOIN (SELECT a.benchmark, b.benchmark AS hard, avg(a.score - b.score) AS gap, count(*) AS pairs FROM yp a JOIN yp b ON b.benchmark = a.benchmark || '-pro' AND a.model = b.model GROUP BY 1, 2 HAVING count(*) >= 3) h ON h.benchmark = p.benchmark",

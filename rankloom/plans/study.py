@@ -465,6 +465,8 @@ _BLOCK = lambda x, n, e, l, r: f"CASE WHEN {n} IS NULL THEN '{x}_missing' END, C
 _FOLD = lambda seed: f"(SELECT id AS benchmark, CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE n % 3 + (i - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold FROM (SELECT id, row_number() OVER (ORDER BY md5('{seed}|' || id), id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM benchmarks)))"
 _SEEDS = " UNION ALL ".join(f"SELECT {k} AS seed, min(pairs) AS least_pairs, sum(pairs)::BIGINT AS pairs, min(ends) AS least_ends, sum(ends)::BIGINT AS ends FROM (SELECT f.fold, count(DISTINCT (p, q)) FILTER (p IS NOT NULL) AS pairs, count(DISTINCT e) AS ends FROM (SELECT DISTINCT fold FROM {_FOLD(k)}) f LEFT JOIN (SELECT a.fold, p, q, unnest([p, q]) AS e FROM ptm JOIN {_FOLD(k)} a ON a.benchmark = p JOIN {_FOLD(k)} b ON b.benchmark = q AND a.fold = b.fold) z ON z.fold = f.fold GROUP BY 1)" for k in range(5))
 
+_FAMILY = "CASE " + " ".join(f"WHEN starts_with(lower(trim(id)), '{p}') THEN '{v}'" for p, v in X.FAMILIES) + " ELSE coalesce(nullif(string_split(lower(trim(id)), '-')[1], ''), lower(trim(id))) END"
+
 _WITH = {
     "ag12_chunk_levels": (_ITEMS, "SELECT benchmark, axis, round(sum(n * v) / sum(n), 6) AS weight, " + ", ".join(f"coalesce(sum(n) FILTER (level = '{x}'), 0)::BIGINT AS {x}" for x in ("absent", "weak", "medium", "strong", "dominant")) + " FROM (SELECT *, CASE WHEN w >= 0.875 THEN 'dominant' WHEN w >= 0.625 THEN 'strong' WHEN w >= 0.375 THEN 'medium' WHEN w >= 0.125 THEN 'weak' ELSE 'absent' END AS level, CASE WHEN w >= 0.875 THEN 1.0 WHEN w >= 0.625 THEN 0.75 WHEN w >= 0.375 THEN 0.5 WHEN w >= 0.125 THEN 0.25 ELSE 0.0 END AS v FROM (SELECT benchmark, run, count(*) AS n, round(avg(dated), 6) AS dated, round(avg(linked), 6) AS linked, round(avg(referred), 6) AS referred, round(avg(reported), 6) AS reported, round(avg(varied), 6) AS varied FROM tg GROUP BY 1, 2) UNPIVOT (w FOR axis IN (dated, linked, referred, reported, varied))) GROUP BY 1, 2"),
     "ag13_evidence": ("", "SELECT benchmark_id, count(*) AS k, sum(n)::BIGINT AS records, string_agg(text, ' / ' ORDER BY i) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY benchmark_id ORDER BY first, text) AS i FROM (SELECT benchmark_id, trim(config)[:200] AS text, min(record_id) AS first, count(*) AS n FROM score_records WHERE benchmark_id IS NOT NULL AND trim(config) <> '' GROUP BY 1, 2)) WHERE i <= 60 GROUP BY 1"),
@@ -499,6 +501,7 @@ _WITH = {
     "tk9_model_ranking": ("", "SELECT model, relevance, row_number() OVER (ORDER BY relevance DESC, model) AS place FROM (SELECT model, round(coalesce(sum(w * CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 ELSE 0 END) / nullif(sqrt(sum(w * w)) * sqrt(1.25), 0), 0), 5) AS relevance FROM (SELECT model, tag, round(sum(score_pct * weight) / sum(weight), 6) AS w FROM ns JOIN tw USING (benchmark) WHERE weight <> 0 GROUP BY 1, 2) GROUP BY 1)"),
     "tk12_core_plans": ("", ", f AS (SELECT model, (SELECT count(DISTINCT benchmark) FROM y) - count(*) AS gap FROM y GROUP BY 1 ORDER BY count(*) DESC, model LIMIT 8), c AS (SELECT a.model AS x, b.model AS z, a.gap + b.gap AS g FROM f a JOIN f b ON a.model < b.model) SELECT s.x || ',' || s.z AS seen, h.x || ',' || h.z AS held, s.g AS missing_seen, h.g AS missing_held, s.g + h.g AS missing FROM c s JOIN c h ON s.x NOT IN (h.x, h.z) AND s.z NOT IN (h.x, h.z) ORDER BY missing, missing_held, missing_seen, s.x, s.z, h.x, h.z LIMIT 20"),
     "sp2_plain_folds": ("", "SELECT id, (CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold FROM (SELECT id, row_number() OVER (ORDER BY md5('3|' || id), id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM benchmarks))"),
+    "sp5_model_split": ("", f", m AS (SELECT id, md5('11|' || id) AS h, md5('12|' || id) AS h2, {_FAMILY} AS f FROM (SELECT DISTINCT id FROM models)), g AS (SELECT *, count(*) OVER (PARTITION BY f) AS size, row_number() OVER (PARTITION BY f ORDER BY h, id) AS i, count(*) OVER () AS n FROM m), k AS (SELECT *, round_even(n * 0.75, 0) AS want, size > 1 AND i <= greatest(1, least(size - 1, round_even(size * 0.75, 0))) AS pick FROM g), j AS (SELECT *, count(*) FILTER (pick) OVER () AS s, sum((size = 1)::INT) OVER (ORDER BY h, id ROWS UNBOUNDED PRECEDING) AS o FROM k), q AS (SELECT *, pick OR (size = 1 AND s + o <= want) AS p2 FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY p2 ORDER BY h2, id) AS z, count(*) FILTER (p2) OVER () AS s2 FROM q) SELECT id, CASE WHEN CASE WHEN p2 THEN z <= want ELSE z <= want - s2 END THEN 'seen' ELSE 'held' END AS scope FROM r"),
     "rs1_bootstrap": (_RS1, _MEASURED),
     "rs2_block_bootstrap": (_RS2, _MEASURED),
     "rs3_interval": (_RS1, f"SELECT metric, round(avg(v), 5) + 0.0 AS mean, round(stddev_pop(v), 5) AS sd, round(quantile_cont(v, 0.025), 5) + 0.0 AS low, round(quantile_cont(v, 0.975), 5) + 0.0 AS high FROM (SELECT l_align, l_align_01, rho_p, rho_s, delta_tag FROM ({_MEASURED})) UNPIVOT (v FOR metric IN (l_align, l_align_01, rho_p, rho_s, delta_tag)) GROUP BY 1"),
