@@ -11,9 +11,10 @@
    steps of length 1 descend. Documents with a recorded source share their membership, so their part of a step is one
    number; those without one are summed up by their traits and their part is one pass over that table, without a shuffle.
    Where a source is scarce, the gradient draws on unlabelled documents that probably belong to it.
-4. Rates become whole numbers of copies by systematic rounding: in hash order within source and size class, a document
-   gets a copy wherever the running sum of rates passes a whole number. The sums are whole numbers (2^-20 of a copy) and
-   run over hash ranges in two steps, so a source may hold any share of the rows.
+4. Rates become whole numbers of copies by systematic rounding: in hash order within domain and size class, a document gets a
+   copy wherever the running sum of rates passes a whole number. The sums are whole numbers (2^-20 of a copy) and run over
+   hash ranges in two steps, so a source may hold any share of the rows. Before that the classes of a domain, the largest
+   documents first, have their sums of rates rounded, and the tokens that this adds or takes are carried to the next class.
 
 Documents of a recorded source that is not listed stay out of the mix, as do unlabelled ones that more probably belong to
 'other' than to any listed source. Targets that are null, zero or negative, and caps below 1, count as not listed; a source
@@ -187,13 +188,29 @@ def fitted(docs: DataFrame, mix_targets: DataFrame, total: float | None = None,
     return labelled.unionByName(rest), plan
 
 
+def _carried(rows: DataFrame) -> dict[str, float]:
+    """Factor of the rates of each 'size class|domain' that makes their sum whole, with the tokens of rounding carried on."""
+    sums = rows.groupBy("domain", "_size").agg(F.sum("rate").alias("n"), F.sum(F.col("rate") * F.col("n_tokens")).alias("t"))
+    out, carry = {}, {}
+    for r in sorted(catalog_rows(sums, MOST_SOURCES * 256), key=lambda r: (r.domain, -r["_size"])):  # classes of powers of 2^(1/4)
+        each = r.t / r.n
+        want = r.t + carry.get(r.domain, 0.0)
+        k = max(0, round(want / each))
+        carry[r.domain] = want - k * each
+        out[f"{r['_size']}|{r.domain}"] = k / r.n
+    return out
+
+
 def mixed(docs: DataFrame, mix_targets: DataFrame, total: float | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, source, domain, n_tokens, copies): how often each document is used; documents not used are left out."""
     rated, plan = fitted(docs, mix_targets, total, tokenizer)
     if not plan["names"]:
         return rated.select("doc_id", "source", "domain", "n_tokens", F.lit(0).alias("copies"))
-    rows = rated.where("n_tokens > 0").withColumns({"_size": F.floor(F.log2("n_tokens")), "_rate": F.round(F.col("rate") * UNIT).cast("bigint"), "_key": F.xxhash64("doc_id", F.lit(5))})
-    run = prefix_sums(stash(rows, "rated"), ["c", "_size"], "_key", "_rate", plan["rows"])
+    rows = stash(rated.where("n_tokens > 0 and rate > 0").withColumns({"_size": F.floor(F.log2("n_tokens") * 4).cast("int"), "_key": F.xxhash64("doc_id", F.lit(5))}), "rated")
+    cap = F.get(F.array(*map(F.lit, plan["caps"])), F.array_position(F.array(*map(F.lit, plan["names"])), F.col("domain")).cast("int") - 1)
+    factors = F.create_map(*[F.lit(x) for kv in _carried(rows).items() for x in kv]) if not rows.isEmpty() else F.create_map(F.lit(""), F.lit(1.0))
+    scaled = F.least(F.col("rate") * F.coalesce(F.try_element_at(factors, F.concat_ws("|", "_size", "domain")), F.lit(1.0)), cap.cast("double"))
+    run = prefix_sums(rows.withColumn("_rate", F.round(scaled * UNIT).cast("bigint")), ["domain", "_size"], "_key", "_rate", plan["rows"])
     passed = lambda x: F.floor((x + UNIT // 2) / F.lit(UNIT))
     copies = (passed(F.col("before") + F.col("_rate")) - passed(F.col("before"))).cast("int")
     return run.select("doc_id", "source", "domain", "n_tokens", copies.alias("copies")).where("copies > 0")
