@@ -137,7 +137,7 @@ def permutation_test(pairs: DataFrame, draws: int, seed: int, group: str | None
         one = null.agg(F.count(v).alias("draws"), F.count_if(F.abs(v) >= abs(seen)).alias("k"), F.count_if(v <= seen).alias("low"), F.avg(v).alias("null_mean"), F.stddev_samp(v).alias("null_sd"))
         one = one.select(F.lit(name).alias("metric"), "draws", F.lit(float(seen)).alias("observed"), ((F.col("k") + 1) / (F.col("draws") + 1)).alias("p_two_sided"), ((F.col("low") + 1) / (F.col("draws") + 1)).alias("p_low"), "null_mean", "null_sd")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else pairs.sparkSession.createDataFrame([], "metric string, draws bigint, observed double, p_two_sided double, p_low double, null_mean double, null_sd double")
 
 
 def sign_flips(deltas: DataFrame, most: int = 20) -> DataFrame:
@@ -200,6 +200,16 @@ def correlation_of(x: np.ndarray, y: np.ndarray) -> float | None:
     return None if np.ptp(x) == 0 or np.ptp(y) == 0 else float(np.corrcoef(x, y)[0, 1])
 
 
+def ranking_of(cells: DataFrame, predicted: DataFrame, least: int = 4) -> DataFrame:
+    """(benchmark, models, rho): Spearman of predicted (benchmark, model, predicted) with true scores, over the models that have both; null below ``least``."""
+    from rankloom.functions.semantics import average_rank
+
+    j = cells.join(predicted, ["benchmark", "model"]).where("predicted is not null")
+    r = j.select("benchmark", average_rank("score", "benchmark").alias("a"), average_rank("predicted", "benchmark").alias("b"))
+    g = r.groupBy("benchmark").agg(F.count("*").alias("models"), pearson("a", "b").alias("rho"))
+    return g.select("benchmark", "models", F.when(F.col("models") >= least, F.col("rho")).alias("rho"))
+
+
 # taggers: items (tagger, pass, benchmark, item, axis, weight)
 
 

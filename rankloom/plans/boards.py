@@ -157,11 +157,11 @@ def tk10_model_fit(s, d):
 
 
 def tk11_missing_last(s, d):
-    """Place of each benchmark of the catalog by its best score, without a score last."""
+    """Places of each benchmark of the catalog by its best score, falling and rising; without a score last in both."""
     from pyspark.sql import Window as W
 
     y = matrix(s, d).groupBy(F.col("benchmark").alias("id")).agg(F.max("score").alias("top"))
-    return t(s, d, "benchmarks").select("id").join(y, "id", "left").select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("top"), "id")).alias("place"))
+    return t(s, d, "benchmarks").select("id").join(y, "id", "left").select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("top"), "id")).alias("place"), F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("top"), "id")).alias("rising"))
 
 
 def tk16_surrogate(s, d):
@@ -319,7 +319,7 @@ _SELECTS = {
     "tk7_relevance": "SELECT benchmark, round(coalesce(dot / nullif(n * sqrt(1.25), 0), 0), 6) AS relevance FROM (SELECT benchmark, sum(weight * CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 ELSE 0 END) AS dot, sqrt(sum(weight * weight)) AS n FROM tw GROUP BY 1)",
     "tk8_utility": "SELECT benchmark, round(relevance, 6) AS relevance, round(breadth, 6) AS breadth, round(0.72 * relevance + 0.2 * breadth, 6) AS utility FROM (SELECT benchmark, coalesce(sum(weight) FILTER (tag IN ('manual', 'github_repo')), 0) / 2 AS relevance, count(*) FILTER (weight >= 0.5) / (SELECT count(DISTINCT tag) FROM tw) AS breadth FROM tw GROUP BY 1) WHERE 0.72 * relevance + 0.2 * breadth > 0.05",
     "tk10_model_fit": "SELECT model, round(fit, 5) AS fit FROM (SELECT model, sum(w * weight) / 1.5 AS fit FROM (SELECT model, tag, sum(score_pct * weight) / sum(weight) AS weight, CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 END AS w FROM ns JOIN tw USING (benchmark) WHERE weight <> 0 GROUP BY 1, 2) WHERE w IS NOT NULL GROUP BY 1) ORDER BY fit DESC, model LIMIT 10",
-    "tk11_missing_last": "SELECT id, row_number() OVER (ORDER BY top DESC NULLS LAST, id) AS place FROM benchmarks LEFT JOIN (SELECT benchmark, max(score) AS top FROM y GROUP BY 1) t ON t.benchmark = id",
+    "tk11_missing_last": "SELECT id, row_number() OVER (ORDER BY top DESC NULLS LAST, id) AS place, row_number() OVER (ORDER BY top NULLS LAST, id) AS rising FROM benchmarks LEFT JOIN (SELECT benchmark, max(score) AS top FROM y GROUP BY 1) t ON t.benchmark = id",
     "tk16_surrogate": "SELECT benchmark, model, round(predicted, 5) AS predicted FROM y JOIN (SELECT a AS benchmark, model, sum(sim * score) / sum(sim) AS predicted FROM (SELECT a, b, sim FROM (SELECT p AS a, q AS b, round(s, 8) AS sim FROM ts UNION ALL SELECT q, p, round(s, 8) FROM ts) QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3) n JOIN y ON y.benchmark = n.b GROUP BY 1, 2) z USING (benchmark, model)",
     "tk17_related": "SELECT tag, benchmark, row_number() OVER (PARTITION BY tag ORDER BY weight DESC, benchmark) AS place FROM (SELECT tag, benchmark, round(weight / max(weight) OVER (PARTITION BY tag), 6) AS weight FROM tw) WHERE weight >= 0.75 QUALIFY place <= 6",
     "st1_union": "SELECT run_id, kind, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT run_id, benchmark AS name, 'benchmark' AS kind FROM bench_split UNION ALL SELECT run_id, model, 'model' FROM model_split) GROUP BY 1, 2",

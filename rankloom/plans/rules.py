@@ -45,6 +45,14 @@ def fl11_maker_faults(s, d):
     return t(s, d, "score_records").select("record_id", F.array_join(R.rationale_faults(level, r, F.col("benchmark_id"), _FORM), ",").alias("faults"))
 
 
+def fl21_role_audit(s, d):
+    """Of each run: outputs of mappers and makers that have faults, and whether the run's evidence is clean."""
+    m, k = fl10_mapper_faults(s, d).select("record_id", (F.col("faults") != "").alias("mapper")), fl11_maker_faults(s, d).select("record_id", (F.col("faults") != "").alias("maker"))
+    r = t(s, d, "score_records").select("record_id", "run_id").join(m, "record_id", "left").join(k, "record_id", "left")
+    g = r.groupBy("run_id").agg(F.count("mapper").alias("outputs"), F.count_if("mapper").alias("mappers"), F.count_if("maker").alias("makers"))
+    return g.withColumn("clean", (F.col("mappers") == 0) & (F.col("makers") == 0))
+
+
 def fl12_vocabulary(s, d):
     """Benchmarks as a vocabulary: ids of their first words."""
     v = t(s, d, "benchmarks").select(F.col("id").alias("benchmark"), F.regexp_replace(F.regexp_replace("id", "-(v2|lite|pro|multi|redux|500)$", ""), "-", "_").alias("id"), "name", F.col("description").alias("definition"))
@@ -436,4 +444,5 @@ SQL = {
 }
 from rankloom.plans.study import SQL as _STUDY  # noqa: E402
 
+SQL["fl21_role_audit"] = f"SELECT run_id, count(m.faults) AS outputs, count(*) FILTER (m.faults <> '') AS mappers, count(*) FILTER (k.faults <> '') AS makers, count(*) FILTER (m.faults <> '') = 0 AND count(*) FILTER (k.faults <> '') = 0 AS clean FROM score_records LEFT JOIN ({SQL['fl10_mapper_faults']}) m USING (record_id) LEFT JOIN ({SQL['fl11_maker_faults']}) k USING (record_id) GROUP BY 1"
 SQL["sk2_artifacts"] = _STUDY["it7_candidates"].replace("SELECT * FROM cand", "SELECT iter, scope, l_align, n_pairs FROM iters WHERE fold = 1")

@@ -303,6 +303,22 @@ def tk9_model_ranking(s, d):
     return out.select(F.col("benchmark").alias("model"), "relevance", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("relevance"), "benchmark")).alias("place"))
 
 
+def tk16_evaluated(s, d):
+    """Rankings of models on each benchmark as its three nearest benchmarks by tags predict them, beside two baselines: the mean
+    over the other benchmarks of its category, and over all others. Spearman with the true one."""
+    y = matrix(s, d)
+    near = A.top_neighbours(A.rounded(A.tag_similarity(tag_weights(s, d)).withColumnRenamed("s", "sim"), sim=8), "sim", 3)
+    by = near.join(y.select(F.col("benchmark").alias("b"), "model", "score"), "b").groupBy(F.col("a").alias("benchmark"), "model").agg(F.round(F.sum(F.col("sim") * F.col("score")) / F.sum("sim"), 7).alias("predicted"))
+    c = small(t(s, d, "benchmarks").select(F.col("id").alias("benchmark"), "category"))
+    yc = y.join(c, "benchmark")
+    # the mean over the others: the sum over all less the own score
+    other = lambda keys: yc.join(yc.groupBy(*keys, "model").agg(F.sum("score").alias("_s"), F.count("*").alias("_n")), [*keys, "model"]).where("_n > 1").select("benchmark", "model", F.round((F.col("_s") - F.col("score")) / (F.col("_n") - 1), 7).alias("predicted"))
+    out = U.ranking_of(y, by).select("benchmark", "models", F.col("rho").alias("near"))
+    for name, p in (("domain", other(["category"])), ("overall", other([]))):
+        out = out.join(U.ranking_of(y, p).select("benchmark", F.col("rho").alias(name)), "benchmark", "left")
+    return A.rounded(out, near=5, domain=5, overall=5)
+
+
 def _few_models(s, d, k):
     return [r.model for r in matrix(s, d).groupBy("model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model").limit(k).collect()]
 
@@ -498,6 +514,7 @@ _WITH = {
     "fl19_gate": ("", ", w AS (SELECT a.bucket, p, s, r FROM pt JOIN bk a ON a.benchmark = p JOIN bk b ON b.benchmark = q AND a.bucket = b.bucket), k AS (SELECT bucket, quantile_cont(s, 0.3) AS lo, quantile_cont(s, 0.7) AS hi FROM w GROUP BY 1) SELECT bucket, d + 0.0 AS delta_tag, coalesce(d > 0, false) AS at_zero, coalesce(d > -0.05 OR abs(d + 0.05) <= 1e-12, false) AS at_minus, coalesce(d > 0.5, false) AS at_half, c BETWEEN 5 AND 30 AS by_count FROM (SELECT w.bucket, round(avg(r) FILTER (s >= hi) - avg(r) FILTER (s <= lo), 6) AS d, count(DISTINCT p) AS c FROM w JOIN k ON k.bucket = w.bucket GROUP BY 1)"),
     "fl20_faults": (_ITER, f"SELECT fold, iter, concat_ws(',', {_BLOCK('dev', 'dn', 'de', 'dl', 'dr')}, {_BLOCK('test', 'tn', 'te', 'tl', 'tr')}, CASE WHEN dr IS NULL THEN 'pooled_rho_s_not_finite' END, CASE WHEN dr < 0.2 THEN 'pooled_rho_s_below_floor' END, CASE WHEN dl IS NULL THEN 'pooled_p_not_finite' END, CASE WHEN dl > 0.05 THEN 'pooled_p_above_alpha' END, CASE WHEN tn IS NULL THEN 'pooled_n_pairs_missing' END, CASE WHEN tn <= 0 THEN 'pooled_n_pairs_empty' END) AS faults FROM (SELECT fold, iter, " + ", ".join(f"max({c}) FILTER (scope = '{x}') AS {x[0]}{k}" for x in ("dev", "test") for c, k in (("n_pairs", "n"), ("effective", "e"), ("l_align", "l"), ("rho_s", "r"))) + " FROM iters GROUP BY 1, 2)"),
     "cl3_subset_fidelity": ("", "SELECT model, round(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 6) AS fidelity FROM (SELECT model, tag, sum(score_pct * weight) AS a, coalesce(sum(score_pct * weight) FILTER (benchmark IN (SELECT id FROM benchmarks WHERE category IN ('math', 'coding', 'general'))), 0) AS b FROM ns JOIN tw USING (benchmark) GROUP BY 1, 2) GROUP BY 1"),
+    "tk16_evaluated": ("", ", nb AS (SELECT a, b, sim FROM (SELECT p AS a, q AS b, round(s, 8) AS sim FROM ts UNION ALL SELECT q, p, round(s, 8) FROM ts) QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3), pr AS (SELECT 'near' AS how, a AS benchmark, model, round(sum(sim * score) / sum(sim), 7) AS v FROM nb JOIN y ON y.benchmark = nb.b GROUP BY 2, 3 UNION ALL SELECT 'domain', benchmark, model, round((sum(score) OVER w - score) / nullif(count(*) OVER w - 1, 0), 7) FROM y JOIN benchmarks b ON b.id = benchmark WINDOW w AS (PARTITION BY category, model) UNION ALL SELECT 'overall', benchmark, model, round((sum(score) OVER w - score) / nullif(count(*) OVER w - 1, 0), 7) FROM y WINDOW w AS (PARTITION BY model)), rk AS (SELECT how, benchmark, rank() OVER (PARTITION BY how, benchmark ORDER BY score) + (count(*) OVER (PARTITION BY how, benchmark, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY how, benchmark ORDER BY v) + (count(*) OVER (PARTITION BY how, benchmark, v) - 1) / 2.0 AS b FROM pr JOIN y USING (benchmark, model) WHERE v IS NOT NULL), g AS (SELECT how, benchmark, count(*) AS models, CASE WHEN count(*) >= 4 THEN round(" + _R.format("a", "b") + ", 5) + 0.0 END AS rho FROM rk GROUP BY 1, 2) SELECT n.benchmark, n.models, n.rho AS near, d.rho AS domain, o.rho AS overall FROM g n LEFT JOIN g d ON d.benchmark = n.benchmark AND d.how = 'domain' LEFT JOIN g o ON o.benchmark = n.benchmark AND o.how = 'overall' WHERE n.how = 'near'"),
     "tk9_model_ranking": ("", "SELECT model, relevance, row_number() OVER (ORDER BY relevance DESC, model) AS place FROM (SELECT model, round(coalesce(sum(w * CASE tag WHEN 'manual' THEN 1 WHEN 'tech_report' THEN 0.5 ELSE 0 END) / nullif(sqrt(sum(w * w)) * sqrt(1.25), 0), 0), 5) AS relevance FROM (SELECT model, tag, round(sum(score_pct * weight) / sum(weight), 6) AS w FROM ns JOIN tw USING (benchmark) WHERE weight <> 0 GROUP BY 1, 2) GROUP BY 1)"),
     "tk12_core_plans": ("", ", f AS (SELECT model, (SELECT count(DISTINCT benchmark) FROM y) - count(*) AS gap FROM y GROUP BY 1 ORDER BY count(*) DESC, model LIMIT 8), c AS (SELECT a.model AS x, b.model AS z, a.gap + b.gap AS g FROM f a JOIN f b ON a.model < b.model) SELECT s.x || ',' || s.z AS seen, h.x || ',' || h.z AS held, s.g AS missing_seen, h.g AS missing_held, s.g + h.g AS missing FROM c s JOIN c h ON s.x NOT IN (h.x, h.z) AND s.z NOT IN (h.x, h.z) ORDER BY missing, missing_held, missing_seen, s.x, s.z, h.x, h.z LIMIT 20"),
     "sp2_plain_folds": ("", "SELECT id, (CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold FROM (SELECT id, row_number() OVER (ORDER BY md5('3|' || id), id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM benchmarks))"),

@@ -103,7 +103,7 @@ def test_resampling(spark):
     assert p["rho_p"].draws == 999 and p["rho_p"].p_two_sided == pytest.approx(0.001) and p["l_align"].p_low == pytest.approx(0.001) and abs(p["rho_s"].null_sd - 60**-0.5) < 0.02
     deltas = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", None)], "name string, delta double")
     assert tuple(U.sign_flips(deltas).first()) == (3, 1.0, pytest.approx(3 / 9))
-    assert all(r.n == 0 and r.rho_p is None for r in U.pair_bootstrap(pairs.limit(0), 3, 1).collect())
+    assert all(r.n == 0 and r.rho_p is None for r in U.pair_bootstrap(pairs.limit(0), 3, 1).collect()) and U.permutation_test(pairs.limit(0), 3, 1).count() == 0
 
 
 def test_probes_against_brute_force(spark):
