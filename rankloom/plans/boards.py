@@ -9,7 +9,7 @@ from rankloom.functions.semantics import half_up_tenth, level_weight, reasons, w
 from rankloom.operators import align as A
 from rankloom.operators import board as B
 from rankloom.plans.alignment import BASE, matrix, pair_table, tag_weights
-from rankloom.runtime import small
+from rankloom.runtime import small, stash
 from rankloom.runtime import table as t
 from rankloom.sources.readers import scaled_fraction
 
@@ -48,15 +48,20 @@ def jn10_exact_then_fuzzy(s, d):
 
 
 def jn11_corrections(s, d):
-    """Overlay of corrected cells (a tenth by hash gets +0.01), all or nothing."""
-    y = matrix(s, d)
+    """Overlay of corrected cells (a tenth by hash gets +0.01), all or nothing.
+
+    The matrix is written once: a mean near the middle of two roundings hangs on the order in which its scores are added, so
+    that old values from a second reading would not be those of the cells. Scores are rounded as the SQL does it: the millionfold
+    to a whole number.
+    """
+    y = stash(matrix(s, d), "matrix")
     fix = y.where(F.substring(F.md5(F.concat("benchmark", "model")), 1, 1) == "0").select("benchmark", "model", F.col("score").alias("old"), (F.col("score") + 0.01).alias("new"))
-    return A.rounded(B.all_corrected(y, fix), score=6)
+    return B.all_corrected(y, fix).withColumn("score", F.round(F.col("score") * 1e6) / 1e6)
 
 
 def jn11_mismatches(s, d):
-    """What keeps corrections from being applied: old values that differ, and cells that aren't there."""
-    y = matrix(s, d)
+    """What keeps corrections from being applied: old values that differ, and cells that aren't there. The matrix is written once, as above."""
+    y = stash(matrix(s, d), "matrix")
     h = F.substring(F.md5(F.concat("benchmark", "model")), 1, 1)
     fix = y.where(h < "2").select("benchmark", F.when(h == "0", F.col("model")).otherwise(F.concat("model", F.lit("?"))).alias("model"), (F.col("score") + F.when(F.col("model") < "m", 0.01).otherwise(0.0)).alias("old"), F.lit(0.0).alias("new"))
     return B.corrected(y, fix)[1]
@@ -288,7 +293,7 @@ def fl9_phrases(s, d):
     return w.select("doc_id", n.alias("n"), negated.alias("negated")).where("n > 0")
 
 
-_HELP = {"scaled_fraction", "matrix", "pair_table", "tag_weights", "small", "t", "kind_key", "name_key", "publication_day", "usable_score", "half_up_tenth", "level_weight", "reasons", "weight_level"}
+_HELP = {"scaled_fraction", "matrix", "pair_table", "tag_weights", "small", "stash", "t", "kind_key", "name_key", "publication_day", "usable_score", "half_up_tenth", "level_weight", "reasons", "weight_level"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] != "_" and k not in _HELP}
 
 _DAY = "coalesce(CASE WHEN regexp_full_match(x, '\\d{4}-\\d{2}-\\d{2}(T.*)?') THEN try_cast(x[:10] AS DATE) END, CASE WHEN regexp_full_match(x, '\\d{4}-\\d{2}') THEN try_cast(x || '-15' AS DATE) END, CASE WHEN regexp_full_match(x, '\\d{4}/\\d{2}/\\d{2}') THEN try_cast(replace(x, '/', '-') AS DATE) END, try_strptime(x, ['%Y%m%d', '%d %b %Y', '%B %d, %Y'])::DATE, try_strptime('15 ' || x, '%d %B %Y')::DATE)"

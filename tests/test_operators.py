@@ -1,5 +1,7 @@
+import random
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from rankloom.operators import selection as S
 from rankloom.operators import study as U
 from rankloom.operators import texts as X
 from rankloom.operators import views as V
+from rankloom.plans import boards
 from rankloom.sources import readers as R
 from rankloom.streaming import log
 from tests.schemas import RECORDS, record, source
@@ -181,6 +184,26 @@ def test_corrections_all_or_nothing(spark):
         B.all_corrected(y, fix(("A", "x", 0.5, 0.7), ("A", "z", 0.5, 0.7)))
 
 
+def test_corrections_meet_one_reading_of_the_matrix(spark, monkeypatch):
+    """Each reading of this matrix has other scores, as means near the middle of two roundings have."""
+    drawn = F.udf(lambda model: random.random(), "double").asNondeterministic()
+    cells = spark.createDataFrame([("A", f"m{i}") for i in range(200)], "benchmark string, model string")
+    monkeypatch.setattr(boards, "matrix", lambda s, d: cells.withColumn("score", drawn("model")))
+    got = boards.jn11_corrections(spark, "").collect()
+    assert len(got) == 200 and 0 < sum(r.corrected for r in got) < 100
+    assert {r.reason for r in boards.jn11_mismatches(spark, "").where("model >= 'm' AND model NOT LIKE '%?'").collect()} == set()
+
+
+def test_corrections_round_as_the_sql(spark, monkeypatch):
+    values = [i / 1e7 for i in range(5, 10_000_000, 99_990)]
+    cells = spark.createDataFrame([("A", f"m{i}", v) for i, v in enumerate(values)], "benchmark string, model string, score double")
+    monkeypatch.setattr(boards, "matrix", lambda s, d: cells)
+    got = {r.model: (r.score, r.corrected) for r in boards.jn11_corrections(spark, "").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE y AS SELECT 'A' AS benchmark, 'm' || i AS model, v AS score FROM (SELECT unnest(?) AS v, unnest(range(?)) AS i)", [values, len(values)])
+    assert got == {m: (s, c) for _, m, s, c in con.execute(boards._SELECTS["jn11_corrections"]).fetchall()}
+
+
 def test_graph_and_texts(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), *[(f"n{i:02}", f"n{i + 1:02}") for i in range(20)]], "p string, q string")
     got = {}
