@@ -1,11 +1,13 @@
 import itertools
+import math
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm import canon, components, fusion, mixing, packing, spam
+from rankloom.llm import canon, components, fusion, mixing, packing, queries, spam
 from tests.schemas import BENCHMARKS, MODELS, RECORDS, record, source
 
 
@@ -54,6 +56,23 @@ def test_votes_and_copying(spark):
     assert sum(float(x.value) == float(x.model_id[1:]) for x in out) > 0.9 * len(out)
 
 
+def test_order_is_a_prior_of_the_votes(spark, monkeypatch):
+    """The posterior decides under either strength: three kinds of long standing against the newest entry. p1_found learns its votes."""
+    old = [record(i, 5.0, source=source(k, published="2020-01-01")) for i, k in enumerate(("manual", "tech_report", "github_repo"))]
+    r = spark.createDataFrame([*old, record(9, 7.0, source=source("arena_api", published="2024-01-01"))], RECORDS)
+    seen, learn = [], fusion.learn
+    monkeypatch.setattr(fusion, "learn", lambda *a: (seen.append(learn(*a)), seen[-1])[1])
+    monkeypatch.setattr(queries, "t", lambda s, d, name: {"score_records": r, "source_kinds": kinds(spark)}[name])
+    assert [(x.record_id, x.entry_no) for x in queries.p1_found(spark, "").collect()] == [(9, 0)]
+    assert len(seen) == 1 and all(v > 0 for v in seen[0].vote)
+    got = {s: fusion.representatives(r, kinds(spark), strength=s).collect()[0] for s in (0.0, 3.0, fusion.STATED)}
+    assert {s: x.record_id for s, x in got.items()} == {0.0: 1, 3.0: 1, fusion.STATED: 9}
+    at = {k: v for k, v in zip(seen[0].kinds, seen[0].vote)}
+    many, one = (math.exp(sum(at[k] for k in ("manual", "tech_report", "github_repo"))), math.exp(at["arena_api"]))
+    assert got[0.0].posterior == pytest.approx(many / (many + one + 9)) and got[3.0].posterior == pytest.approx(many / (many + one * math.exp(3) + 9))
+    assert got[fusion.STATED].posterior == pytest.approx(1) and fusion.STATED > (fusion.MOST_KINDS + 1) * math.log(fusion.N_FALSE * 0.99 / 0.01)
+
+
 def test_votes_count_rows_of_the_group(spark):
     """A field that one record of a group of two claims survives; groups of one row, with variants or not, give nothing."""
     rows = [
